@@ -36,15 +36,23 @@ HOT = 20_000
 CELL = 1_000
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _from_planes(b: bytes, dtype) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Sorted unsigned integers as compressed byte planes of their differences."""
-    d = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(d.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
 
 
 def _unpack(b: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel(), dtype=dtype)
+    return np.cumsum(_from_planes(b, dtype), dtype=dtype)
 
 
 def _ranges(spark) -> int:
@@ -58,10 +66,10 @@ def _count_keys(ranges: int):
     def merged(parts):
         keys = np.concatenate([k for k, _ in parts])
         counts = np.concatenate([c for _, c in parts])
-        order = np.argsort(keys)
+        order = np.argsort(keys, kind="stable")  # sorted runs: a merge
         keys, counts = keys[order], counts[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[at], np.add.reduceat(counts, at)
+        return keys[at], np.add.reduceat(counts, at, dtype=np.uint32)
 
     def run(batches):
         parts, held, fresh, n = [], 0, [], 0
@@ -84,7 +92,7 @@ def _count_keys(ranges: int):
 
         for batch in batches:
             for s in text_sets(batch.column(0)):
-                fresh.append(np.unique((s >> np.uint64(32)).astype(np.uint32)))
+                fresh.append((s >> np.uint64(32)).astype(np.uint32))
                 n += len(fresh[-1])
                 if n > 2_000_000:
                     fold()
@@ -100,7 +108,7 @@ def _count_keys(ranges: int):
 
         k, c = merged([(_unpack(a, np.uint32), np.frombuffer(zstandard.decompress(b), np.uint32)) for a, b in zip(pdf["keys"], pdf["counts"])])
         top = FREQUENT // ranges
-        keep = np.flatnonzero(c >= 3)
+        keep = np.flatnonzero(c >= 2)
         if len(keep) > top:
             keep = np.sort(keep[np.argsort(-c[keep].astype(np.int64), kind="stable")[:top]])
         return pd.DataFrame({"keys": [k[keep].tobytes()], "counts": [c[keep].tobytes()]})
@@ -176,14 +184,16 @@ def _postings(frequent, ranges: int):
                 tok, gid, n, pos, part = tok[order], gid[order], n[order], pos[order], part[order]
                 at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
                 ends = np.append(at[1:], len(part))
-                cols = [[c[a:b].astype(t).tobytes() for a, b in zip(at, ends)] for c, t in ((tok, np.uint64), (gid, np.int64), (n, np.int32), (pos, np.int32))]
+                cols = [[_pack(tok[a:b]) for a, b in zip(at, ends)]]
+                cols += [[_planes(c[a:b].astype(t)) for a, b in zip(at, ends)] for c, t in ((gid, np.int64), (n, np.int32), (pos, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=names)
                 i = j
 
     def shared(pdf):
         import pandas as pd
 
-        tok, gid, n, pos = (np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("tok", np.uint64), ("gid", np.int64), ("n", np.int32), ("pos", np.int32)))
+        tok = np.concatenate([_unpack(x, np.uint64) for x in pdf["tok"]])
+        gid, n, pos = (np.concatenate([_from_planes(x, t) for x in pdf[c]]) for c, t in (("gid", np.int64), ("n", np.int32), ("pos", np.int32)))
         if pdf["part"].iloc[0] >= 0:
             order = np.argsort(tok)
             t = tok[order]
@@ -253,14 +263,15 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     # texts that may have a link: in a shared list, or beside another set in their group
     wanted = lists.select("gid").distinct().union(nodes.where("rid <> gid").select("gid")).distinct()
     wanted = nodes.join(wanted, "gid", "left_semi").select("rid", "doc_id", "digest")
-    texts = docs.where("doc_id IS NOT NULL").join(wanted, "doc_id")
+    # partitioned by doc_id already, so dropping repeated rows needs no shuffle
+    texts = docs.where("doc_id IS NOT NULL").join(wanted, "doc_id").dropDuplicates(["doc_id", "rid", "digest", "text"])
 
     def same_set(batches):  # a doc_id may come with several texts
         for batch in batches:
             keep = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d.as_py() for s, d in zip(text_sets(batch.column(2)), batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(2).filter(pa.array(keep))], names=["rid", "text"])
 
-    texts = stage(texts.select("rid", "digest", "text").mapInArrow(same_set, "rid long, text string"), "texts").dropDuplicates(["rid"])
+    texts = stage(texts.select("rid", "digest", "text").mapInArrow(same_set, "rid long, text string"), "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
