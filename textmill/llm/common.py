@@ -38,6 +38,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps, which wait for a driver's GC."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that no later plan reads."""
     for df in tables:
@@ -63,6 +68,26 @@ def settings(spark: SparkSession, **conf):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+class Remembered(dict):
+    """A bounded memory of make(key). A key enters it when it comes again soon after its first time."""
+
+    def __init__(self, make, most: int = 500_000, recent: int = 500_000):
+        self.make, self.most, self.recent, self.young = make, most, recent, {}
+
+    def __missing__(self, key):
+        value = self.young.pop(key, None)
+        if value is None:
+            value = self.make(key)
+            if len(self.young) >= self.recent:
+                self.young.clear()
+            self.young[key] = value
+        else:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, comp) for every node of edges(a, b): comp is the smallest node that links reach.
 

@@ -21,14 +21,16 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import work_dir
+from textmill.llm.common import Remembered, work_dir
 
-#: Pieces that a worker keeps with their ids; beyond, it starts afresh.
-PIECES_KEPT = 500_000
-_DOUBLE_GAP = re.compile(r"\s\s|^\s|\s$|[\t\r\f\v\x1c-\x1f\x85\xa0  -     　]").search
+#: Blanks outside ASCII. Fixed values.
+_WIDE_GAP = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+_GAPS = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\v", "\f", "\x1c", "\x1d", "\x1e", "\x1f")
+_PRINTED = re.compile(r"[ \n]?[\x21-\x7e]+").fullmatch
 MANIFEST = "shard string, first_doc long, n_null long, n_docs long, n_tokens long, width int"
 
 
@@ -36,8 +38,8 @@ class ByteBpe:
     """The tokenizers library's encoder with a bounded memory of what it made of each piece.
 
     In texts whose gaps are single blanks or line ends, no token crosses from one piece (a blank or
-    line end and what follows up to the next) to another, so pieces are encoded once. Other texts go
-    to the library whole.
+    line end and what follows up to the next) to another, so a piece is encoded once while it is
+    remembered. Other texts go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -49,34 +51,32 @@ class ByteBpe:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Ids of each text and the end id, as little-endian bytes."""
-        tail = np.array([end], self.dtype).tobytes()
-        split, whole, new = [], [], {}
-        known = self.pieces
-        if len(known) > PIECES_KEPT:
-            known.clear()
-        for i, text in enumerate(texts):
-            if _DOUBLE_GAP(text) or any(s in text for s in self.special):
-                split.append(None)
-                whole.append(i)
-                continue
-            head, *rest = text.replace("\n", " \n").split(" ")
-            # a piece that starts with a line end has no blank before it; the head has a mark of its own
-            rest.insert(0, "\0" + head)
-            split.append(rest)
-            new.update(dict.fromkeys(p for p in rest if p not in known))
-        if new:
-            names = list(new)
-            made = self._ids([p[1:] if p[:1] == "\0" else p if p[:1] == "\n" else " " + p for p in names])
-            known.update(zip(names, made))
-        direct = dict(zip(whole, self._ids([texts[i] for i in whole]))) if whole else {}
-        return [direct[i] + tail if s is None else b"".join(map(known.__getitem__, s)) + tail for i, s in enumerate(split)]
+        self.words = regex.compile(public_pattern()).findall
+        self.pieces = Remembered(self._piece)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece without its blank; pieces that start with a line end or the mark of a text's start have none."""
+        text = piece[1:] if piece[:1] == "\0" else piece if piece[:1] == "\n" else " " + piece
+        if not _PRINTED(text):
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        tokenize = self.tokenizer.model.tokenize
+        return self._bytes([t.id for w in self.words(text) for t in tokenize(w.replace(" ", "Ġ").replace("\n", "Ċ"))])
+
+    def encode(self, text: str, end: bytes) -> bytes:
+        """Ids of a text and the end id, as little-endian bytes."""
+        plain = text and not any(g in text for g in _GAPS) and not text[0].isspace() and not text[-1].isspace()
+        if not plain or not (text.isascii() or not _WIDE_GAP(text)) or any(x in text for x in self.special):
+            return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids) + end
+        head, *rest = text.replace("\n", " \n").split(" ")
+        return self.pieces["\0" + head] + b"".join(map(self.pieces.__getitem__, rest)) + end
+
+
+def public_pattern() -> str:
+    """How byte-level tokenizers split a text before the merges. Fixed value."""
+    return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 _encoders: dict[str, ByteBpe] = {}
@@ -105,6 +105,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = 0) ->
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, name = _encoder(path), f"shard-{uuid.uuid4().hex}"
+        tail = np.array([end], coder.dtype).tobytes()
         fs, base = _open(folder)
         fs.create_dir(base, recursive=True)
         ids = None
@@ -112,7 +113,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end: int = 0) ->
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
             for at in range(0, len(keys), 512):
-                part = coder.encode([t or "" for t in texts.slice(at, 512).to_pylist()], end)
+                part = [coder.encode(t or "", tail) for t in texts.slice(at, 512).to_pylist()]
                 if ids is None:
                     ids = fs.open_output_stream(f"{base}/{name}.ids")
                 ids.write(b"".join(part))
@@ -147,7 +148,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
     # only the order within one doc_id's run of shards is open; a shard's name settles it
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "shard").rowsBetween(Window.unboundedPreceding, -1)
     based = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
-    spread = based.repartition(F.col("shard")).select("shard", "base", "n_null", "n_docs", "n_tokens", "width")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spread = based.repartition(shards, F.col("shard")).select("shard", "base", "n_null", "n_docs", "n_tokens", "width")
 
     def run(batches):
         fs, base = _open(folder)
