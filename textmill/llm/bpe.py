@@ -18,8 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words that a worker keeps with their ids; beyond, it starts afresh.
-WORDS_KEPT = 500_000
+from textmill.llm.common import Remembered
+
 #: In texts of these characters only, Python's lower() and split() do what the tokenizer's normalizer does.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡-¬®-įı-ž–-…]*").fullmatch
 
@@ -73,7 +73,7 @@ class WordBpe:
             s = self._symbols(self.tokens[token])
             self._automaton.add_word(s, (len(s), token))
         self._automaton.make_automaton()
-        self.pieces = _Pieces(self)
+        self.pieces = Remembered(self._piece)
         self.tokenizer = None
         self.path = path
 
@@ -163,6 +163,14 @@ class WordBpe:
     def strings(self, ids: list[int]) -> str:
         return " ".join(map(str, ids)) + "\0" + " ".join([self.tokens[i] for i in ids])
 
+    def _piece(self, piece: str) -> str:
+        """strings() of a blank-separated piece of lower-case text."""
+        words = self.pattern.findall(piece)
+        if words == [piece]:
+            return self.strings(self.encode_word(piece if piece.isascii() else "".join(map(self.alphabet.__getitem__, piece.encode()))))
+        parts = "\0".join([self.pieces[w] for w in words]).split("\0")
+        return " ".join(parts[::2]) + "\0" + " ".join(parts[1::2])
+
     def joined(self, text: str) -> tuple[str, str]:
         """(ids joined by spaces, decoded text)."""
         if _PLAIN(text) and (self.split_special is None or "<|" not in text):
@@ -173,26 +181,6 @@ class WordBpe:
         return " ".join(parts[::2]), " ".join(parts[1::2])
 
 
-class _Pieces(dict):
-    """Blank-separated pieces of lower-case text with the strings of their ids; bounded."""
-
-    def __init__(self, model: WordBpe):
-        self.model = model
-
-    def __missing__(self, piece: str) -> str:
-        model = self.model
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        words = model.pattern.findall(piece)
-        if words == [piece]:
-            out = model.strings(model.encode_word(piece if piece.isascii() else "".join(map(model.alphabet.__getitem__, piece.encode()))))
-        else:
-            parts = "\0".join([self[w] for w in words]).split("\0")
-            out = " ".join(parts[::2]) + "\0" + " ".join(parts[1::2])
-        self[piece] = out
-        return out
-
-
 _models: dict[str, WordBpe] = {}
 
 
