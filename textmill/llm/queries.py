@@ -10,18 +10,36 @@ from pyspark.sql import DataFrame, SparkSession
 from textmill.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.pii import find_pii
+
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.token_files import token_files
 
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0)
 
 
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.warc import captures, resolve_revisits
+
+    return resolve_revisits(captures(table(spark, sf_dir, "pages")))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.language import identify_pages
 
     return identify_pages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.stream_dedup import stream_dedup
 
@@ -34,6 +52,12 @@ def op7_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textmill.llm.embedding_dedup import projection_dedup
+
+    return projection_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.mixing import mix_sources
 
@@ -47,10 +71,45 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op4_language_id, op6_stream_dedup, op7_bpe_dp, op9_mix_sources, op10_ngram_join)
+    f.__name__: f for f in (op1_pii, op2_token_files, op3_warc_revisits, op4_language_id, op5_toxicity, op6_stream_dedup, op7_bpe_dp, op8_embedding_dedup, op9_mix_sources, op10_ngram_join)
 }
 
+_SHAPE = r"'(?i)^\s*https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)(:[0-9]+)?([^?#]*)(\?[^#]*)?'"
+_TRACKING = r"'(?i)(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*'"
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc_revisits": f"""
+        WITH parts AS (
+            SELECT page_id, md5(coalesce(html, '')) AS digest, length(coalesce(html, '')) AS n,
+                   regexp_extract(url, {_SHAPE}, 1) AS host, regexp_extract(url, {_SHAPE}, 2) AS port,
+                   regexp_replace(regexp_extract(url, {_SHAPE}, 3), '/+$', '') AS path,
+                   regexp_replace(regexp_replace(substr(regexp_extract(url, {_SHAPE}, 4), 2), {_TRACKING}, '', 'g'), '^&', '') AS query
+            FROM pages),
+        page AS (
+            SELECT page_id, digest, n, page_id * 3600 AS moment, page_id % 5 AS which,
+                   CASE WHEN host <> '' THEN lower(host) || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || path
+                        || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url_key FROM parts),
+        revisits AS (
+            SELECT *, page_id * 3 + 1 AS record_id, moment + 1800 AS ts FROM page
+            UNION ALL SELECT *, page_id * 3 + 2, moment - 1800 FROM page),
+        tagged AS (
+            SELECT *, CASE which WHEN 0 THEN '"other"' WHEN 1 THEN 'W/"' || digest || '"' WHEN 3 THEN '"' || digest || '"' END AS tag FROM revisits),
+        found AS (
+            SELECT r.*, f.page_id AS f_page, f.digest AS f_digest, f.n AS f_n, f.moment AS f_moment
+            FROM tagged r ASOF LEFT JOIN page f ON r.url_key = f.url_key AND r.ts > f.moment),
+        judged AS (
+            SELECT *, CASE WHEN f_page IS NULL THEN 'orphan' WHEN which = 0 THEN 'mismatch' WHEN which = 4 THEN 'unverified'
+                WHEN which = 2 THEN CASE WHEN f_moment = moment THEN 'resolved' ELSE 'mismatch' END
+                WHEN digest = f_digest THEN 'resolved' ELSE 'mismatch' END AS state FROM found)
+        SELECT record_id, url_key, f_page * 3 AS refers_to, state,
+            CASE WHEN state IN ('resolved', 'unverified') THEN f_digest END AS payload_digest,
+            'cache-control: max-age=' || page_id % 7 || chr(10) || CASE WHEN state IN ('resolved', 'unverified')
+                THEN 'content-length: ' || f_n || chr(10) || 'content-type: text/html; charset=utf-8' || chr(10) || 'date: ' || ts || chr(10)
+                    || 'etag: ' || coalesce(tag, '"' || f_digest || '"') || chr(10) || 'last-modified: ' || f_moment
+                ELSE 'connection: close' || chr(10) || 'content-length: 0' || chr(10) || 'date: ' || ts
+                    || CASE WHEN tag IS NOT NULL THEN chr(10) || 'etag: ' || tag WHEN which = 2 THEN chr(10) || 'last-modified: ' || moment ELSE '' END END AS headers
+        FROM judged
+    """,
     "op6_stream_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
