@@ -87,7 +87,7 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = stage(members.select("digest", "doc_id", "file", "row", "text", F.expr("file = keep.file AND row = keep.row").alias("is_keep")), "hits")
     keepers = members.where("is_keep").select("digest", F.col("text").alias("kept_text"))
     differ = members.where("NOT is_keep").join(keepers, "digest").where("text <> kept_text").select("digest")
-    differ = stage(differ.distinct(), "differ")
+    differ = stage(differ, "differ")
 
     result = light.join(state, "digest")
     if differ.limit(1).count():
