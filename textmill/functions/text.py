@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,18 +51,29 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: inside a lambda, an outer expression would be
+    computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: str | Column) -> Column:
     return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", "")
 
 
+def last_wins(pairs: Column) -> Column:
+    """Map of an array of (key, value) structs; the last value of a key stays."""
+    later = lambda all_pairs, p, i: F.exists(F.slice(all_pairs, i + 2, F.size(all_pairs) + 1), lambda q: q["key"] == p["key"])
+    return let(pairs, lambda a: F.map_from_entries(F.filter(a, lambda p, i: ~later(a, p, i))))
+
+
 def noise_regex(extra: tuple[str, ...] = ()) -> str:
     """One alternation for one pass; the flags are left to the caller's regex engine."""
     return "^(?:" + "|".join((*NOISE_PATTERNS, *extra)) + ")"
 
 
 def is_noise(line: str | Column, extra: tuple[str, ...] = ()) -> Column:
-    bare = strip(line)
-    return (F.length(bare) < 3) | bare.rlike(f"^(?:{BLANK}|[-_.=*])+$") | bare.rlike("(?iu)" + noise_regex(extra))
+    return let(strip(line), lambda bare: (F.length(bare) < 3) | bare.rlike(f"^(?:{BLANK}|[-_.=*])+$") | bare.rlike("(?iu)" + noise_regex(extra)))
 
 
 def squeeze(text: str | Column) -> Column:
@@ -76,6 +87,21 @@ def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def with_nfc(df: DataFrame, column: str) -> DataFrame:
+    """df with the column in Unicode NFC, as a narrow step of its own."""
+    import pyarrow as pa
+
+    def one(t: str | None) -> str | None:
+        return t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
+
+    def run(batches):
+        for b in batches:
+            at = b.schema.get_field_index(column)
+            yield b.set_column(at, column, pa.array(map(one, b.column(at).to_pylist()), b.schema.field(at).type))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def fix_mojibake(text: str | Column) -> Column:
     """Longest wrong form first, so no form swallows another."""
     out = col(text)

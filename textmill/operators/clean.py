@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.text import HEADER_KEYWORDS, col, fix_mojibake, is_noise, nfc, squeeze, strip
+from textmill.functions.text import HEADER_KEYWORDS, col, fix_mojibake, is_noise, last_wins, let, squeeze, strip, with_nfc
 
 RULE = "={20}"
 ESSENTIAL = ("CATEGORÍA", "TIPO", "TÍTULO", "URL ORIGINAL")
@@ -21,29 +21,30 @@ def header_lines(text: str | Column, least: int = 3, keywords: tuple[str, ...] |
     bare = F.filter(F.transform(F.split(col(text), "\n"), strip), lambda x: F.length(x) > 10)
     if keywords is not None:
         bare = F.filter(bare, lambda x: F.lower(x).rlike("|".join(keywords)))
-    return F.filter(F.array_distinct(bare), lambda x: F.size(F.filter(bare, lambda y: y == x)) >= least)
+    # runs of the sorted lines, so counting takes no look at all lines for each
+    return let(F.array_sort(bare), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + least - 1))))
 
 
 def without_repeats(kept: Column) -> Column:
     """Lines without those equal, once stripped, to the line before; blank ones stay."""
-    bare = F.transform(kept, strip)
-    return F.filter(kept, lambda x, i: (i == 0) | (strip(x) == "") | (strip(x) != F.get(bare, i - 1)))
+    fresh = lambda b: lambda x, i: (i == 0) | (F.get(b, i) == "") | (F.get(b, i) != F.get(b, i - 1))
+    return let(kept, lambda k: let(F.transform(k, strip), lambda b: F.filter(k, fresh(b))))
 
 
 def clean_parts(docs: DataFrame, text: str = "text", extra: tuple[str, ...] = (), least: int = 3, keywords: tuple[str, ...] | None = HEADER_KEYWORDS) -> DataFrame:
     """docs with n_lines, n_noise (noise and running headers), n_repeats and clean (the cleaned text)."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    headers = header_lines(text, least, keywords)
-    out = docs.withColumn("__lines", split).withColumn("__headers", F.coalesce(headers, F.array().cast("array<string>")))
-    out = out.withColumn("__kept", F.filter("__lines", lambda x: ~is_noise(x, extra) & ~F.array_contains("__headers", strip(x))))
-    out = out.withColumn("__clean", without_repeats(F.col("__kept")))
-    return out.select(
+    headers = F.coalesce(header_lines(text, least, keywords), F.array().cast("array<string>"))
+    kept = let(headers, lambda h: F.filter("__lines", lambda x: ~is_noise(x, extra) & ~F.array_contains(h, strip(x))))
+    out = docs.withColumn("__lines", split).withColumn("__kept", kept).withColumn("__clean", without_repeats(F.col("__kept")))
+    parts = out.select(
         *docs.columns,
         F.size("__lines").alias("n_lines"),
         (F.size("__lines") - F.size("__kept")).alias("n_noise"),
         (F.size("__kept") - F.size("__clean")).alias("n_repeats"),
-        fix_mojibake(nfc(squeeze(F.array_join("__clean", "\n")))).alias("clean"),
+        squeeze(F.array_join("__clean", "\n")).alias("clean"),
     )
+    return with_nfc(parts, "clean").withColumn("clean", fix_mojibake("clean"))
 
 
 def cleaning_report(parts: DataFrame) -> DataFrame:
@@ -60,15 +61,17 @@ def parse_header(text: str | Column) -> Column:
 
     Without a second rule the whole text is the body.
     """
-    rows = F.split(col(text), "\n")
-    rules = F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, F.lit("=" * 20)), i)), lambda i: i.isNotNull())
-    first, second = F.get(rules, F.lit(0)), F.get(rules, F.lit(1))
-    block = F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(rows, first + 2, F.coalesce(second - first - 1, F.size(rows))))
-    pairs = F.transform(F.filter(block, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    pairs = F.filter(pairs, lambda p: (p["key"] != "") & (p["value"] != ""))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"]))
-    body = F.array_join(F.slice(rows, F.coalesce(second, F.lit(-1)) + 2, F.size(rows) + 1), "\n")
-    return F.struct(F.map_from_entries(last).alias("metadata"), body.alias("body"))
+    numbered = lambda r: F.filter(F.transform(r, lambda x, i: F.when(F.contains(x, F.lit("=" * 20)), i)), lambda i: i.isNotNull())
+    value = lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("key"), strip(F.regexp_replace(x, "^[^:]*:", "")).alias("value"))
+
+    def parts(rows: Column, rules: Column) -> Column:
+        first, second = F.get(rules, F.lit(0)), F.get(rules, F.lit(1))
+        block = F.when(first.isNull(), F.array().cast("array<string>")).otherwise(F.slice(rows, first + 2, F.coalesce(second - first - 1, F.size(rows))))
+        pairs = F.filter(F.transform(F.filter(block, lambda x: F.contains(x, F.lit(":"))), value), lambda p: (p["key"] != "") & (p["value"] != ""))
+        body = F.array_join(F.slice(rows, F.coalesce(second, F.lit(-1)) + 2, F.size(rows) + 1), "\n")
+        return F.struct(last_wins(pairs).alias("metadata"), body.alias("body"))
+
+    return let(F.split(col(text), "\n"), lambda rows: let(numbered(rows), lambda rules: parts(rows, rules)))
 
 
 def essential(metadata: str | Column) -> Column:

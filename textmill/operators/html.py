@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.functions.text import col, slug, strip
+from textmill.functions.text import col, last_wins, slug, strip
 
 #: Keywords that make a link relevant, and those of the document classes.
 PRIORITY_WORDS = ("boja", "boe", "ley", "decreto", "orden", "resolucion", "normativa", "legislacion", "real decreto", "instruccion", "convenio", "disposicion")
@@ -59,8 +59,7 @@ def page_meta(html: str | Column) -> Column:
     tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     attr = lambda x, a: F.regexp_extract(x, rf"(?is)\b{a}\s*=\s*[\"']([^\"']*)[\"']", 1)
     pairs = F.filter(F.transform(tags, lambda x: F.struct(F.lower(attr(x, "name")).alias("key"), attr(x, "content").alias("value"))), lambda p: p["key"].isin(*META_NAMES))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return last_wins(pairs)
 
 
 def main_content(html: str | Column, url: str | Column) -> Column:

@@ -128,3 +128,11 @@ def framed_pages(exported: DataFrame) -> DataFrame:
     """(source, page, text) of exported PDF text framed by page marks; empty pages are dropped."""
     parts = exported.select("source", F.posexplode(F.split("text", "\n?={80}\nPÁGINA [0-9]+\n={80}\n")).alias("page", "text"))
     return parts.where("page > 0 AND trim(text) <> ''")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/textmill/{name}-{uuid.uuid4().hex}"
