@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.text import let
 from textmill.llm.common import stage
 
 #: Kinds in their order and the patterns of their base forms. Quantifiers are possessive where no
@@ -38,7 +39,8 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, value, before>> of all leftmost matches; code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    lengths = F.transform(found, lambda m, i: F.struct((F.length(F.element_at(gaps, i + 1)) + 0).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("value"), F.substring(F.element_at(gaps, i + 1), -BEFORE, BEFORE).alias("before")))
+    measure = lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("value"), F.substring(g, -BEFORE, BEFORE).alias("before"))
+    lengths = F.zip_with(found, F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), measure)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string,before:string>>").alias("out"))
 
     def step(acc, m):
@@ -99,9 +101,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     number = text.rlike("[0-9]")
     hints = {"email": text.contains("@"), "ip": number & text.contains("."), "card": number, "phone": text.contains("+")}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*(_found(text, k, p, hints[k]) for k, p in BASE)).alias("base"), F.concat(_found(text, "number", NUMBER, number), _found(text, "spelled", SPELLED, F.lower(text).rlike(r"[\[(]at[\])]"))).alias("other"))
-    rows = rows.withColumn("base", F.flatten("base"))
-    apart = lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    rows = rows.withColumn("other", F.filter("other", apart))
+    apart = lambda base: lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
+    both = let(F.flatten("base"), lambda b: F.struct(b.alias("base"), F.filter("other", apart(b)).alias("other")))
+    rows = rows.select("doc_id", both.alias("b")).select("doc_id", "b.base", "b.other")
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "entities")
 
     # occurrences of seeds and candidates with their patterns

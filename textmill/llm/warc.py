@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.text import let
+
 #: Header fields of a 304 that never replace stored ones (hop-by-hop fields and those that describe
 #: the stored payload; RFC 9111, sections 3.1 and 3.2). Fixed values.
 NOT_MERGED = (
@@ -42,8 +44,9 @@ def header_fields(block: str | Column) -> Column:
     block = F.col(block) if isinstance(block, str) else block
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), "\r?\n"), lambda x: F.instr(x, ":") > 1)
     pairs = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
-    names = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["name"])))
-    return F.transform(names, lambda n: F.struct(n.alias("name"), F.concat_ws(", ", F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["value"])).alias("value")))
+    names = lambda a: F.array_sort(F.array_distinct(F.transform(a, lambda p: p["name"])))
+    values = lambda a, n: F.transform(F.filter(a, lambda p: p["name"] == n), lambda p: p["value"])
+    return let(pairs, lambda a: F.transform(names(a), lambda n: F.struct(n.alias("name"), F.concat_ws(", ", values(a, n)).alias("value"))))
 
 
 def field(fields: str, name: str) -> Column:
@@ -54,9 +57,7 @@ def field(fields: str, name: str) -> Column:
 def merged_fields(stored: str, fresh: str) -> Column:
     """Header lines of the stored response with the permitted fields of the 304 in their place."""
     allowed = F.filter(F.col(fresh), lambda p: ~p["name"].isin(*NOT_MERGED))
-    names = F.transform(allowed, lambda p: p["name"])
-    old = F.filter(F.col(stored), lambda p: ~F.array_contains(names, p["name"]))
-    both = F.array_sort(F.concat(old, allowed))
+    both = let(allowed, lambda a: let(F.transform(a, lambda p: p["name"]), lambda names: F.array_sort(F.concat(F.filter(F.col(stored), lambda p: ~F.array_contains(names, p["name"])), a))))
     return F.array_join(F.transform(both, lambda p: F.concat_ws(": ", p["name"], p["value"])), "\n")
 
 
