@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.text import let
 from textmill.llm.common import stage
 
 #: Labelled rows of each language that the text model is fitted on.
 PER_LANGUAGE = 2_000
+#: Languages that are told apart at most: the most frequent ones.
+LANGUAGES = 100
 #: Trigrams are hashed to so many columns: the model has 4 bytes for each and language.
 BUCKETS = 1 << 17
 #: A text counts as so many independent trigrams at most.
@@ -58,9 +61,11 @@ def fit_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tup
     bounded and it is the same in every run. Null or blank languages and texts take no part.
     """
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND trim(lang) <> ''")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("c"))
-    hashed = F.expr(f"pmod(xxhash64(text, lang), c) < {per_language}")
-    chosen = rows.join(sizes, "lang").where(hashed)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return ["und"], np.zeros((BUCKETS, 1), np.float32)
+    size = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], r["c"])))
+    chosen = rows.withColumn("c", F.try_element_at(size, F.col("lang"))).where(f"pmod(xxhash64(text, lang), c) < {per_language}")
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -76,6 +81,8 @@ def fit_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tup
 
     counts = chosen.select("text", "lang").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     found = counts.toPandas()  # at most BUCKETS rows for each language
+    if found.empty:
+        return ["und"], np.zeros((BUCKETS, 1), np.float32)
     languages = sorted(found["lang"].unique())
     model = np.full((BUCKETS, len(languages)), 0.5)
     for j, lang in enumerate(languages):
@@ -112,9 +119,9 @@ def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataF
 
 
 def _softmax(x):
-    top = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - top))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    powers = lambda a, top: F.transform(a, lambda v: F.exp(v - top))
+    shares = lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda v: v / total))
+    return let(x, lambda a: let(F.array_max(a), lambda top: let(powers(a, top), shares)))
 
 
 def _sums(prefix: str, n: int):
