@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import settings, stage, work_dir
+from textmill.llm.common import settings, stage, sweep, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -88,6 +88,7 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keepers = members.where("is_keep").select("digest", F.col("text").alias("kept_text"))
     differ = members.where("NOT is_keep").join(keepers, "digest").where("text <> kept_text").select("digest")
     differ = stage(differ, "differ")
+    sweep(spark)
 
     result = light.join(state, "digest")
     if differ.limit(1).count():
