@@ -10,7 +10,9 @@ Two texts link when their sets of distinct word shingles have a Jaccard similari
    shingle. Texts with equal sets are one node, nodes with equal prefix and size one group;
 3. groups meet by prefix shingle. A first round compares each group with one leader of each
    shingle, and each member with its group, which joins nearly all copies in linear work;
-4. a second round pairs all groups that share a prefix shingle and aren't yet in one component,
+4. a second round compares the groups of a shingle that are still apart with another leader, drawn
+   for each shingle, so near copies that miss the first leader find one of its neighbours;
+5. the last round pairs all groups that share a prefix shingle and aren't yet in one component,
    filters the pairs by size and position, expands them to members and verifies these. Lists of
    frequent shingles are split in cells. So no link between components is lost.
 """
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, release, stage
+from textmill.llm.common import components, release, stage, sweep
 from textmill.llm.shingles import text_sets
 
 #: Entries of the table of frequent shingles, which is broadcast: 8 MB.
@@ -272,31 +274,51 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(2).filter(pa.array(keep))], names=["rid", "text"])
 
     texts = stage(texts.select("rid", "digest", "text").mapInArrow(same_set, "rid long, text string"), "texts")
+    sweep(spark)
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
         both = side.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long")
 
+    def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+        """nodes with the components that links join made one."""
+        at = nodes.select("rid", "comp")
+        between = links.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        top = components(between).toDF("comp", "top")
+        out = stage(nodes.join(top, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"), "nodes")
+        sweep(spark)
+        return out
+
+    def apart(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Range of the members' components of each group; lists whose groups aren't all in one component."""
+        span = nodes.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        ranged = lists.join(span, "gid")
+        mixed = ranged.groupBy("tok").agg(F.count("*").alias("c"), F.min("low").alias("l"), F.max("high").alias("h")).where("l < h AND c > 1")
+        return span, ranged.join(mixed.select("tok", "c"), "tok")
+
     # first round: one leader for each shingle, one for each group
+    nodes = nodes.withColumn("comp", F.col("rid"))
     lead = lists.groupBy("tok").agg(F.min(F.struct("gid", "n", "pos")).alias("l"))
     stars = lists.join(lead, "tok").where("gid <> l.gid").where(_fits("n", "l.n", "pos", "l.pos", percent))
     stars = stars.select(F.col("l.gid").alias("a"), F.col("gid").alias("b"))
     inside = nodes.where("rid <> gid").select(F.col("gid").alias("a"), F.col("rid").alias("b"))
-    edges = stage(verified(stars.union(inside).distinct()), "links")
-    comp = components(edges)
-    nodes = stage(nodes.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid")), "nodes")
-
-    # second round: groups that share a shingle and aren't yet in one component
-    span = nodes.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    lists2 = lists.join(span, "gid")
-    mixed = lists2.groupBy("tok").agg(F.count("*").alias("c"), F.min("low").alias("l"), F.max("high").alias("h")).where("l < h AND c > 1")
-    cells = F.greatest(F.lit(1), F.ceil(F.col("c") / CELL)).cast("int")
-    lists2 = lists2.join(mixed.select("tok", cells.alias("k")), "tok").withColumn("own", F.expr("pmod(xxhash64(gid), k)").cast("int"))
-    other = F.explode(F.expr("sequence(0, k - 1)"))
-    left = lists2.withColumn("other", other).select("tok", F.col("own").alias("i"), F.col("other").alias("j"), *(F.col(c).alias(f"{c}_a") for c in ("gid", "n", "pos", "low", "high")))
-    right = lists2.withColumn("other", other).select("tok", F.col("other").alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "pos", "low", "high")))
-    met = left.join(right, ["tok", "i", "j"]).where("gid_a < gid_b AND NOT (low_a = high_b AND high_a = low_b)")
+    nodes = merged(nodes, stage(verified(stars.union(inside).distinct()), "links"))
+
+    # second round: another leader, drawn for each shingle
+    _, open_lists = apart(nodes)
+    lead = open_lists.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "gid").alias("h"), "gid", "n", "pos", "low", "high")).alias("l"))
+    stars = open_lists.join(lead, "tok").where("gid <> l.gid AND NOT (low = l.high AND high = l.low)").where(_fits("n", "l.n", "pos", "l.pos", percent))
+    stars = stars.select(F.least("gid", "l.gid").alias("a"), F.greatest("gid", "l.gid").alias("b"))
+    nodes = merged(nodes, stage(verified(stars.distinct()), "links"))
+
+    # last round: all groups that share a shingle and are still apart
+    span, open_lists = apart(nodes)
+    open_lists = open_lists.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("c") / CELL)).cast("int")).withColumn("own", F.expr("pmod(xxhash64(gid), k)").cast("int"))
+    dealt = open_lists.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    side = lambda i, j, s: dealt.select("tok", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "low", "high")))
+    met = side("own", "other", "a").join(side("other", "own", "b"), ["tok", "i", "j"])
+    met = met.where("gid_a < gid_b AND NOT (low_a = high_b AND high_a = low_b)")
     met = met.where(_fits("n_a", "n_b", "pos_a", "pos_b", percent)).select("gid_a", "gid_b")
     met = met.union(span.where("low < high").select("gid", "gid")).distinct()
     member = nodes.select("gid", "rid", "comp")
@@ -306,12 +328,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
         .where("comp_a <> comp_b AND (gid_a <> gid_b OR a < b)")
         .select("a", "b")
     )
-    more = stage(verified(pairs), "links")
-    if more.limit(1).count():
-        at = nodes.select("rid", "comp")
-        joined = more.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        top = components(joined).toDF("comp", "top")
-        nodes = nodes.join(top, "comp", "left").withColumn("comp", F.coalesce("top", "comp"))
+    nodes = merged(nodes, stage(verified(pairs), "links"))
     named = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = stage(nodes.join(named, "comp").select("digest", "component_id", "class_size"), "classes")
     release(lists)
