@@ -3,9 +3,10 @@
 Two texts link when their sets of distinct word shingles have a Jaccard similarity of at least
 ``percent`` / 100. The join is exact up to equal 64-bit shingle values:
 
-1. shingles are counted over the whole corpus in packed form; the most frequent ones (a table of at
-   most ``FREQUENT`` entries) come last in the order of every set, all others by value. Any one order
-   gives right results; this one keeps common passages out of the prefixes;
+1. shingles are counted over the whole corpus in packed form. In the order of every set those that
+   occur once come first, then repeated ones (a bit map of fixed size), last the most frequent ones
+   by count (a table of at most ``FREQUENT`` entries). Any one order gives right results; this one
+   keeps shared passages out of the prefixes;
 2. the first n - ceil(t n) + 1 shingles of a set of n are its prefix. Linked sets share a prefix
    shingle. Texts with equal sets are one node, nodes with equal prefix and size one group;
 3. groups meet by prefix shingle. A first round compares each group with one leader of each
@@ -13,8 +14,11 @@ Two texts link when their sets of distinct word shingles have a Jaccard similari
 4. a second round compares the groups of a shingle that are still apart with another leader, drawn
    for each shingle, so near copies that miss the first leader find one of its neighbours;
 5. the last round pairs all groups that share a prefix shingle and aren't yet in one component,
-   filters the pairs by size and position, expands them to members and verifies these. Lists of
-   frequent shingles are split in cells. So no link between components is lost.
+   filters the pairs by size, position and parity map, expands them to members and verifies these.
+   A parity map has a bit for each of 512 slots of the shingle values, set if the slot holds an odd
+   number; two sets differ in at least as many shingles as their maps in bits, so a filter by it
+   loses no link. Each entry carries the first EARLIER shared shingles before it, so most pairs meet
+   at their first common shingle only. Lists of frequent shingles are split in cells. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,18 +28,24 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.common import components, release, stage, sweep
 from textmill.llm.shingles import text_sets
 
-#: Entries of the table of frequent shingles, which is broadcast: 8 MB.
-FREQUENT = 1 << 20
+#: Entries of the table of frequent shingles and bits of the map of repeated ones, which are broadcast:
+#: 8 and 32 MB at most. Past some 100 million repeated shingles the map fills up; lists then get longer,
+#: results stay the same.
+FREQUENT, REPEATED = 1 << 20, 1 << 28
 #: A prefix shingle of so many texts is dealt out over several tasks.
 HOT = 20_000
-#: Groups of one shingle that one cell of the second round holds.
+#: Groups of one shingle that one cell of the last round holds.
 CELL = 1_000
+#: Earlier shared shingles that a list entry carries in the last round.
+EARLIER = 4
+#: 64-bit words of a set's parity map.
+WORDS = 8
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -110,51 +120,68 @@ def _count_keys(ranges: int):
 
         k, c = merged([(_unpack(a, np.uint32), np.frombuffer(zstandard.decompress(b), np.uint32)) for a, b in zip(pdf["keys"], pdf["counts"])])
         top = FREQUENT // ranges
-        keep = np.flatnonzero(c >= 2)
+        width = REPEATED // ranges
+        map_ = np.zeros(width, bool)
+        map_[(k[c >= 2] >> np.uint32(4)).astype(np.int64) % width] = True
+        keep = np.flatnonzero(c >= 4)
         if len(keep) > top:
             keep = np.sort(keep[np.argsort(-c[keep].astype(np.int64), kind="stable")[:top]])
-        return pd.DataFrame({"keys": [k[keep].tobytes()], "counts": [c[keep].tobytes()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "keys": [k[keep].tobytes()], "counts": [c[keep].tobytes()], "map": [zstandard.compress(np.packbits(map_).tobytes(), 1)]})
 
     return run, most
 
 
-def frequent_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Upper halves of the most frequent shingle values, ascending, and in how many texts each is.
+def frequent_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Upper halves of the most frequent shingle values, ascending; in how many texts each is; and a map
+    with a bit set for each 28-bit upper part of a value that more than one text has.
 
-    Counts cover every text. The table has at most FREQUENT entries however large the corpus is.
+    Counts cover every text. All three have a fixed size at most, however large the corpus is.
     """
-    run, most = _count_keys(_ranges(texts.sparkSession))
+    ranges = _ranges(texts.sparkSession)
+    run, most = _count_keys(ranges)
     packed = texts.mapInArrow(run, "part int, keys binary, counts binary")
-    rows = packed.groupBy("part").applyInPandas(most, "keys binary, counts binary").collect()
+    rows = packed.groupBy("part").applyInPandas(most, "part int, keys binary, counts binary, map binary").collect()
     keys = np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows] or [np.empty(0, np.uint32)])
     counts = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows] or [np.empty(0, np.uint32)])
+    bits = np.zeros((ranges, REPEATED // ranges // 8), np.uint8)
+    for r in rows:
+        bits[r["part"]] = np.frombuffer(zstandard.decompress(r["map"]), np.uint8)
     order = np.argsort(keys)
-    return keys[order], counts[order]
+    return keys[order], counts[order], bits.ravel()
 
 
-def _lookup(keys, counts, s):
-    if len(keys) == 0:
-        return np.zeros(len(s), np.uint32)
+def _parity(s: np.ndarray) -> np.ndarray:
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _lookup(frequent, s):
+    """Count of each shingle if it is frequent, 1 if it is repeated, else 0."""
+    keys, counts, bits = frequent
     k = (s >> np.uint64(32)).astype(np.uint32)
+    slot = k >> np.uint32(4)
+    known = ((bits[slot >> np.uint32(3)] >> (7 - (slot & np.uint32(7))).astype(np.uint8)) & 1).astype(np.int64)
+    if len(keys) == 0:
+        return known
     at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-    return np.where(keys[at] == k, counts[at], 0)
+    return np.where(keys[at] == k, counts[at].astype(np.int64), known)
 
 
 def _prefixes(frequent, percent: int):
     def run(batches):
-        keys, counts = frequent.value
+        table = frequent.value
         for batch in batches:
             rows = []
             for s in text_sets(batch.column(1)):
                 n = len(s)
                 if n == 0:
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
-                order = np.lexsort((s, _lookup(keys, counts, s)))
+                order = np.lexsort((s, _lookup(table, s)))
                 prefix = s[order[: n - (percent * n + 99) // 100 + 1]].tobytes()
-                rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=16).digest(), prefix))
-            cols = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary())))], names=["doc_id", "n", "digest", "pdigest", "prefix"])
+                rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=16).digest(), prefix, _parity(s)))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))))], names=["doc_id", "n", "digest", "pdigest", "prefix", "bits"])
 
     return run
 
@@ -165,7 +192,7 @@ def _postings(frequent, ranges: int):
     names = ["part", "tok", "gid", "n", "pos"]
 
     def run(batches):
-        keys, counts = frequent.value
+        table = frequent.value
         for batch in batches:
             gids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             i = 0
@@ -180,7 +207,7 @@ def _postings(frequent, ranges: int):
                 tok = np.concatenate(toks)
                 gid, n = np.repeat(gids[i:j], lens), np.repeat(sizes[i:j], lens)
                 pos = np.arange(len(tok)) - np.repeat(np.cumsum(lens) - lens, lens)
-                hot = _lookup(keys, counts, tok) >= HOT
+                hot = _lookup(table, tok) >= HOT
                 part = np.where(hot, -1 - (mix_id(gid) % ranges).astype(np.int64), (tok >> shift).astype(np.int64))
                 order = np.lexsort((tok, part))
                 tok, gid, n, pos, part = tok[order], gid[order], n[order], pos[order], part[order]
@@ -247,13 +274,13 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_keys(docs.select("text")))
-    rows = docs.mapInArrow(_prefixes(frequent, percent), "doc_id long, n long, digest binary, pdigest binary, prefix binary")
+    rows = docs.mapInArrow(_prefixes(frequent, percent), "doc_id long, n long, digest binary, pdigest binary, prefix binary, bits array<long>")
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "prefixes")
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     groups = able.groupBy("pdigest").agg(F.min(F.struct("rid", "n", "prefix")).alias("m")).select("pdigest", "m.*")
     groups = stage(groups.withColumnRenamed("rid", "gid"), "groups")
-    nodes = able.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "pdigest")).alias("m"), F.count("*").alias("class_size"))
-    nodes = nodes.select("digest", "m.rid", "m.doc_id", "m.pdigest", "class_size")
+    nodes = able.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "pdigest", "bits")).alias("m"), F.count("*").alias("class_size"))
+    nodes = nodes.select("digest", "m.rid", "m.doc_id", "m.pdigest", "m.bits", "class_size")
     nodes = stage(nodes.join(groups.select("pdigest", "gid", "n"), "pdigest").drop("pdigest"), "nodes")
 
     ranges = _ranges(spark)
@@ -292,7 +319,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def apart(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Range of the members' components of each group; lists whose groups aren't all in one component."""
-        span = nodes.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        span = nodes.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
         ranged = lists.join(span, "gid")
         mixed = ranged.groupBy("tok").agg(F.count("*").alias("c"), F.min("low").alias("l"), F.max("high").alias("h")).where("l < h AND c > 1")
         return span, ranged.join(mixed.select("tok", "c"), "tok")
@@ -307,6 +334,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # second round: another leader, drawn for each shingle
     _, open_lists = apart(nodes)
+    open_lists = open_lists.drop("bits")
     lead = open_lists.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "gid").alias("h"), "gid", "n", "pos", "low", "high")).alias("l"))
     stars = open_lists.join(lead, "tok").where("gid <> l.gid AND NOT (low = l.high AND high = l.low)").where(_fits("n", "l.n", "pos", "l.pos", percent))
     stars = stars.select(F.least("gid", "l.gid").alias("a"), F.greatest("gid", "l.gid").alias("b"))
@@ -314,12 +342,21 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # last round: all groups that share a shingle and are still apart
     span, open_lists = apart(nodes)
+    own = Window.partitionBy("gid").orderBy("pos")  # the prefix of one set
+    all_own = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    firsts = F.filter(F.array(*(F.nth_value("tok", i + 1).over(all_own) for i in range(EARLIER))), lambda x: x.isNotNull())
+    open_lists = open_lists.withColumn("place", F.row_number().over(own)).withColumn("firsts", firsts)
+    open_lists = open_lists.withColumn("prev", F.slice("firsts", F.lit(1), F.least(F.col("place") - 1, F.lit(EARLIER))))
     open_lists = open_lists.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("c") / CELL)).cast("int")).withColumn("own", F.expr("pmod(xxhash64(gid), k)").cast("int"))
     dealt = open_lists.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    side = lambda i, j, s: dealt.select("tok", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "low", "high")))
+    side = lambda i, j, s: dealt.select("tok", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "low", "high", "bits", "prev")))
     met = side("own", "other", "a").join(side("other", "own", "b"), ["tok", "i", "j"])
     met = met.where("gid_a < gid_b AND NOT (low_a = high_b AND high_a = low_b)")
-    met = met.where(_fits("n_a", "n_b", "pos_a", "pos_b", percent)).select("gid_a", "gid_b")
+    met = met.where(_fits("n_a", "n_b", "pos_a", "pos_b", percent))
+    differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(WORDS))
+    met = met.where("NOT arrays_overlap(prev_a, prev_b)")
+    # groups of several sets have no one map
+    met = met.where(f"bits_a IS NULL OR bits_b IS NULL OR ({differ}) * {100 + percent} <= {100 - percent} * (n_a + n_b)").select("gid_a", "gid_b")
     met = met.union(span.where("low < high").select("gid", "gid")).distinct()
     member = nodes.select("gid", "rid", "comp")
     pairs = (
@@ -331,7 +368,8 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     nodes = merged(nodes, stage(verified(pairs), "links"))
     named = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     known = stage(nodes.join(named, "comp").select("digest", "component_id", "class_size"), "classes")
-    release(lists)
+    release(lists, texts)
+    sweep(spark)
     out = rows.select("doc_id", "n", "digest").join(known, "digest", "left")
     return out.select(
         "doc_id",
