@@ -35,9 +35,10 @@ from textmill.llm.common import components, release, stage, sweep
 from textmill.llm.shingles import text_sets
 
 #: Entries of the table of frequent shingles and bits of the map of repeated ones, which are broadcast:
-#: 8 and 32 MB at most. Past some 100 million repeated shingles the map fills up; lists then get longer,
+#: 8 and 16 MB at most. Past some 50 million repeated shingles the map fills up; lists then get longer,
 #: results stay the same.
-FREQUENT, REPEATED = 1 << 20, 1 << 28
+FREQUENT, REPEATED = 1 << 20, 1 << 27
+_SLOT = np.uint32(32 - (REPEATED.bit_length() - 1))
 #: A prefix shingle of so many texts is dealt out over several tasks.
 HOT = 20_000
 #: Groups of one shingle that one cell of the last round holds.
@@ -122,7 +123,7 @@ def _count_keys(ranges: int):
         top = FREQUENT // ranges
         width = REPEATED // ranges
         map_ = np.zeros(width, bool)
-        map_[(k[c >= 2] >> np.uint32(4)).astype(np.int64) % width] = True
+        map_[(k[c >= 2] >> _SLOT).astype(np.int64) % width] = True
         keep = np.flatnonzero(c >= 4)
         if len(keep) > top:
             keep = np.sort(keep[np.argsort(-c[keep].astype(np.int64), kind="stable")[:top]])
@@ -133,7 +134,7 @@ def _count_keys(ranges: int):
 
 def frequent_keys(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Upper halves of the most frequent shingle values, ascending; in how many texts each is; and a map
-    with a bit set for each 28-bit upper part of a value that more than one text has.
+    with a bit set for each 27-bit upper part of a value that more than one text has.
 
     Counts cover every text. All three have a fixed size at most, however large the corpus is.
     """
@@ -159,7 +160,7 @@ def _lookup(frequent, s):
     """Count of each shingle if it is frequent, 1 if it is repeated, else 0."""
     keys, counts, bits = frequent
     k = (s >> np.uint64(32)).astype(np.uint32)
-    slot = k >> np.uint32(4)
+    slot = k >> _SLOT
     known = ((bits[slot >> np.uint32(3)] >> (7 - (slot & np.uint32(7))).astype(np.uint8)) & 1).astype(np.int64)
     if len(keys) == 0:
         return known
@@ -279,8 +280,8 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     groups = able.groupBy("pdigest").agg(F.min(F.struct("rid", "n", "prefix")).alias("m")).select("pdigest", "m.*")
     groups = stage(groups.withColumnRenamed("rid", "gid"), "groups")
-    nodes = able.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "pdigest", "bits")).alias("m"), F.count("*").alias("class_size"))
-    nodes = nodes.select("digest", "m.rid", "m.doc_id", "m.pdigest", "m.bits", "class_size")
+    nodes = able.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "pdigest", "bits")).alias("m"), F.min("doc_id").alias("least_id"), F.count("*").alias("class_size"))
+    nodes = nodes.select("digest", "m.rid", "m.doc_id", "m.pdigest", "m.bits", "least_id", "class_size")
     nodes = stage(nodes.join(groups.select("pdigest", "gid", "n"), "pdigest").drop("pdigest"), "nodes")
 
     ranges = _ranges(spark)
@@ -366,7 +367,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select("a", "b")
     )
     nodes = merged(nodes, stage(verified(pairs), "links"))
-    named = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = nodes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
     known = stage(nodes.join(named, "comp").select("digest", "component_id", "class_size"), "classes")
     release(lists, texts)
     sweep(spark)
