@@ -73,7 +73,7 @@ class WordBpe:
             s = self._symbols(self.tokens[token])
             self._automaton.add_word(s, (len(s), token))
         self._automaton.make_automaton()
-        self.pieces = Remembered(self._piece)
+        self.pieces = Remembered(self._piece, 200_000, 200_000)
         self.tokenizer = None
         self.path = path
 

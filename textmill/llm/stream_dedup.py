@@ -50,6 +50,7 @@ def keyed_state(spark: SparkSession, path: str, schema, batches: int) -> DataFra
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="128",
         spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",  # many small stores
+        spark__sql__streaming__stateStore__rocksdb__writeBufferSizeMB="8",
     ):
         writer = (
             state.writeStream.outputMode("update")
