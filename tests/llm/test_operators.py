@@ -335,18 +335,3 @@ def test_toxicity_learns_from_labels(spark):
     assert [r.predicted for r in got if r.doc_id is None] == [1] and [r.predicted for r in got if r.doc_id in (1000, 1001)] == [0, 0]
     assert score_toxicity(docs, known.limit(0)).count() == len(rows)
     assert score_toxicity(docs.limit(0), known).count() == 0
-
-
-def test_pipeline_stages_keep_columns(spark, rows, tmp_path):
-    pipeline = pytest.importorskip("corpus_pipeline")
-    path = f"{tmp_path}/documents.parquet"
-    spark.createDataFrame(rows, DOC).write.parquet(path)
-    docs = spark.read.parquet(path)
-    for name, stage in pipeline.STAGES[:-1]:
-        out = stage(spark, docs, str(tmp_path))
-        assert out.columns == docs.columns, name
-        out.write.parquet(f"{tmp_path}/{name}")
-        docs = spark.read.parquet(f"{tmp_path}/{name}")
-    last = pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert last.count() == docs.count() > 0
-    assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
