@@ -228,6 +228,31 @@ PII = {
 }
 
 
+def test_embedding_dedup_misses_no_pair_of_a_large_label(spark, monkeypatch):
+    from textmill.llm import embedding_dedup as e
+
+    monkeypatch.setattr(e, "CELL", 4_096)  # six cells
+    rng = np.random.default_rng(11)
+    base = rng.standard_normal((20_000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    extra = []
+    for k in range(2_000):  # partners at cosine 0.9301 to 0.95
+        u = base[k]
+        w = rng.standard_normal(64)
+        w -= (w @ u) * u
+        c = 0.9301 + 0.02 * k / 2_000
+        extra.append(c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w))
+    x = np.concatenate([base, extra])
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in e.projection_dedup(rows).collect()}
+    missed = [k for k in range(2_000) if got[k].component_id != got[20_000 + k].component_id or got[k].n_links < 1]
+    assert not missed
+    norm = np.linalg.norm(x, axis=1)
+    for k in range(0, len(x), 500):
+        cosine = x[k] @ x.T / (norm[k] * norm)
+        assert got[k].n_links == int((cosine >= 0.93).sum()) - 1
+
+
 def base_spans(text):
     def luhn(d):
         return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0

@@ -1,111 +1,88 @@
-"""Embedding near-dedup by sorted projection passes.
-
-Each pass orders the vectors of a label by concatenated random hyperplane bits, compares every vector
-with its ``window`` successors and keeps the pairs whose cosine reaches the threshold. Pairs of all
-passes are united. Positions are global: a sorted pass is cut in blocks of ``BLOCK`` vectors that
-overlap by one window, so no comparison is lost at a partition's end and no group is unbounded.
+"""Embedding near-dedup by an exact sweep over cells.
+
+The vectors of a label are dealt to cells of bounded size, and every two cells of a label are compared
+in one group, each cell with itself too, so every pair of a label is compared once and recall is 1
+by construction. A group gives back no pairs, but for each vector its number of links and one
+edge to the smallest vector that links within the group reach. The comparisons grow with the square of a
+label's vectors; they are matrix products in single precision, and pairs close to the threshold are
+compared again in double precision.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, release, stage
-
-BITS = 62
-BLOCK = 2_048
-#: Vectors of one component that one cell of the link count holds.
-CELL = 1_024
-
-
-def _signatures(passes: int, seed: int):
-    planes: dict[tuple[int, int], np.ndarray] = {}
-    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
-
-    def run(batches):
-        for batch in batches:
-            vectors = batch.column(2)
-            sizes = np.diff(vectors.offsets.to_numpy())
-            for dim in np.unique(sizes):
-                at = np.flatnonzero(sizes == dim)
-                x = np.array(vectors.take(pa.array(at)).flatten(), dtype=float).reshape(len(at), dim)
-                rid, label = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
-                for p in range(passes):
-                    if (p, dim) not in planes:
-                        planes[p, dim] = np.random.Generator(np.random.PCG64([seed, p, int(dim)])).standard_normal((dim, BITS))
-                    key = ((x @ planes[p, dim]) >= 0) @ weights
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), label, pa.array(np.full(n, dim, np.int32)), pa.array(key), rid], names=["pass", "label", "dim", "key", "rid"])
-
-    return run
+from textmill.llm.common import components, stage
 
+#: A label has a cell for each FEW vectors up to SPLIT cells, then more cells when they would exceed CELL.
+FEW, SPLIT, CELL = 1_024, 4, 8_192
+#: Rows of one matrix product, and pairs compared again in double precision at once.
+ROWS, AGAIN = 512, 65_536
 
-def _numbered(batches):
-    from pyspark import TaskContext
 
-    part, at = TaskContext.get().partitionId(), 0
-    for batch in batches:
-        n = len(batch)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=[*batch.schema.names, "part", "idx"])
-        at += n
+def _merge(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (each a node's number) after the nodes a[i] and b[i] are joined; the smallest label stays."""
+    while True:
+        x, y = lab[a], lab[b]
+        apart = x != y
+        if not apart.any():
+            return lab
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        to = np.arange(len(lab))
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (up := to[to]).tobytes() != to.tobytes():
+            to = up
+        lab = to[lab]
 
 
-def _compare(threshold: float, window: int):
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("pos", kind="stable")
-        a, b = [], []
-        own, rid = pdf["own"].to_numpy(), pdf["rid"].to_numpy()
-        kind = pdf.groupby(["pass", "label", "dim"], sort=False).ngroup().to_numpy()
-        for k in np.unique(kind):
-            at = np.flatnonzero(kind == k)
-            x = np.stack(pdf["embedding"].to_numpy()[at]).astype(float)
-            norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-            for step in range(1, min(window, len(at) - 1) + 1):
-                cosine = np.einsum("ij,ij->i", x[:-step], x[step:]) / (norm[:-step] * norm[step:])
-                hit = np.flatnonzero((cosine >= threshold) & own[at[:-step]])
-                a.append(rid[at[hit]])
-                b.append(rid[at[hit + step]])
-        a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return run
-
+def _sweep(threshold: float):
+    """(rid, links, low) of the vectors of one or two cells with links between them."""
 
-def _count_links(threshold: float):
     def run(pdf):
         import pandas as pd
 
-        side = pdf["side"].to_numpy()
-        out = []
+        pdf = pdf.sort_values("rid", kind="stable")
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        rid, copies, own = pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
         x = np.stack(pdf["embedding"].to_numpy()).astype(float)
         norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        rid, copies = pdf["rid"].to_numpy(), pdf["copies"].to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        for at in range(0, len(left), 512):
-            i = left[at : at + 512]
-            near = (x[i] @ x[right].T) / np.outer(norm[i], norm[right]) >= threshold
-            near &= rid[i][:, None] != rid[right][None, :]
-            out.append(pd.DataFrame({"rid": rid[i], "links": near @ copies[right]}))
-        return pd.concat(out) if out else pd.DataFrame({"rid": pd.Series(dtype="int64"), "links": pd.Series(dtype="int64")})
+        unit = (x / norm[:, None]).astype(np.float32)
+        slack = max(1e-4, x.shape[1] * 2.4e-7)  # of a product in single precision
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        links, lab = np.zeros(len(rid), np.int64), np.arange(len(rid))
+        for at in range(0, len(left), ROWS):
+            rows = left[at : at + ROWS]
+            cosine = unit[rows] @ unit[right].T
+            a, b = np.nonzero(cosine >= threshold - slack)
+            near = cosine[a, b] > threshold + slack
+            close = np.flatnonzero(~near)
+            for k in range(0, len(close), AGAIN):
+                some = close[k : k + AGAIN]
+                u, v = rows[a[some]], right[b[some]]
+                near[some] = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= threshold
+            near &= rows[a] != right[b]
+            a, b = a[near], b[near]
+            links[rows] += np.bincount(a, copies[right[b]], len(rows)).astype(np.int64)
+            if i != j:
+                links[right] += np.bincount(b, copies[rows[a]], len(right)).astype(np.int64)
+            lab = _merge(lab, rows[a], right[b])
+        hit = np.flatnonzero(links)
+        return pd.DataFrame({"rid": rid[hit], "links": links[hit], "low": rid[lab[hit]]})
 
     return run
 
 
-def projection_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int = 12, window: int = 16, seed: int = 5) -> DataFrame:
+def projection_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
     Vectors link when labels are equal and their cosine in double precision reaches the threshold.
     Null, empty and zero vectors, those with null or non-finite components, a null label or a null
     vec_id link with nothing (n_links 0; component_id is the row's own vec_id). Equal vectors of one
     label are one node with its number of copies, so copies are counted but never paired. Vectors of
-    different lengths don't link. Pairs are found with a probability that grows with passes and
-    window; within the components found, n_links is then counted in full, in cells of bounded size,
-    without writing pairs.
+    different lengths don't link. Every pair of a label is compared, in groups of at most two cells.
+    (The name is from the projection passes that found pairs before.)
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     fine = (
@@ -119,35 +96,19 @@ def projection_dedup(vectors: DataFrame, threshold: float = 0.93, passes: int =
     nodes = rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     nodes = stage(nodes.withColumn("rid", F.monotonically_increasing_id()), "vectors")
 
-    order = ["pass", "label", "dim", "key", "rid"]
-    schema = "pass int, label long, dim int, key long, rid long"
-    keys = nodes.select("rid", "label", "embedding").mapInArrow(_signatures(passes, seed), schema)
-    keys = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, schema + ", part int, idx long")
-    keys = stage(keys, "passes")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = keys.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each partition
-    placed = keys.join(parts.select("part", "base"), "part").withColumn("pos", F.col("base") + F.col("idx"))
-    block = F.expr(f"pos div {BLOCK}")
-    ahead = F.when((F.col("pos") % BLOCK < window) & (block > 0), F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own"))))
-    dealt = placed.withColumn("to", F.explode(F.coalesce(ahead, F.array(F.struct(block.alias("block"), F.lit(True).alias("own"))))))
-    dealt = dealt.select("to.block", "to.own", "pos", "pass", "label", "dim", "rid").join(nodes.select("rid", "embedding"), "rid")
-    found = stage(dealt.groupBy("block").applyInPandas(_compare(threshold, window), "a long, b long").distinct(), "pairs")
-    comp = components(found)
-    release(keys)
-
-    nodes = nodes.join(comp.withColumnRenamed("node", "rid"), "rid", "left")
-    nodes = stage(nodes.withColumn("comp", F.coalesce("comp", "rid")), "vectors")
-    sizes = nodes.groupBy("comp").agg(F.count("*").alias("m"), F.min("vec_id").alias("component_id"), F.sum("copies").alias("all"))
-    sized = stage(nodes.join(sizes, "comp"), "sized")
-    # two nodes in a component are linked with each other; larger ones are counted in cells
-    large = sized.where("m > 2").withColumn("k", F.ceil(F.col("m") / CELL).cast("int")).withColumn("own", F.expr("pmod(xxhash64(rid), k)").cast("int"))
-    other = F.explode(F.expr("sequence(0, k - 1)")).alias("other")
-    large = large.select("comp", "rid", "copies", "embedding", "own", other)
-    left = large.select("comp", F.col("own").alias("i"), F.col("other").alias("j"), "rid", "copies", "embedding", F.lit(0).alias("side"))
-    right = large.select("comp", F.col("other").alias("i"), F.col("own").alias("j"), "rid", "copies", "embedding", F.lit(1).alias("side"))
-    counted = left.union(right).groupBy("comp", "i", "j").applyInPandas(_count_links(threshold), "rid long, links long")
-    counted = counted.groupBy("rid").agg(F.sum("links").alias("links"))
-    known = sized.join(counted, "rid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.col("all") - F.col("copies")))
+    sizes = nodes.withColumn("dim", F.size("embedding")).groupBy("label", "dim").agg(F.count("*").alias("m"))
+    cells = F.greatest(F.ceil(F.col("m") / CELL), F.least(F.lit(SPLIT), F.ceil(F.col("m") / FEW))).cast("int")
+    dealt = nodes.withColumn("dim", F.size("embedding")).join(sizes.withColumn("k", cells), ["label", "dim"])
+    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(rid), k)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
+    dealt = dealt.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "copies", "embedding")
+    found = stage(dealt.groupBy("label", "dim", "i", "j").applyInPandas(_sweep(threshold), "rid long, links long, low long"), "links")
+    comp = components(found.select(F.col("rid").alias("a"), F.col("low").alias("b")))
+    counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
+
+    nodes = nodes.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    nodes = stage(nodes.join(counted, "rid", "left"), "vectors")
+    names = nodes.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
+    known = nodes.join(names, "comp").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
     known = stage(known.select("label", "embedding", "component_id", "n_links"), "known")
     lone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     linked = rows.where("fine").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
