@@ -139,6 +139,11 @@ def test_keyed_tables(spark, tmp_path):
     assert io.read_csv(spark, f"{tmp_path}/c", "id_curso string, creditos int").count() == 4
 
 
+def test_next_id_keeps_long_numbers(spark):
+    for n, want in ((8, "S09"), (9, "S10"), (98, "S99"), (99, "S100"), (100, "S101"), (12_345, "S12346")):
+        assert keyed.next_id(spark.createDataFrame([(n,)], "key long"), "key", "S").collect()[0].next_id == want
+
+
 def test_log_and_scores(spark, tmp_path):
     lines = [
         "Partida iniciada: Dificultad: HARD, Modo barcos: RUSO, Rivales: 2",

@@ -58,7 +58,8 @@ def enroll_many(requests: DataFrame, first_id: int, date) -> DataFrame:
 def next_id(table: DataFrame, key: str, prefix: str = "", by_count: bool = False) -> DataFrame:
     """One row with the next key: the largest number + 1, or count + 1, which may collide after deletes."""
     number = F.count("*") if by_count else F.coalesce(F.max(F.regexp_extract(F.col(key).cast("string"), "([0-9]+)$", 1).cast("long")), F.lit(0))
-    return table.agg(F.concat(F.lit(prefix), F.lpad((number + 1).cast("string"), 2, "0")).alias("next_id"))
+    text = (number + 1).cast("string")
+    return table.agg(F.concat(F.lit(prefix), F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)).alias("next_id"))
 
 
 def roster(enrolments: DataFrame, students: DataFrame, courses: DataFrame, how: str = "inner") -> DataFrame:

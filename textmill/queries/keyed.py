@@ -82,6 +82,12 @@ def next_id(spark, sf_dir):
     return k.next_id(table(spark, sf_dir, "supplier").where("s_suppkey < 9"), "s_suppkey", "S")
 
 
+@query("SELECT 'S' || CASE WHEN max(s_suppkey) + 1 < 10 THEN '0' ELSE '' END || CAST(max(s_suppkey) + 1 AS VARCHAR) AS next_id FROM supplier")
+def next_id_all(spark, sf_dir):
+    """next_id over the whole table."""
+    return k.next_id(table(spark, sf_dir, "supplier"), "s_suppkey", "S")
+
+
 @query("SELECT n_name, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0")
 def membership(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
