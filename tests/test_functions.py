@@ -106,6 +106,15 @@ def test_crawl_depths(spark):
     assert {r.url: r.depth for r in html.crawl_frontier(seeds, hops).collect()} == {"a": 1, "b": 2, "p": 1, "q": 2}
 
 
+def test_crawl_goes_on_until_the_frontier_is_empty(spark):
+    seeds = spark.createDataFrame([("a", 0)], "url string, depth int")
+    hops = [("a", "p", "PDF"), ("p", "b", "HTML"), ("b", "c", "HTML"), ("c", "over", "HTML")]  # a PDF hop, then two HTML hops
+    hops += [("a", "x", "HTML"), ("x", "z", "HTML"), ("a", "q", "PDF"), ("q", "r", "PDF"), ("r", "z", "PDF"), ("z", "y", "HTML"), ("y", "a", "PDF")]  # z: first at 2, then at 0
+    got = html.crawl_frontier(seeds, spark.createDataFrame(hops, "url string, target string, kind string")).collect()
+    assert {r.url: r.depth for r in got} == {"a": 0, "p": 0, "b": 1, "c": 2, "x": 1, "q": 0, "r": 0, "z": 0, "y": 1} and len(got) == 9
+    assert one(spark, html.canonical_address(F.lit("HTTPS://www.X.org:443/a/?utm_source=f&b=1&ref=x#top"))) == "x.org/a?b=1"
+
+
 def test_classes(spark):
     cls = lambda u, s: one(spark, html.classify(F.lit(u), F.lit(s))).category
     assert [cls("http://x/ley-1", ""), cls("http://x", "Solicitud"), cls("http://autismo", ""), cls("http://x", "autismo")] == ["LEY", "PROCEDIMIENTO", "ASOCIACION", "GUIA"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import col, last_wins, slug, strip
+from textmill.sources.tables import scratch_dir
 
 #: Keywords that make a link relevant, and those of the document classes.
 PRIORITY_WORDS = ("boja", "boe", "ley", "decreto", "orden", "resolucion", "normativa", "legislacion", "real decreto", "instruccion", "convenio", "disposicion")
@@ -190,23 +191,43 @@ def cap_links(links: DataFrame) -> DataFrame:
     return links.withColumn("rank", rank).where(F.col("rank") <= cap)
 
 
+def canonical_address(url: str | Column) -> Column:
+    """host/path?query of a web address: host in lower case without www. and a default port, no tracking
+    parameters, slashes at the path's end or fragment. Other addresses stay as they are."""
+    u = F.regexp_replace(col(url), "#.*$", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, "^(?i)https?://([^/?]+)", 1)), "^www[.]|:(?:80|443)$", "")
+    path = F.regexp_replace(F.regexp_extract(u, "^(?i)https?://[^/?]+([^?]*)", 1), "/+$", "")
+    query = F.regexp_extract(u, "^[^?]*[?](.*)$", 1)
+    query = F.regexp_replace(F.regexp_replace(query, "(?i)(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*", ""), "^&", "")
+    return F.when(host == "", col(url)).otherwise(F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+
+
 def start_depth(url: str | Column) -> Column:
     return F.when(F.lower(col(url)).rlike("boja|ley|decreto|orden"), 2).otherwise(1)
 
 
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 2) -> DataFrame:
-    """(url, depth) reached from seeds(url, depth) over links(url, target, kind): breadth first, least
-    depth wins; PDF targets keep the depth of their page, others are one deeper; pages at max_depth
-    aren't expanded. At most 2 * max_depth + 1 joins, each against the pages not yet visited."""
-    visited = seeds.groupBy("url").agg(F.min("depth").alias("depth"))
+    """(url, depth) reached from seeds(url, depth) over links(url, target, kind): least depth wins; PDF
+    targets keep the depth of their page, others are one deeper; pages at max_depth aren't expanded.
+    Each round follows the pages that are new or were reached at less depth, until there are none."""
+
+    def staged(df: DataFrame) -> DataFrame:
+        path = scratch_dir(df.sparkSession, "frontier")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    visited = staged(seeds.groupBy("url").agg(F.min("depth").alias("depth")))
     frontier = visited
-    hops = links.select("url", "target", "kind").distinct()
-    for _ in range(max_depth):
+    hops = staged(links.select("url", "target", "kind").distinct())
+    while True:
         step = frontier.where(F.col("depth") < max_depth).join(hops, "url")
         reached = step.select(F.col("target").alias("url"), (F.col("depth") + F.when(F.col("kind") == "PDF", 0).otherwise(1)).alias("depth"))
-        frontier = reached.groupBy("url").agg(F.min("depth").alias("depth")).join(visited.select("url"), "url", "left_anti")
-        visited = visited.unionByName(frontier)
-    return visited
+        reached = reached.groupBy("url").agg(F.min("depth").alias("depth"))
+        had = visited.withColumnRenamed("depth", "had")
+        frontier = staged(reached.join(had, "url", "left").where("had IS NULL OR depth < had").select("url", "depth"))
+        if frontier.isEmpty():
+            return visited
+        visited = staged(visited.unionByName(frontier).groupBy("url").agg(F.min("depth").alias("depth")))
 
 
 def classify(url: str | Column, title: str | Column) -> Column:

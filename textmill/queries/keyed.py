@@ -53,6 +53,23 @@ def roster(spark, sf_dir):
     return k.roster(enrolments, students, courses).select("o_orderkey", "c_name", "p_name")
 
 
+@query("SELECT o_orderkey, c_name, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey")
+def roster_all(spark, sf_dir):
+    """roster over all courses."""
+    enrolments = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("id_curso"))
+    enrolments = enrolments.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id_alumno")), "o_orderkey")
+    students = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_alumno"), "c_name")
+    courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")
+    return k.roster(enrolments, students, courses).select("o_orderkey", "c_name", "p_name")
+
+
+@query("SELECT p_partkey AS id_curso, p_name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2")
+def count_per_course_all(spark, sf_dir):
+    """count_per_course over all enrolments."""
+    courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")
+    return k.count_per_course(courses, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id_curso")))
+
+
 @query("SELECT p_partkey AS id_curso, p_name, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY 1, 2")
 def count_per_course(spark, sf_dir):
     courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")

@@ -166,3 +166,27 @@ def crawl_frontier(spark, sf_dir):
     hops = links.select(u.alias("url"), ((F.length("target") * 7 + u * 3 + F.col("pos")) % 40).alias("target"), "kind")
     seeds = spark.range(1).select(F.col("id").alias("url"), F.lit(0).alias("depth"))
     return h.crawl_frontier(seeds, hops)
+
+
+def _canonical(x: str) -> str:
+    u = f"regexp_replace({x}, '#.*$', '')"
+    host = f"regexp_replace(lower(regexp_extract({u}, '(?i)^https?://([^/?]+)', 1)), '^www[.]|:(?:80|443)$', '', 'g')"
+    path = f"regexp_replace(regexp_extract({u}, '(?i)^https?://[^/?]+([^?]*)', 1), '/+$', '')"
+    query = f"regexp_replace(regexp_replace(regexp_extract({u}, '^[^?]*[?](.*)$', 1), '(?i)(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&]*', '', 'g'), '^&', '')"
+    return f"(CASE WHEN {host} = '' THEN {x} ELSE {host} || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END END)"
+
+
+_PAGE_FRONTIER = f"""{_CAPS.replace("WITH", "WITH RECURSIVE", 1)},
+    whole AS (SELECT url, kind, CASE WHEN target LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || target ELSE target END AS target FROM capped),
+    hops AS (SELECT DISTINCT {_canonical("url")} AS url, {_canonical("target")} AS target, kind FROM whole),
+    walk AS (SELECT {_canonical("url")} AS url, 0 AS depth FROM pages UNION SELECT h.target, w.depth + CASE h.kind WHEN 'PDF' THEN 0 ELSE 1 END FROM walk w JOIN hops h ON h.url = w.url WHERE w.depth < 2)
+    SELECT url, min(depth) AS depth FROM walk GROUP BY 1"""
+
+
+@query(_PAGE_FRONTIER)
+def crawl_frontier_pages(spark, sf_dir):
+    """From every page over its capped links, by canonical address. The given links all begin with a slash."""
+    pages = table(spark, sf_dir, "pages")
+    links = h.cap_links(h.split_links(h.page_links(pages).withColumnRenamed("href", "target"), extra=EXTRA_WORDS))
+    hops = links.select(h.canonical_address("url").alias("url"), h.canonical_address(h.absolute_url("url", "target")).alias("target"), "kind")
+    return h.crawl_frontier(pages.select(h.canonical_address("url").alias("url"), F.lit(0).alias("depth")), hops)

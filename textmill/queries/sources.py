@@ -84,3 +84,15 @@ def log_append(spark, sf_dir):
     log = io.read_csv(spark, path, io.LOG).select(F.col("Message").cast("long").alias("n"))
     stamps = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.col("ts").cast("string").alias("stamp"))
     return log.join(stamps, "n").select("n", "stamp")
+
+
+@query("SELECT event_id AS n, CAST(ts AS VARCHAR) AS stamp FROM events")
+def log_append_all(spark, sf_dir):
+    """Two appends that together hold all events, read back."""
+    events = table(spark, sf_dir, "events")
+    path = io.scratch_dir(spark, "log")
+    for k in (0, 1):
+        part = events.where(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == k)
+        io.append_log(part.select(F.date_trunc("second", "ts").alias("Timestamp"), F.col("event_id").cast("string").alias("Message")), path)
+    log = io.read_csv(spark, path, io.LOG).select(F.col("Message").cast("long").alias("n"))
+    return log.join(events.select(F.col("event_id").alias("n"), F.col("ts").cast("string").alias("stamp")), "n").select("n", "stamp")
