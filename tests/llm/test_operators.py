@@ -360,3 +360,21 @@ def test_toxicity_learns_from_labels(spark):
     assert [r.predicted for r in got if r.doc_id is None] == [1] and [r.predicted for r in got if r.doc_id in (1000, 1001)] == [0, 0]
     assert score_toxicity(docs, known.limit(0)).count() == len(rows)
     assert score_toxicity(docs.limit(0), known).count() == 0
+
+
+def test_toxicity_learns_rare_insults(spark):
+    from textmill.llm.toxicity import score_toxicity
+
+    random.seed(21)
+    rows, labels = [], []
+    for i in range(2_400):
+        words = prose(40).split()
+        if i % 2:
+            rare = i % 60 == 1  # 1 in 30 toxic rows has this insult and no other
+            for w in ["nitwit"] if rare else random.sample(["worthless", "idiot", "clown"], 2):
+                words.insert(random.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    rows += [(10_000 + i, prose(40) + " nitwit " + prose(5)) for i in range(20)] + [(20_000 + i, prose(40)) for i in range(20)]
+    got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(got[10_000 + i] for i in range(20)) and not any(got[20_000 + i] for i in range(20))

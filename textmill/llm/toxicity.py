@@ -9,8 +9,9 @@ A window is one word with its blanks. Wider ones were tried: with 3 to 24 words
 between the words' context and either dictionary outweigh a short insult (best F1 0.29 to 0.70 on 3,980
 labelled rows, 0.73 with one word, where 5 in 100 labels are wrong). Both dictionaries end with
 the same tail, and so does every window, because the compressor looks for no match in the last bytes
-of its input. Toxic windows are those of words that toxic rows of the sample use far more often than
-ordinary ones, most frequent last, in front of the ordinary content, so nothing else differs.
+of its input. Toxic windows are all words of the sampled toxic rows whose odds are significant for
+their count, however rare, most frequent last, in front of the ordinary content, so nothing else
+differs. The ordinary dictionary is trained on the whole ordinary rows.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ from textmill.llm.common import Remembered, stage
 
 #: Labelled rows of each class in the training sample.
 SAMPLE = 3_000
-#: Training windows (of 4 words) that each ordinary row of the sample gives.
-PER_ROW = 8
-#: Bytes of the ordinary dictionary; most words in the toxic one.
-ORDINARY, MARKS = 8_192, 400
-#: A mark is in this share of the toxic rows and this many times as frequent as in ordinary ones.
-SHARE, ODDS = 0.05, 6.0
+#: Words in a training window of an ordinary row.
+WIDTH = 4
+#: Bytes of the ordinary dictionary.
+ORDINARY = 8_192
+#: A mark is this many times as frequent in toxic rows as in ordinary ones, and the chance that any
+#: word of the sample gets so many of its rows among the toxic ones is at most CHANCE. Words of one row
+#: aren't independent (a topic brings all its words), so a row's evidence is split among its likely words.
+ODDS, CHANCE = 6.0, 0.05
 #: Distances are counted up to this one.
 MOST = 8
 TAIL = b" 0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -103,8 +106,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, int, np.ndarray]:
-    """Dictionaries, threshold and weights. Only counts of marks, sampled windows and profiles come to
-    the driver, all bounded by SAMPLE."""
+    """Dictionaries, threshold and weights. Only marks, the ordinary rows of the sample and profiles come
+    to the driver, all bounded by SAMPLE rows."""
     spark = docs.sparkSession
     rows = stage(training_rows(docs, labels), "labelled")
 
@@ -119,15 +122,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[bytes, bytes, int, np.ndarr
         return b"", b"", 1, np.array([0.0, 0.0, 10.0 if size.get(1) else -10.0])
     per = rows.mapInArrow(own_words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("o"))
     odds = ((F.col("t") + 0.5) / size[1]) / ((F.col("o") + 0.5) / size[0])
-    marks = per.where((F.col("t") >= max(3, SHARE * size[1])) & (odds >= ODDS)).orderBy(F.desc("t"), "word").limit(MARKS).collect()
+    per = stage(per, "counts")
+    share, seen = size[1] / (size[0] + size[1]), per.count()
+    # Chernoff's bound of the binomial tail of t in t + o rows, over all words seen
+    def significant(t):
+        part = t / (t + F.col("o"))
+        excess = (t + F.col("o")) * (part * F.log(part / share) + F.when(part < 1, (1 - part) * F.log((1 - part) / (1 - share))).otherwise(0.0))
+        return (part > share) & (excess >= float(np.log(max(1, seen) / CHANCE)))
+
+    likely = per.where(F.col("t") > 0).where(significant(F.col("t")) & (odds >= ODDS))
+    found = spark.sparkContext.broadcast({r["word"].encode() for r in likely.select("word").collect()})
+
+    def evidence(batches):  # each toxic row counts once, in equal parts for the likely words it has
+        for b in batches:
+            for text in b.column(0):
+                hit = sorted(set(words(text.as_py())) & found.value)
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in hit], pa.string()), pa.array([1 / max(1, len(hit))] * len(hit), pa.float64())], names=["word", "e"])
+
+    parts = rows.where("toxic = 1").select("text").mapInArrow(evidence, "word string, e double").groupBy("word").agg(F.sum("e").alias("e"))
+    marks = likely.join(parts, "word").where(significant(F.col("e"))).orderBy(F.desc("t"), "word").select("word", "t").collect()
     toxic = b"".join(b" " + r["word"].encode() + b" " for r in reversed(marks))
 
     def windows(batches):
         for b in batches:
             for text in b.column(0):
                 w = words(text.as_py())
-                at = np.unique(np.linspace(0, max(0, len(w) - 4), PER_ROW).astype(int)) if w else []
-                yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w[i : i + 4])[:256] for i in at], pa.binary())], names=["w"])
+                yield pa.RecordBatch.from_arrays([pa.array([b" ".join(w[i : i + WIDTH]) for i in range(0, len(w), WIDTH)], pa.binary())], names=["w"])
 
     samples = [bytes(r["w"]) for r in rows.where("toxic = 0").mapInArrow(windows, "w binary").collect()]
     try:
