@@ -378,3 +378,49 @@ def test_toxicity_learns_rare_insults(spark):
     rows += [(10_000 + i, prose(40) + " nitwit " + prose(5)) for i in range(20)] + [(20_000 + i, prose(40)) for i in range(20)]
     got = {r.doc_id: r.predicted for r in score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert all(got[10_000 + i] for i in range(20)) and not any(got[20_000 + i] for i in range(20))
+
+
+def test_toxicity_scores_as_plain_zstandard(spark):
+    """The scoring pass against plain Python and zstandard; toxic words of families, no word twice the same."""
+    import math
+
+    import zstandard
+
+    from textmill.llm import toxicity as x
+
+    random.seed(33)
+    rows = []
+    for i in range(900):
+        ws = prose(40).split()
+        if i % 3 == 0:
+            for _ in range(3):  # a family: the word differs, its stem doesn't
+                ws.insert(random.randrange(len(ws)), "vequz" + random.choice(VOCAB) + random.choice(VOCAB))
+        rows.append((i, " ".join(ws), "s", i))
+    rows += [(2_000, None, "s", 1), (2_001, "", "s", 1), (2_002, "!!! ... \u3000", "s", 1), (2_003, prose(60_000), "s", 1), (2_004, "vequzthe " * 5_000, "s", 1), rows[0], rows[0], (None, rows[1][1], "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string, score long")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(900)], "doc_id long, toxic int")
+    toxic, ordinary, weights = x.fit(docs, labels)
+    params = zstandard.ZstdCompressionParameters.from_level(9, min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
+    packers = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c + x.TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params) for c in (toxic, ordinary)]
+
+    def plain(text):
+        words = re.findall(rb"[0-9a-z'\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+        gaps = []
+        for w in words:
+            a, b = (len(p.compress(b" " + w + b" " + x.TAIL)) for p in packers)
+            gaps.append(min(x.MOST, max(0, b - a)))
+        low, high = weights[-2:]
+        reach = lambda k: sum(g >= k for g in gaps) * min(1, high / max(1, len(gaps)))
+        f = [math.sqrt(reach(k) / max(30, min(len(gaps), high))) for k in range(1, 6)] + [math.log1p(reach(k)) for k in (2, 3, 4)] + [math.log(min(high, max(low, len(gaps))))]
+        z = sum(a * b for a, b in zip(f, weights)) + weights[9]
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    got = x.score_toxicity(docs, labels).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r.doc_id is None or r.doc_id % 9 == 0 or r.doc_id >= 2_000:
+            assert abs(r.score - plain(texts[r.doc_id])) < 1e-9, r.doc_id
+    held = [r for r in got if r.held_out and r.doc_id < 900]
+    assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
+    assert {r.doc_id: r.predicted for r in got if r.doc_id in (2_000, 2_001, 2_002, 2_003, 2_004)} == {2_000: 0, 2_001: 0, 2_002: 0, 2_003: 0, 2_004: 1}
