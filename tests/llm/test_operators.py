@@ -424,3 +424,26 @@ def test_toxicity_scores_as_plain_zstandard(spark):
     held = [r for r in got if r.held_out and r.doc_id < 900]
     assert sum(r.predicted == int(r.doc_id % 3 == 0) for r in held) >= 0.95 * len(held)
     assert {r.doc_id: r.predicted for r in got if r.doc_id in (2_000, 2_001, 2_002, 2_003, 2_004)} == {2_000: 0, 2_001: 0, 2_002: 0, 2_003: 0, 2_004: 1}
+
+
+def test_token_files_order_null_and_repeated_ids(spark):
+    from textmill.llm.token_files import token_files
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    random.seed(8)
+    rows = [(None, prose(random.randint(0, 9)) or None) for _ in range(250)] + [(None, "same text")] * 400
+    rows += [(i, prose(random.randint(1, 30))) for i in range(330)] + [(7, prose(3)) for _ in range(200)] + [(9, "a")] * 300
+    rows += [(5_000, prose(300_000))]
+    random.shuffle(rows)
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, shard string, part int").repartition(8)
+    runs = []
+    for _ in range(2):
+        got = sorted(token_files(docs, path).collect(), key=lambda r: r.start)
+        ids = [-1 if r.doc_id is None else r.doc_id for r in got]
+        assert ids == sorted(-1 if i is None else i for i, _ in rows)
+        assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+        runs.append([tuple(r) for r in got])
+    assert runs[0] == runs[1]
+    tok = Tokenizer.from_file(path)
+    want = sorted((-1 if i is None else i, len(tok.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in rows)
+    assert sorted((-1 if r[0] is None else r[0], r[2]) for r in runs[0]) == want
