@@ -29,11 +29,11 @@ def canonical_url(url: str | Column) -> Column:
     """Host in lower case without www. and default port, path without closing slash, query without
     tracking parameters, no scheme, no fragment. Null and texts that are no http URL: null."""
     url = F.col(url) if isinstance(url, str) else url
-    shape = r"(?i)^\s*https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)(:[0-9]+)?([^?#]*)(\?[^#]*)?"
+    shape = r"(?i)^\s*https?://(?:[^/?#@]*@)?(?:www\.)?([^/?#:]+)(:[0-9]+)?([^?#]*)(?:\?([^#]*))?"
     part = lambda i: F.regexp_extract(url, shape, i)
     port = F.when(part(2).isin(":80", ":443"), "").otherwise(part(2))
     path = F.regexp_replace(part(3), "/+$", "")
-    query = F.regexp_replace(F.regexp_replace(F.substring(part(4), 2, 1 << 20), f"(?i)(^|&){TRACKING}", ""), "^&", "")
+    query = F.regexp_replace(F.regexp_replace(part(4), f"(?i)(^|&){TRACKING}", ""), "^&", "")
     out = F.concat(F.lower(part(1)), port, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(url.isNotNull() & (part(1) != ""), out)
 
