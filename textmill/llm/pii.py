@@ -25,21 +25,22 @@ BASE = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 )
 KINDS = tuple(k for k, _ in BASE)
-#: What an identifier that no base pattern knows may look like: digits in groups, or a spelled-out address.
+#: What an identifier that no base pattern knows may look like: 7 to 19 digits in groups, or a spelled-out address.
 NUMBER = r"(?<![0-9A-Za-z.])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}+(?![0-9A-Za-z])"
-SPELLED = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]{1,63}+)++"
+SPELLED = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++"
 ROUNDS = 3
 #: A pattern counts with this many different seeds and this score; so does an instance with the score.
 SUPPORT, SCORE = 3, 0.8
-#: Characters before a span in which its pattern's words are looked for.
-BEFORE = 64
+#: Blanks before a span behind which its pattern's words are looked for: two words with up to three signs
+#: between and four after them have fewer.
+BLANKS = 9
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, value, before>> of all leftmost matches; code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    measure = lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("value"), F.substring(g, -BEFORE, BEFORE).alias("before"))
+    measure = lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("value"), F.substring_index(g, " ", -BLANKS).alias("before"))
     lengths = F.zip_with(found, F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), measure)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string,before:string>>").alias("out"))
 
@@ -81,8 +82,9 @@ def _found(text: Column, kind: str, pattern: str, hint: Column) -> Column:
 
 
 def _pattern(before: Column) -> Column:
-    """The last two words before a span, lower-cased, with signs between as one mark; null if there aren't two."""
-    words = F.regexp_extract(F.lower(before), r"(\p{L}[\p{L}']*+[^\p{L}0-9\n]{1,3}\p{L}[\p{L}']*+[^\p{L}0-9\n]{0,4})$", 1)
+    """The last two words before a span, lower-cased, with signs between as one mark; the last one where a
+    line, a number or more signs part them; null if there is none. Words may have any length."""
+    words = F.regexp_extract(F.lower(before), r"(?<![\p{L}'])((?:\p{L}[\p{L}']*+[^\p{L}0-9\n]{1,3})?\p{L}[\p{L}']*+[^\p{L}0-9\n]{0,4})$", 1)
     return F.when(words != "", F.regexp_replace(words, r"[^\p{L}]+", " "))
 
 
@@ -95,7 +97,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     The counts and base_sha256 are those of the base spans; spans lists these and the added ones as
     kind:start:end by kind and start, joined by commas. A null text is empty. Added spans never
-    overlap a base span. Rows are told apart even if they share a doc_id or have none.
+    overlap a base span. Rows are told apart even if they share a doc_id or have none; equal rows get
+    equal spans. Other columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     number = text.rlike("[0-9]")
