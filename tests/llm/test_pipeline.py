@@ -5,12 +5,11 @@ import math
 import re
 from collections import defaultdict
 
-import numpy as np
 import pytest
 
 pytest.importorskip("public_tokenizers")
 pipeline = pytest.importorskip("corpus_pipeline")
-from tests.llm.test_operators import DOC, brute_components, corpus  # noqa: E402
+from tests.llm.test_operators import DOC, brute_components, brute_language, corpus  # noqa: E402
 
 
 def size(t):
@@ -19,49 +18,9 @@ def size(t):
 
 def language_stage(rows):
     """Rows whose best posterior reaches one half and whose text has letters."""
-    from textmill.llm.language import BUCKETS, PRIOR_ROWS, TRIGRAMS, _trigrams
-
-    tag = lambda x: (m[1].lower() if x and (m := re.match(r"\s*([A-Za-z]{2,3})(?:[-_].*)?\s*$", x)) else None)
-    langs = sorted({r[2] for r in rows if r[1] is not None and (r[2] or "").strip()})
-    counts = {la: np.full(BUCKETS, 0.5) for la in langs}
-    for r in rows:
-        if r[1] is not None and r[2] in counts:
-            counts[r[2]] += np.bincount(_trigrams(r[1]), minlength=BUCKETS)
-    logs = np.stack([np.log(c / c.sum()).astype(np.float32) for c in counts.values()], axis=1)
-    soft = lambda v: (lambda e: e / e.sum())(np.exp(v - v.max()))
-    ev, own = [], []
-    for r in rows:
-        g = _trigrams(r[1] or "")
-        ev.append(logs[g].sum(axis=0, dtype=float) * min(len(g), TRIGRAMS) / len(g) if len(g) else None)
-        own.append(soft(ev[-1]) if ev[-1] is not None else None)
-    heard = [i for i in range(len(rows)) if ev[i] is not None]
-    total = 1.0 + sum(own[i] for i in heard)
-    p_all = total / total.sum()
-    says, hosts = defaultdict(lambda: 0.0), defaultdict(lambda: [0.0, 0])
-    for i in heard:
-        if tag(rows[i][2]):
-            says[tag(rows[i][2])] = says[tag(rows[i][2])] + own[i]
-        if rows[i][3] is not None:
-            hosts[rows[i][3]][0] = hosts[rows[i][3]][0] + own[i]
-            hosts[rows[i][3]][1] += 1
-    m, mc = sum(h for h, _ in hosts.values()), sum(c for _, c in hosts.values())
-    p_domain = (m + PRIOR_ROWS * p_all) / (mc + PRIOR_ROWS)
-    sums = sum(says.values())
-    kept = []
-    for i, r in enumerate(rows):
-        if ev[i] is None:
-            continue
-        post = ev[i].copy()
-        if tag(r[2]) in says:
-            post += np.log((says[tag(r[2])] + 0.5) / (sums + 0.5 * (len(says) + 1)))
-        if r[3] in hosts:
-            h, c = hosts[r[3]]
-            post += np.log((h + PRIOR_ROWS * p_domain) / (c + PRIOR_ROWS))
-        else:
-            post += np.log(p_all)
-        if soft(post).max() >= 0.5:
-            kept.append(r)
-    return kept
+    labelled = [(r[1], r[2]) for r in rows]
+    post = brute_language([(r[1] or "", {}, r[3], None) for r in rows], labelled)
+    return [r for r, (best, heard) in zip(rows, post) if heard and max(best.values()) >= 0.5]
 
 
 def exact_stage(rows):

@@ -1,12 +1,13 @@
 """Language identification by Bayesian evidence fusion.
 
-The posterior of a language multiplies what a text, the declared markup language, the address suffix
-and the host say:
+The posterior of a language multiplies what a text, the declared markup language, the address and the
+host say:
 
 * text: a naive Bayes model over byte trigrams, fitted on a bounded sample of labelled documents
   (``PER_LANGUAGE`` rows of each language), tempered by the text's length;
-* declared language and address suffix: P(declared | language), from a grouped count over all rows of
-  the declarations against the text's own posterior;
+* declared language, address suffix (the host's last label: .de, .fr) and path tag (a first path segment
+  of two letters: /de/): P(value | language), from a grouped count over all rows of the values against
+  the text's own posterior;
 * host: a prior smoothed in a hierarchy, all rows -> domain -> host, from grouped sums of the text's
   posteriors over all rows.
 """
@@ -15,18 +16,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textmill.functions.text import let
 from textmill.llm.common import stage
 
 #: Labelled rows of each language that the text model is fitted on.
 PER_LANGUAGE = 2_000
-#: Languages that are told apart at most: the most frequent ones.
-LANGUAGES = 100
-#: Trigrams are hashed to so many columns: the model has 4 bytes for each and language.
-BUCKETS = 1 << 17
+#: Trigrams are hashed to so many columns: the model has 4 bytes for each and language, 128 kB a language.
+BUCKETS = 1 << 15
 #: A text counts as so many independent trigrams at most.
 TRIGRAMS = 60.0
 #: Rows of prior knowledge that stand behind a domain and a host.
@@ -45,7 +45,7 @@ def _trigrams(text: str) -> np.ndarray:
         return np.empty(0, np.int64)
     code = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
     code = code[(b[:-2] != 32) | (b[1:-1] != 32)]
-    return ((code * np.uint32(2654435761)) >> np.uint32(15)).astype(np.int64) & (BUCKETS - 1)
+    return ((code * np.uint32(2654435761)) >> np.uint32(33 - BUCKETS.bit_length())).astype(np.int64)
 
 
 def visible_text(html) -> F.Column:
@@ -57,46 +57,49 @@ def visible_text(html) -> F.Column:
 def fit_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods [BUCKETS, languages]) from labelled(text, lang).
 
-    The sample takes about per_language rows of each language, by the hash of the text, so its size is
-    bounded and it is the same in every run. Null or blank languages and texts take no part.
+    The sample takes per_language different texts of each language at most, by their hash, so its size is
+    bounded and it is the same in every run; a repeated text counts once. Null or blank languages and null
+    texts take no part. The driver sees one row of 4 * BUCKETS bytes for each language.
     """
     rows = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).where("text IS NOT NULL AND trim(lang) <> ''")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "lang").limit(LANGUAGES).collect()
+    rows = rows.withColumn("h", F.xxhash64("text", "lang"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("c")).collect()  # a row for each language
     if not sizes:
         return ["und"], np.zeros((BUCKETS, 1), np.float32)
     size = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], r["c"])))
-    chosen = rows.withColumn("c", F.try_element_at(size, F.col("lang"))).where(f"pmod(xxhash64(text, lang), c) < {per_language}")
+    drawn = rows.withColumn("c", F.try_element_at(size, F.col("lang"))).where(f"pmod(h, greatest(c, 1)) < {per_language * 5 // 4}")
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = drawn.dropDuplicates(["lang", "h"]).withColumn("place", F.row_number().over(first)).where(f"place <= {per_language}")
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 if lang not in tables:
                     tables[lang] = np.zeros(BUCKETS, np.int64)
-                g = _trigrams(text)
-                tables[lang] += np.bincount(g, minlength=BUCKETS)
+                tables[lang] += np.bincount(_trigrams(text.as_py()), minlength=BUCKETS)
         for lang, t in tables.items():
             at = np.flatnonzero(t)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(t[at], pa.int64())], names=["lang", "g", "n"])
 
+    def likelihoods(pdf):
+        import pandas as pd
+
+        t = np.full(BUCKETS, 0.5)
+        t[pdf["g"].to_numpy()] += pdf["n"].to_numpy()
+        return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "logs": [np.log(t / t.sum()).astype(np.float32).tobytes()]})
+
     counts = chosen.select("text", "lang").mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    found = counts.toPandas()  # at most BUCKETS rows for each language
-    if found.empty:
+    found = sorted(counts.groupBy("lang").applyInPandas(likelihoods, "lang string, logs binary").collect())
+    if not found:
         return ["und"], np.zeros((BUCKETS, 1), np.float32)
-    languages = sorted(found["lang"].unique())
-    model = np.full((BUCKETS, len(languages)), 0.5)
-    for j, lang in enumerate(languages):
-        own = found[found["lang"] == lang]
-        model[own["g"].to_numpy(), j] += own["n"].to_numpy()
-    return languages, np.log(model / model.sum(axis=0, keepdims=True)).astype(np.float32)
+    return [r["lang"] for r in found], np.stack([np.frombuffer(r["logs"], np.float32) for r in found], axis=1)
 
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """rows(key columns ..., text) with the text replaced by ev: log likelihoods, tempered; null without letters."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     keys = [f for f in rows.schema.fields if f.name != "text"]
-    from pyspark.sql import types as T
-
     out = T.StructType([*keys, T.StructField("ev", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
@@ -128,10 +131,14 @@ def _sums(prefix: str, n: int):
     return [F.sum(F.col("own")[i]).alias(f"{prefix}{i}") for i in range(n)]
 
 
+#: Columns whose values speak for languages.
+VALUES = ("declared", "suffix", "path")
+
+
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
-    """Adds lang, confidence and text_lang to evidence(ev, declared, suffix, host, domain, ...).
+    """Adds lang, confidence and text_lang to evidence(ev, host, domain, ...) and those of VALUES it has.
 
-    Null declarations, suffixes and hosts say nothing; a row without letters rests on its other evidence.
+    Null values and hosts say nothing; a row without letters rests on its other evidence.
     """
     n = len(languages)
     names = F.array(*map(F.lit, languages))
@@ -160,12 +167,13 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     priors = hosts.join(domains, F.col("domain").eqNullSafe(F.col("__d")))
     by_host = stage(priors.select(F.col("host").alias("__h"), "__d", F.array(*smooth).alias("p_host")), "priors")
     out = rows.join(by_host, (F.col("host") == F.col("__h")) & F.col("domain").eqNullSafe(F.col("__d")), "left").drop("__h", "__d")
-    for col in ("declared", "suffix"):
+    values = [c for c in VALUES if c in rows.columns]
+    for col in values:
         says = declared(col).toDF(f"__{col}", f"log_{col}")
         out = out.join(says, F.col(col) == F.col(f"__{col}"), "left")
     out = out.join(F.broadcast(everyone))
     terms = [
-        F.coalesce("ev", flat)[i] + F.coalesce(F.col("log_declared")[i], F.lit(0.0)) + F.coalesce(F.col("log_suffix")[i], F.lit(0.0)) + F.log(F.coalesce(F.col("p_host"), F.col("p_all"))[i])
+        sum((F.coalesce(F.col(f"log_{c}")[i], F.lit(0.0)) for c in values), F.coalesce("ev", flat)[i]) + F.log(F.coalesce(F.col("p_host"), F.col("p_all"))[i])
         for i in range(n)
     ]
     out = out.withColumn("post", _softmax(F.array(*terms)))
@@ -184,40 +192,42 @@ def _tag(col):
 
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, least: float = 0.5) -> DataFrame:
-    """(page_id, lang, confidence, text_lang, declared, suffix, host, accepted) for every row of pages(page_id, url, html).
+    """(page_id, lang, confidence, text_lang, declared, suffix, path, host, accepted) for every row of pages(page_id, url, html).
 
     accepted: the text has letters and the posterior is at least `least`. Null urls and pages are
-    rows with less evidence; with none at all lang follows the prior and accepted is false.
+    rows with less evidence; with none at all lang follows the prior and accepted is false. Without
+    labelled rows every page is "und". Repeated rows are answered each; equal posteriors go by the name.
     """
     model = fit_text_model(labelled)
     url = F.col("url").cast("string")
     host = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    suffix = F.regexp_extract(host, r"\.([a-z]{2,})\.?$", 1)
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         _tag(F.regexp_extract(F.col("html"), r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3}(?:[-_][A-Za-z0-9]+)?)", 1)).alias("declared"),
-        _tag(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1)).alias("suffix"),
+        F.when(suffix != "", suffix).alias("suffix"),
+        _tag(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1)).alias("path"),
         F.when(host != "", host).alias("host"),
         F.when(host != "", F.regexp_extract(host, r"([^.]+\.[^.]+)$|^([^.]+)$", 0)).alias("domain"),
         visible_text(F.col("html").cast("string")).alias("text"),
     )
     out = fuse(text_evidence(rows, model), model[0])
     accepted = F.col("ev").isNotNull() & (F.col("confidence") >= least)
-    return out.select("page_id", F.col("lang_id").alias("lang"), F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host", accepted.alias("accepted"))
+    return out.select("page_id", F.col("lang_id").alias("lang"), F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "path", "host", accepted.alias("accepted"))
 
 
 def identify_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """docs without the rows whose language is rejected; all columns stay as they are.
 
-    lang is the declared language, source the host. A row goes if its text has no letters or no
-    language reaches a posterior of `least`. Null texts go; a null lang or source only says nothing.
+    Evidence is the text and the source as host. lang only labels the text model's sample: a row's own
+    label is no evidence for it, as it would confirm itself. A row goes if its text has no letters or no
+    language reaches a posterior of `least`. Null texts go; a null source only says nothing.
     """
     names = docs.columns
     model = fit_text_model(docs)
     rows = docs.select(
         F.col("doc_id").alias("__doc_id"),
         F.xxhash64(F.col("text").cast("string")).alias("__hash_of"),
-        _tag(F.col("lang").cast("string")).alias("declared"),
-        F.lit(None).cast("string").alias("suffix"),
         F.col("source").cast("string").alias("host"),
         F.lit(None).cast("string").alias("domain"),
         F.col("text").cast("string").alias("text"),
