@@ -1,25 +1,86 @@
-"""Embedding near-dedup by an exact sweep over cells.
-
-The vectors of a label are dealt to cells of bounded size, and every two cells of a label are compared
-in one group, each cell with itself too, so every pair of a label is compared once and recall is 1
-by construction. A group gives back no pairs, but for each vector its number of links and one
-edge to the smallest vector that links within the group reach. The comparisons grow with the square of a
-label's vectors; they are matrix products in single precision, and pairs close to the threshold are
-compared again in double precision.
+"""Embedding near-dedup by sorted projection passes.
+
+Each pass orders the vectors of a label by concatenated random hyperplane bits and numbers them. Blocks
+of ``WINDOW`` neighbours are compared within themselves and with the next block, so every vector meets at
+least WINDOW neighbours on either side. A label of at most WINDOW vectors is compared whole in
+one pass. A larger one gets so many passes that, by the bits' collision probability, a pair at the
+threshold is missed by all of them with probability ``MISS``; their number follows the label's size.
+
+A block gives back no pairs but, for each vector, its number of links that no earlier pass has met, and one
+edge to the smallest vector that links within the block reach; the edges of all passes are united. A
+vector with ``FULL`` links or more may have others beyond its windows, so its links are counted again
+over its whole component, in cells.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from textmill.llm.common import components, release, stage
+
+#: Neighbours in the order of a pass that a vector is compared with, at least, on either side.
+WINDOW = 4_096
+#: Probability that all passes of a label miss a pair at the threshold.
+MISS = 0.002
+#: Hyperplanes of a pass.
+BITS = 62
+#: Links from which on a vector's links are counted over its whole component, and vectors of a cell then.
+FULL, CELL = 1_024, 8_192
+#: Rows of one matrix product, and pairs looked at at once.
+ROWS, PAIRS = 512, 65_536
+
+
+def passes_of(m, threshold: float):
+    """Passes that a label of m vectors gets, as a column of column m."""
+    same = 1 - math.acos(threshold) / math.pi  # a hyperplane has both vectors of a pair on one side
+    near = F.pow(F.lit(same), F.log2(m / F.lit(float(WINDOW))))  # all bits alike until a window holds the rest
+    return F.when(m <= WINDOW, 1).otherwise(F.ceil(F.lit(math.log(MISS)) / F.log(1 - near))).cast("int")
+
+
+def unit(vectors) -> np.ndarray:
+    """Vectors of length 1 in double precision; scaled first, so that no square overflows or vanishes."""
+    x = np.stack(vectors).astype(float)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def signatures(seed: int):
+    """(pass, label, dim, key, rid) for every pass of every vector of (rid, label, embedding, passes)."""
+    planes: dict[tuple[int, int], np.ndarray] = {}
+    weights = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            vectors, passes = batch.column(2), batch.column(3).to_numpy()
+            sizes = np.diff(vectors.offsets.to_numpy())
+            for dim in np.unique(sizes):
+                at = np.flatnonzero(sizes == dim)
+                x = unit(vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim))
+                for p in range(passes[at].max()):
+                    some = np.flatnonzero(passes[at] > p)
+                    n, rows = len(some), pa.array(at[some])
+                    if (p, dim) not in planes:
+                        planes[p, dim] = np.random.Generator(np.random.PCG64([seed, p, int(dim)])).standard_normal((dim, BITS))
+                    key = ((x[some] @ planes[p, dim]) >= 0) @ weights
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, p, np.int32)), batch.column(1).take(rows), pa.array(np.full(n, dim, np.int32)), pa.array(key), batch.column(0).take(rows)], names=["pass", "label", "dim", "key", "rid"])
+
+    return run
 
-from textmill.llm.common import components, stage
 
-#: A label has a cell for each FEW vectors up to SPLIT cells, then more cells when they would exceed CELL.
-FEW, SPLIT, CELL = 1_024, 4, 8_192
-#: Rows of one matrix product, and pairs compared again in double precision at once.
-ROWS, AGAIN = 512, 65_536
+def _numbered(batches):
+    from pyspark import TaskContext
+
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = len(batch)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(at, at + n))], names=[*batch.schema.names, "part", "idx"])
+        at += n
 
 
 def _merge(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,54 +98,98 @@ def _merge(lab: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         lab = to[lab]
 
 
-def _sweep(threshold: float):
-    """(rid, links, low) of the vectors of one or two cells with links between them."""
+def _hits(x: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float):
+    """Rows of x, (a, b) with a in left and b in right, whose cosine reaches the threshold, some at a time.
+    Single precision decides where it can, double precision near the threshold."""
+    single = x.astype(np.float32)
+    slack = max(1e-4, x.shape[1] * 2.4e-7)
+    for at in range(0, len(left), ROWS):
+        rows = left[at : at + ROWS]
+        cosine = single[rows] @ single[right].T
+        i, j = np.nonzero(cosine >= threshold - slack)
+        for k in range(0, len(i), PAIRS):
+            u, v = i[k : k + PAIRS], j[k : k + PAIRS]
+            a, b, near = rows[u], right[v], cosine[u, v] > threshold + slack
+            close = np.flatnonzero(~near)
+            near[close] = np.einsum("ij,ij->i", x[a[close]], x[b[close]]) >= threshold
+            yield a[near], b[near]
+
+
+def _compare(threshold: float):
+    """(rid, links, low) of the vectors of a block, and of those of the next that link with it."""
 
     def run(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("rid", kind="stable")
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        rid, copies, own = pdf["rid"].to_numpy(), pdf["copies"].to_numpy(), pdf["own"].to_numpy()
-        x = np.stack(pdf["embedding"].to_numpy()).astype(float)
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        unit = (x / norm[:, None]).astype(np.float32)
-        slack = max(1e-4, x.shape[1] * 2.4e-7)  # of a product in single precision
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        pdf = pdf.sort_values(["pass", "label", "dim", "rid"], kind="stable", ignore_index=True)
+        kind = pdf.groupby(["pass", "label", "dim"], sort=False).ngroup().to_numpy()
+        rid, copies, own = (pdf[c].to_numpy() for c in ("rid", "copies", "own"))
         links, lab = np.zeros(len(rid), np.int64), np.arange(len(rid))
-        for at in range(0, len(left), ROWS):
-            rows = left[at : at + ROWS]
-            cosine = unit[rows] @ unit[right].T
-            a, b = np.nonzero(cosine >= threshold - slack)
-            near = cosine[a, b] > threshold + slack
-            close = np.flatnonzero(~near)
-            for k in range(0, len(close), AGAIN):
-                some = close[k : k + AGAIN]
-                u, v = rows[a[some]], right[b[some]]
-                near[some] = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= threshold
-            near &= rows[a] != right[b]
-            a, b = a[near], b[near]
-            links[rows] += np.bincount(a, copies[right[b]], len(rows)).astype(np.int64)
-            if i != j:
-                links[right] += np.bincount(b, copies[rows[a]], len(right)).astype(np.int64)
-            lab = _merge(lab, rows[a], right[b])
+        cuts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
+        for start, stop in zip(cuts, cuts[1:]):
+            if stop - start < 2 or not own[start:stop].any():
+                continue
+            p = int(pdf["pass"].iat[start])
+            met = np.stack(pdf["blocks"].iloc[start:stop].to_numpy())[:, :p]  # blocks of the earlier passes
+            x, mine = unit(pdf["embedding"].iloc[start:stop].to_numpy()), own[start:stop]
+            for a, b in _hits(x, np.flatnonzero(mine), np.arange(stop - start), threshold):
+                new = (a < b) | ~mine[b]
+                if p:
+                    new &= (np.abs(met[a] - met[b]) > 1).all(axis=1)
+                a, b = a[new] + start, b[new] + start
+                links += np.bincount(a, copies[b], len(rid)).astype(np.int64) + np.bincount(b, copies[a], len(rid)).astype(np.int64)
+                lab = _merge(lab, a, b)
         hit = np.flatnonzero(links)
         return pd.DataFrame({"rid": rid[hit], "links": links[hit], "low": rid[lab[hit]]})
 
     return run
 
 
-def projection_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
+def _recount(threshold: float):
+    """(rid, links) of the full vectors of one cell with all vectors of another cell of their component."""
+
+    def run(pdf):
+        import pandas as pd
+
+        rid, copies, full = (pdf[c].to_numpy() for c in ("rid", "copies", "full"))
+        links = np.zeros(len(rid), np.int64)
+        for a, b in _hits(unit(pdf["embedding"].to_numpy()), np.flatnonzero(full), np.flatnonzero(~full), threshold):
+            other = rid[a] != rid[b]
+            links += np.bincount(a[other], copies[b[other]], len(rid)).astype(np.int64)
+        return pd.DataFrame({"rid": rid[full], "links": links[full]})
+
+    return run
+
+
+def _full_links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(rid, full_links) of the vectors of nodes(rid, comp, links, copies, embedding) with FULL links or more."""
+    full = nodes.where(f"links >= {FULL}")
+    size = nodes.join(full.select("comp").distinct(), "comp", "left_semi").groupBy("comp").agg(F.count("*").alias("m"), F.count(F.when(F.col("links") >= FULL, 1)).alias("f"))
+    cells = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    size = size.select("comp", cells("m").alias("km"), cells("f").alias("kf"))
+    cell = lambda k: F.expr(f"pmod(xxhash64(rid), {k})").cast("int")
+    every = lambda k: F.explode(F.expr(f"sequence(0, {k} - 1)"))
+    side = lambda df, i, j, flag: df.join(size, "comp").select("comp", i, j, "rid", "copies", "embedding", F.lit(flag).alias("full"))
+    left = side(full, cell("kf").alias("i"), every("km").alias("j"), True)
+    right = side(nodes, every("kf").alias("i"), cell("km").alias("j"), False)
+    counted = left.union(right).groupBy("comp", "i", "j").applyInPandas(_recount(threshold), "rid long, links long")
+    return counted.groupBy("rid").agg(F.sum("links").alias("full_links"))
+
+
+def projection_dedup(vectors: DataFrame, threshold: float = 0.93, seed: int = 5) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors(vec_id, embedding, label).
 
     Vectors link when labels are equal and their cosine in double precision reaches the threshold.
     Null, empty and zero vectors, those with null or non-finite components, a null label or a null
     vec_id link with nothing (n_links 0; component_id is the row's own vec_id). Equal vectors of one
-    label are one node with its number of copies, so copies are counted but never paired. Vectors of
-    different lengths don't link. Every pair of a label is compared, in groups of at most two cells.
-    (The name is from the projection passes that found pairs before.)
+    label are one node with its number of copies, so copies are counted but never paired; rows that
+    share a vec_id count as rows each. Vectors of different lengths don't link. Pairs are found with
+    the probability that the module's docstring tells, none below the threshold. Other columns are
+    ignored.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
+    kind = vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.col("label").cast("long").alias("label"))
     fine = (
         F.col("vec_id").isNotNull()
         & F.col("label").isNotNull()
@@ -96,19 +201,32 @@ def projection_dedup(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     nodes = rows.where("fine").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     nodes = stage(nodes.withColumn("rid", F.monotonically_increasing_id()), "vectors")
 
-    sizes = nodes.withColumn("dim", F.size("embedding")).groupBy("label", "dim").agg(F.count("*").alias("m"))
-    cells = F.greatest(F.ceil(F.col("m") / CELL), F.least(F.lit(SPLIT), F.ceil(F.col("m") / FEW))).cast("int")
-    dealt = nodes.withColumn("dim", F.size("embedding")).join(sizes.withColumn("k", cells), ["label", "dim"])
-    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(rid), k)").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    dealt = dealt.select("label", "dim", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rid", "copies", "embedding")
-    found = stage(dealt.groupBy("label", "dim", "i", "j").applyInPandas(_sweep(threshold), "rid long, links long, low long"), "links")
+    sizes = nodes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count("*").alias("m"))
+    planned = nodes.withColumn("dim", F.size("embedding")).join(sizes.select("label", "dim", passes_of(F.col("m"), threshold).alias("passes")), ["label", "dim"])
+    order = ["pass", "label", "dim", "key", "rid"]
+    schema = "pass int, label long, dim int, key long, rid long"
+    keys = planned.select("rid", "label", "embedding", "passes").mapInArrow(signatures(seed), schema)
+    keys = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_numbered, schema + ", part int, idx long")
+    keys = stage(keys.drop("key"), "passes")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = keys.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))  # a row for each partition
+    placed = keys.join(F.broadcast(parts.select("part", "base")), "part").withColumn("block", F.expr(f"(base + idx) div {WINDOW}"))
+    blocks = placed.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pass", "block"))).alias("p"))  # one entry for each pass
+    sent = blocks.join(nodes.select("rid", "label", "copies", "embedding"), "rid").withColumn("dim", F.size("embedding"))
+    sent = sent.withColumn("blocks", F.transform("p", lambda s: s["block"])).withColumn("to", F.explode("p"))
+    ahead = F.explode(F.array(F.struct(F.col("to.block").alias("block"), F.lit(True).alias("own")), F.struct((F.col("to.block") - 1).alias("block"), F.lit(False).alias("own"))))
+    dealt = sent.select(F.col("to.pass").alias("pass"), "label", "dim", "rid", "copies", "embedding", "blocks", ahead.alias("at"))
+    dealt = dealt.select("at.block", "at.own", "pass", "label", "dim", "rid", "copies", "embedding", "blocks").where("block >= 0")
+    found = stage(dealt.groupBy("block").applyInPandas(_compare(threshold), "rid long, links long, low long"), "links")
     comp = components(found.select(F.col("rid").alias("a"), F.col("low").alias("b")))
-    counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    release(keys)
 
+    counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
     nodes = nodes.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    nodes = stage(nodes.join(counted, "rid", "left"), "vectors")
+    nodes = stage(nodes.join(counted, "rid", "left").withColumn("links", F.coalesce("links", F.lit(0))), "vectors")
+    again = stage(_full_links(nodes, threshold), "links")
     names = nodes.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
-    known = nodes.join(names, "comp").withColumn("n_links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+    known = nodes.join(names, "comp").join(again, "rid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("full_links", "links"))
     known = stage(known.select("label", "embedding", "component_id", "n_links"), "known")
     lone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     linked = rows.where("fine").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
