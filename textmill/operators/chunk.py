@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left, bisect_right
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,75 +28,91 @@ def chunk_id(key: str | Column, index: str | Column, text: str | Column) -> Colu
     return F.sha2(F.concat_ws("|", col(key).cast("string"), col(index).cast("string"), col(text)), 256)
 
 
-def _tail(chunk: str, overlap: int) -> str:
-    """The end of a closed chunk that the next repeats: from a blank if one comes early enough."""
-    if len(chunk) <= overlap:
-        return ""
-    wide = chunk[-int(overlap * 1.5) :] if overlap else ""
-    at = wide.find(" ")
-    if at != -1 and at < len(wide) - overlap / 2:
-        return wide[at + 1 :]
-    return chunk[-overlap:] if overlap else ""
-
-
-def _pack(pieces: list[str], glue: str, size: int, overlap: int) -> list[str]:
-    out, now = [], ""
-    for p in pieces:
-        if len(now) + len(p) + len(glue) > size:
-            if now:
-                out.append(now.strip())
-            now = _tail(now, overlap)
-        now += p + glue
-    return [*out, now.strip()] if now else out
+def _ends(text: str, mark: str):
+    """Where a chunk of the text may end: behind each mark, one more of which follows the text; anywhere
+    without a mark."""
+    if not mark:
+        return range(1, len(text) + 1)
+    return [m.end() for m in re.finditer(re.escape(mark), text)] + [len(text) + len(mark)]
+
+
+def _spans(text: str, ends, size: int, overlap: int):
+    """(start, end) of chunks of the text that end at some of the ends. Each holds one stretch between ends at least, and as
+    many as fit the size. The next one starts behind the first blank of its predecessor's last one and
+    a half overlaps if that leaves half an overlap or more, else a whole overlap before its end; a
+    chunk no longer than the overlap isn't repeated."""
+    start = i = 0
+    while i < len(ends):
+        i = max(i + 1, bisect_right(ends, start + size))
+        end = ends[i - 1]
+        yield start, end
+        if end - start <= overlap:
+            start = end
+            continue
+        blank = text.find(" ", max(start, end - overlap * 3 // 2), end) if overlap else -1
+        start = blank + 1 if blank >= 0 and end - blank > overlap / 2 else end - overlap
 
 
 def semantic_split(text: str, size: int = 1500, overlap: int = 200) -> list[str]:
-    """Greedy packing by ever finer separators until all chunks are short enough. The empty
-    separator means single characters."""
+    """Chunks at paragraphs; those over the size again at lines, sentences, words and characters, until none
+    is over the size by more than SLACK. A mark counts as part of the chunk before it; blanks around
+    chunks go."""
     chunks = [text]
-    for sep in SEPARATORS:
-        chunks = [c for whole in chunks for c in (_pack(whole.split(sep) if sep else list(whole), sep, size, overlap) if len(whole) > size else [whole])]
-        if all(len(c) <= size + SLACK for c in chunks):
+    for mark in SEPARATORS:
+        finer = []
+        for whole in chunks:
+            closed = whole + mark
+            finer += [closed[a:b].strip() for a, b in _spans(closed, _ends(whole, mark), size, overlap)] if len(whole) > size else [whole]
+        chunks = finer
+        if max(map(len, chunks)) <= size + SLACK:
             break
     return chunks
 
 
+def _merged(starts, end: int, size: int, overlap: int):
+    """(start, end) of chunks made of neighbouring pieces, given their starts and the last one's end: as many
+    as fit the size, repeating as many of the last ones as fit the overlap and leave room for the next."""
+    first, last = 0, 1  # the chunk holds the pieces from first to before last
+    at = lambda i: starts[i] if i < len(starts) else end
+    while True:
+        while last < len(starts) and at(last + 1) - at(first) <= size:
+            last += 1
+        yield at(first), at(last)
+        if last == len(starts):
+            return
+        first = min(bisect_left(starts, max(at(last) - overlap, at(last + 1) - size)), last)
+        last += 1
+
+
 def recursive_split(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:
-    """Recursive character splitting: the first separator that occurs cuts the text; pieces that
-    fit are merged up to size with an overlap of whole pieces, longer ones are cut again."""
-    sep = next((s for s in separators if s and s in text), "")
-    rest = separators[separators.index(sep) + 1 :] if sep in separators else ()
-    pieces = [p for p in (text.split(sep) if sep else list(text)) if p]
-    out: list[str] = []
-    held: list[str] = []
-
-    def merge() -> None:
-        window: list[str] = []
-        total = 0
-        for p in held:
-            add = len(p) + (len(sep) if window else 0)
-            if window and total + add > size:
-                if joined := sep.join(window).strip():
-                    out.append(joined)
-                while window and (total > overlap or total + len(p) + len(sep) > size):
-                    total -= len(window[0]) + (len(sep) if len(window) > 1 else 0)
-                    window.pop(0)
-            total += len(p) + (len(sep) if window else 0)
-            window.append(p)
-        if joined := sep.join(window).strip():
-            out.append(joined)
-        held.clear()
-
-    for p in pieces:
-        if len(p) <= size:
-            held.append(p)
+    """Chunks by the coarsest separator that a stretch of text has: pieces shorter than the size are merged,
+    longer ones are cut by the next separators. A separator belongs to the piece behind it; blanks around chunks go."""
+    todo, spans = [(0, len(text), 0)], []
+    while todo:
+        lo, hi, level = todo.pop()
+        if level < 0:  # a finished span, in its place
+            spans.append((lo, hi))
             continue
-        if held:
-            merge()
-        out.extend(recursive_split(p, size, overlap, rest) if rest else [p])
-    if held:
-        merge()
-    return out
+        level = next((i for i in range(level, len(separators)) if separators[i] in text[lo:hi]), len(separators))
+        if level == len(separators):
+            spans.append((lo, hi))
+            continue
+        mark = separators[level]
+        starts = range(lo, hi) if not mark else sorted({lo, *(m.start() for m in re.compile(re.escape(mark)).finditer(text, lo, hi))})
+        found, run = [], []
+        for a, b in zip(starts, [*starts[1:], hi]):
+            if b - a < size:
+                run.append(a)
+                continue
+            if run:
+                found += [(x, y, -1) for x, y in _merged(run, a, size, overlap)]
+                run = []
+            found.append((a, b, level + 1 if level + 1 < len(separators) else -1))
+        if run:
+            found += [(x, y, -1) for x, y in _merged(run, hi, size, overlap)]
+        todo += reversed(found)
+    chunks = (text[a:b].strip() for a, b in spans)
+    return [c for c in chunks if c]
 
 
 def _split_with(docs: DataFrame, split, key: str, text: str, least: int) -> DataFrame:
