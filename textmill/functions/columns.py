@@ -24,6 +24,11 @@ def swap_case(s: str | Column) -> Column:
     return F.translate(col(s), low + up, up + low)
 
 
+def title_case(s: str | Column) -> Column:
+    """Every word with a capital, the rest of it small; words are parted by spaces."""
+    return F.initcap(col(s))
+
+
 def is_palindrome(s: str | Column) -> Column:
     return F.lower(col(s)) == F.reverse(F.lower(col(s)))
 
@@ -64,6 +69,11 @@ def sign_band(x: str | Column) -> Column:
     return F.when(col(x) > 0, "positivo").when(col(x) < 0, "negativo").otherwise("cero")
 
 
+def range_band(x: str | Column, low: float = 0, high: float = 10) -> Column:
+    """0-10, above or below it."""
+    return F.when(col(x) > high, "mayor").when(col(x) < low, "menor").when(col(x).isNotNull(), "0-10")
+
+
 def age_band(x: str | Column) -> Column:
     return F.when(col(x) < 12, "infantil").when(col(x) <= 18, "joven").otherwise("adulto")
 

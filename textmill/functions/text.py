@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 #: White space as Python's strip() sees it, spelled out because \s differs between regex engines.
 BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+#: The same characters one by one.
+BLANKS = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
 #: Lines that carry no content, matched from their start without regard to case.
 NOISE_PATTERNS = (
     r"página\s+[0-9]+\s*$",
@@ -58,7 +61,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def last_wins(pairs: Column) -> Column:
@@ -72,8 +75,13 @@ def noise_regex(extra: tuple[str, ...] = ()) -> str:
     return "^(?:" + "|".join((*NOISE_PATTERNS, *extra)) + ")"
 
 
+def bare_is_noise(bare: Column, extra: tuple[str, ...] = ()) -> Column:
+    """is_noise for a line without blanks around it."""
+    return (F.length(bare) < 3) | bare.rlike(f"^(?:{BLANK}|[-_.=*])+$") | bare.rlike("(?iu)" + noise_regex(extra))
+
+
 def is_noise(line: str | Column, extra: tuple[str, ...] = ()) -> Column:
-    return let(strip(line), lambda bare: (F.length(bare) < 3) | bare.rlike(f"^(?:{BLANK}|[-_.=*])+$") | bare.rlike("(?iu)" + noise_regex(extra)))
+    return let(strip(line), lambda bare: bare_is_noise(bare, extra))
 
 
 def squeeze(text: str | Column) -> Column:
@@ -83,31 +91,23 @@ def squeeze(text: str | Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
-
-
-def with_nfc(df: DataFrame, column: str) -> DataFrame:
-    """df with the column in Unicode NFC, as a narrow step of its own."""
-    import pyarrow as pa
-
-    def one(t: str | None) -> str | None:
-        return t if t is None or t.isascii() else unicodedata.normalize("NFC", t)
+def _nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
-    def run(batches):
-        for b in batches:
-            at = b.schema.get_field_index(column)
-            yield b.set_column(at, column, pa.array(map(one, b.column(at).to_pylist()), b.schema.field(at).type))
 
-    return df.mapInArrow(run, df.schema)
+def nfc(text: str | Column) -> Column:
+    """Unicode NFC; only texts with other than ASCII characters go to Python."""
+    t = col(text)
+    return F.coalesce(_nfc(F.when(F.octet_length(t) > F.length(t), t)), t)
 
 
 def fix_mojibake(text: str | Column) -> Column:
-    """Longest wrong form first, so no form swallows another."""
-    out = col(text)
+    """Longest wrong form first, so no form swallows another. Texts without their first letters stay as they are."""
+    t = col(text)
+    out = t
     for wrong, right in sorted(MOJIBAKE, key=lambda p: -len(p[0])):
         out = F.replace(out, F.lit(wrong), F.lit(right))
-    return out
+    return F.when(t.rlike("[" + "".join(sorted({wrong[0] for wrong, _ in MOJIBAKE})) + "]"), out).otherwise(t)
 
 
 #: Latin letters with marks and what remains of them in ASCII.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textmill.functions.text import HEADER_KEYWORDS, col, fix_mojibake, is_noise, last_wins, let, squeeze, strip, with_nfc
+from textmill.functions.text import HEADER_KEYWORDS, bare_is_noise, col, fix_mojibake, last_wins, let, nfc, strip
 
 RULE = "={20}"
 ESSENTIAL = ("CATEGORÍA", "TIPO", "TÍTULO", "URL ORIGINAL")
@@ -16,13 +16,17 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
 
 
+def _headers(bare: Column, least: int, keywords: tuple[str, ...] | None) -> Column:
+    """Of stripped lines, those of more than 10 characters that come `least` times and hold a keyword."""
+    long = F.filter(bare, lambda x: F.length(x) > 10)
+    # runs of the sorted lines, so counting takes no look at all lines for each; few lines are left for the keywords
+    often = let(F.sort_array(long), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + least - 1))))
+    return often if keywords is None else F.filter(often, lambda x: F.lower(x).rlike("|".join(keywords)))
+
+
 def header_lines(text: str | Column, least: int = 3, keywords: tuple[str, ...] | None = HEADER_KEYWORDS) -> Column:
     """Stripped lines of more than 10 characters that occur `least` times in the text and hold a keyword."""
-    bare = F.filter(F.transform(F.split(col(text), "\n"), strip), lambda x: F.length(x) > 10)
-    if keywords is not None:
-        bare = F.filter(bare, lambda x: F.lower(x).rlike("|".join(keywords)))
-    # runs of the sorted lines, so counting takes no look at all lines for each
-    return let(F.array_sort(bare), lambda s: F.array_distinct(F.filter(s, lambda x, i: x == F.get(s, i + least - 1))))
+    return _headers(F.transform(F.split(col(text), "\n"), strip), least, keywords)
 
 
 def without_repeats(kept: Column) -> Column:
@@ -32,19 +36,24 @@ def without_repeats(kept: Column) -> Column:
 
 
 def clean_parts(docs: DataFrame, text: str = "text", extra: tuple[str, ...] = (), least: int = 3, keywords: tuple[str, ...] | None = HEADER_KEYWORDS) -> DataFrame:
-    """docs with n_lines, n_noise (noise and running headers), n_repeats and clean (the cleaned text)."""
-    split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    headers = F.coalesce(header_lines(text, least, keywords), F.array().cast("array<string>"))
-    kept = let(headers, lambda h: F.filter("__lines", lambda x: ~is_noise(x, extra) & ~F.array_contains(h, strip(x))))
-    out = docs.withColumn("__lines", split).withColumn("__kept", kept).withColumn("__clean", without_repeats(F.col("__kept")))
+    """docs with n_lines, n_noise (noise and running headers), n_repeats and clean (the cleaned text).
+
+    Lines are stripped once. Those kept have three characters or more, so squeezing them is a matter of
+    the blanks within them.
+    """
+    bare = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), strip)
+    kept = let(_headers(F.col("__bare"), least, keywords), lambda h: F.filter("__bare", lambda x: ~bare_is_noise(x, extra) & ~F.array_contains(h, x)))
+    fresh = F.filter("__kept", lambda x, i: (i == 0) | (x != F.get("__kept", i - 1)))
+    squeezed = F.transform("__clean", lambda x: F.when(F.contains(x, F.lit("  ")), F.regexp_replace(x, " +", " ")).otherwise(x))
+    out = docs.withColumn("__bare", bare).withColumn("__kept", kept).withColumn("__clean", fresh)
     parts = out.select(
         *docs.columns,
-        F.size("__lines").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).alias("n_noise"),
+        F.size("__bare").alias("n_lines"),
+        (F.size("__bare") - F.size("__kept")).alias("n_noise"),
         (F.size("__kept") - F.size("__clean")).alias("n_repeats"),
-        squeeze(F.array_join("__clean", "\n")).alias("clean"),
+        F.array_join(squeezed, "\n").alias("clean"),
     )
-    return with_nfc(parts, "clean").withColumn("clean", fix_mojibake("clean"))
+    return parts.withColumn("clean", nfc("clean")).withColumn("clean", fix_mojibake("clean"))
 
 
 def cleaning_report(parts: DataFrame) -> DataFrame:
