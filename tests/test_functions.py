@@ -70,7 +70,57 @@ def test_semantic_chunks():
     assert chunk.semantic_split("short", 40, 8) == ["short"]
     # every piece gets its separator back, so a text without one ends with the sentence separator's stop
     assert "".join(chunk.semantic_split("x" * 500, 40, 0)) == "x" * 500 + "."
+    # paragraphs fit one by one; the next chunk starts behind the first blank of its predecessor's last 12 characters
+    assert chunk.semantic_split("aaaa bbbb cccc dddd\n\neeee ffff gggg\n\nhhhh", 24, 8) == ["aaaa bbbb cccc dddd", "cccc dddd\n\neeee ffff gggg", "ffff gggg\n\nhhhh"]
+    # a blank that would leave less than half an overlap is passed over for a whole overlap
+    assert chunk.semantic_split("abcdefghijklmn op\nqrstuvwxyz\nlast\n" + "z" * 100, 18, 8) == ["abcdefghijklmn op", "klmn op\nqrstuvwxyz", "tuvwxyz\nlast", "yz\nlast\n" + "z" * 100]
+    # paragraph marks first, lines inside what is still too long
+    assert chunk.semantic_split("p1\n\n" + "line one\nline two\n" * 12, 60, 0)[0] == "p1"
+
+
+def test_recursive_chunks():
     assert all(len(p) <= 50 for p in chunk.recursive_split("word " * 200, 50, 10))
+    assert chunk.recursive_split("aa bb cc dd ee", 8, 3) == ["aa bb cc", "cc dd", "dd ee"]
+    assert chunk.recursive_split("one\n\ntwo three four\n\nfive", 12, 0) == ["one", "two three", "four", "five"]
+    assert chunk.recursive_split("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+    assert chunk.recursive_split("", 4, 1) == [] and chunk.recursive_split(" \n ", 4, 1) == []
+    text = "".join(f"w{i}{' ' if i % 7 else chr(10)}" for i in range(400))
+    parts = chunk.recursive_split(text, 60, 15)
+    assert all(p in text for p in parts) and all(w in " ".join(parts).split() for w in text.split())
+
+
+def test_running_sums_over_ranges(spark):
+    from textmill.operators.order import numbered, reverse_order, running_sum
+
+    rows = [(i, f"g{i % 3}" if i % 10 else None, i % 5) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "k long, g string, v long").repartition(7)
+    want, total = {}, 0
+    for k, _, v in rows:
+        total += v
+        want[k] = total
+    assert {r.k: r.s for r in running_sum(df, ["k"], F.col("v"), "s").collect()} == want
+    got = {r.k: r.number for r in numbered(df, ["k"], "number", ("g",)).collect()}
+    seen = {}
+    for k, g, _ in rows:
+        seen[g] = seen.get(g, 0) + 1
+        assert got[k] == seen[g]
+    assert {r.k: r.place for r in reverse_order(df, "k").collect()} == {k: 1_000 - k for k, *_ in rows}
+    assert numbered(df.limit(0), ["k"]).count() == 0
+
+
+def test_upsert_and_default_answer(spark):
+    from textmill.operators import retrieve as rt
+
+    have = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k long, n string, v double")
+    new = spark.createDataFrame([(2, " ", 5.0), (3, "c", None)], "k long, n string, v double")
+    assert sorted(map(tuple, keyed.upsert(have, new, "k").collect())) == [(1, "a", 1.0), (2, "b", 5.0), (3, "c", None)]
+    index = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0])], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(7, [2.0, 0.0]), (8, [-1.0, 0.0]), (9, None)], "query_id long, query array<double>")
+    got = {r.query_id: (r.chunk_id, r.score, r.answer) for r in rt.best_match(index, q).collect()}
+    assert got == {7: (1, 1.0, None), 8: (3, 0.0, None), 9: (None, None, rt.DEFAULT_ANSWER)}
+    none = rt.best_match(index.limit(0), q).collect()
+    assert [r.answer for r in none] == [rt.DEFAULT_ANSWER] * 3
+    assert [(r.chunk_id, r.rank) for r in sorted(rt.top_k(index, q.where("query_id = 7"), 2).collect(), key=lambda r: r.rank)] == [(1, 1), (2, 2)]
 
 
 def test_chunk_metadata(spark):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import col
+from textmill.operators.order import running_sum
 
 #: The dimensions of the scoreboard, in their order.
 MODES = ("NORMAL", "RUSO")
@@ -45,9 +46,9 @@ def shot_result(hit: str | Column, points: str | Column) -> Column:
 
 
 def sessionize(events: DataFrame, source: str, order: list[str], starts: Column) -> DataFrame:
-    """Adds game: the number of start records so far, within a source. Events before the first start are game 0."""
-    w = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return events.withColumn("game", F.sum(starts.cast("int")).over(w))
+    """Adds game: the number of start records so far, within a source. Events before the first start are game 0.
+    One log may be of any length: it is summed in ranges."""
+    return running_sum(events, order, F.coalesce(starts, F.lit(False)).cast("long"), "game", (source,))
 
 
 def scoreboard(games: DataFrame, keys: list[str], player_won: Column, player: str, ai: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import col, last_wins, slug, strip
+from textmill.operators.order import numbered
 from textmill.sources.tables import scratch_dir
 
 #: Keywords that make a link relevant, and those of the document classes.
@@ -59,7 +60,7 @@ def page_meta(html: str | Column) -> Column:
     """Map of the known meta names; the later of two wins."""
     tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
     attr = lambda x, a: F.regexp_extract(x, rf"(?is)\b{a}\s*=\s*[\"']([^\"']*)[\"']", 1)
-    pairs = F.filter(F.transform(tags, lambda x: F.struct(F.lower(attr(x, "name")).alias("key"), attr(x, "content").alias("value"))), lambda p: p["key"].isin(*META_NAMES))
+    pairs = F.filter(F.transform(tags, lambda x: F.struct(F.lower(attr(x, "name")).alias("key"), unescape(attr(x, "content")).alias("value"))), lambda p: p["key"].isin(*META_NAMES))
     return last_wins(pairs)
 
 
@@ -166,6 +167,11 @@ def page_links(pages: DataFrame, scope: str = "page") -> DataFrame:
     )
 
 
+def absolute_links(pages: DataFrame, scope: str = "page") -> DataFrame:
+    """page_links with target: the address that href means on its page; null if it means none."""
+    return page_links(pages, scope).withColumn("target", absolute_url("url", "href"))
+
+
 def is_relevant(url: str | Column, text: str | Column, extra: tuple[str, ...] = ()) -> Column:
     words = any_of((*PRIORITY_WORDS, *TOPIC_WORDS, *extra))
     u, t = F.lower(col(url)), F.lower(F.coalesce(col(text), F.lit("")))
@@ -259,8 +265,9 @@ def page_name(title: str | Column, url: str | Column) -> Column:
 
 def unique_names(docs: DataFrame, group: str = "category", name: str = "name", order: str = "page_id") -> DataFrame:
     """Adds file: name.txt, or name_1.txt, name_2.txt ... for later ones of a group."""
-    n = F.row_number().over(Window.partitionBy(group, name).orderBy(order)) - 1
-    return docs.withColumn("file", F.concat(name, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".txt")))
+    n = F.col("__n") - 1
+    file = F.concat(name, F.when(n > 0, F.concat(F.lit("_"), n.cast("string"))).otherwise(""), F.lit(".txt"))
+    return numbered(docs, [order], "__n", (group, name)).withColumn("file", file).drop("__n")
 
 
 def render_document(category, kind, title, url, content) -> Column:
@@ -277,13 +284,10 @@ def extraction_errors(docs: DataFrame) -> DataFrame:
 
 def extraction_summary(docs: DataFrame) -> DataFrame:
     """(type, priority, category, n_docs, n_urls): totals and counts by each in one pass."""
-    docs.createOrReplaceTempView("__textmill_docs")
-    return docs.sparkSession.sql("""
-        SELECT type, priority, category, count(*) AS n_docs, count(DISTINCT url) AS n_urls
-        FROM __textmill_docs GROUP BY GROUPING SETS ((type), (priority), (category), ())
-    """)
+    by = ["type", "priority", "category"]
+    return docs.groupingSets([[c] for c in by] + [[]], *by).agg(F.count("*").alias("n_docs"), F.countDistinct("url").alias("n_urls"))
 
 
 def document_index(docs: DataFrame) -> DataFrame:
     """Documents numbered within their category."""
-    return docs.withColumn("number", F.row_number().over(Window.partitionBy("category").orderBy("page_id")))
+    return numbered(docs, ["page_id"], "number", ("category",))

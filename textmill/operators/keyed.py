@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import strip
+from textmill.operators.order import numbered
 
 
 def insert_if_absent(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -33,6 +34,25 @@ def update_partial(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return out.select(*cols)
 
 
+def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """table with the rows of changes: fields given replace those of the same key, new keys are added, in
+    one full join. changes must have each key once; a null or blank field leaves the old one."""
+    given = changes.select(F.col(key).alias("__key"), *(F.col(c).alias(f"__{c}") for c in changes.columns if c != key))
+    both = table.join(given, F.col(key) == F.col("__key"), "full")
+
+    def field(f):
+        if f.name == key:
+            return F.coalesce(F.col(key), F.col("__key")).alias(key)
+        if f"__{f.name}" not in given.columns:
+            return F.col(f.name)
+        fresh = F.col(f"__{f.name}")
+        if f.dataType.simpleString() == "string":
+            fresh = F.when(strip(fresh) != "", fresh)
+        return F.coalesce(fresh, F.col(f.name)).alias(f.name)
+
+    return both.select(*map(field, table.schema.fields))
+
+
 def delete_by_key(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return table.join(keys.select(key).distinct(), key, "left_anti")
 
@@ -51,8 +71,8 @@ def enroll_many(requests: DataFrame, first_id: int, date) -> DataFrame:
     """One enrolment for each course in requests(id_alumno, cursos): ids go on from first_id, in the
     order of student and place in the list. date is a parameter, so a rerun gives the same rows."""
     each = requests.select("id_alumno", F.posexplode(F.transform(F.split("cursos", ","), lambda x: F.trim(x))).alias("place", "id_curso"))
-    number = F.row_number().over(Window.orderBy("id_alumno", "place"))
-    return each.select((F.lit(first_id - 1) + number).cast("int").alias("id_inscripcion"), "id_alumno", "id_curso", F.lit(date).cast("date").alias("fecha_inscripcion"))
+    each = numbered(each, ["id_alumno", "place"])
+    return each.select((F.lit(first_id - 1) + F.col("number")).cast("int").alias("id_inscripcion"), "id_alumno", "id_curso", F.lit(date).cast("date").alias("fecha_inscripcion"))
 
 
 def next_id(table: DataFrame, key: str, prefix: str = "", by_count: bool = False) -> DataFrame:
@@ -62,6 +82,11 @@ def next_id(table: DataFrame, key: str, prefix: str = "", by_count: bool = False
     return table.agg(F.concat(F.lit(prefix), F.when(F.length(text) < 2, F.lpad(text, 2, "0")).otherwise(text)).alias("next_id"))
 
 
+def enrolments_of_course(enrolments: DataFrame, course) -> DataFrame:
+    """The enrolments of one course: a filter that reaches the scan."""
+    return lookup(enrolments, "id_curso", course)
+
+
 def roster(enrolments: DataFrame, students: DataFrame, courses: DataFrame, how: str = "inner") -> DataFrame:
     """Students of courses and courses of students; how='left' keeps enrolments without a student."""
     return enrolments.join(students, "id_alumno", how).join(courses, "id_curso", how)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,9 +53,7 @@ def group_mean(parents: DataFrame, rows: DataFrame, key: str, value: str, none:
 def sums_over(table: DataFrame, sets: list[list[str]], value: str) -> DataFrame:
     """Sums of value over grouping sets in one pass."""
     names = list(dict.fromkeys(c for s in sets for c in s))
-    table.select(*names, value).createOrReplaceTempView("__textmill_sums")
-    by = ", ".join("(" + ", ".join(s) + ")" for s in sets)
-    return table.sparkSession.sql(f"SELECT {', '.join(names)}, sum({value}) AS total FROM __textmill_sums GROUP BY GROUPING SETS ({by})")
+    return table.groupingSets(sets, *names).agg(F.sum(value).alias("total"))
 
 
 def cube_total(table: DataFrame, keys: list[str], value: Column) -> DataFrame:
@@ -115,26 +113,48 @@ def ledger_balance(moves: DataFrame, account: str, order: list[str], amount: str
 def ledger_guarded(moves: DataFrame, account: str, order: list[str], amount: str, opening: float = 0.0) -> DataFrame:
     """(account, order..., amount, accepted, balance): a withdrawal above the balance is rejected.
 
-    Each step depends on all decisions before, which no window can express: one pandas group per account.
+    Each step depends on all decisions before, which no window can express. Accounts are dealt over tasks
+    and sorted there (with spill); Arrow batches pass through with one balance carried along, so an
+    account of any length takes the memory of a batch.
     """
     cols = [account, *order, amount]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        balance, accepted, after = opening, [], []
-        for x in pdf[amount]:
-            ok = bool(x > 0 or (x < 0 and -x <= balance))
-            balance += x if ok else 0.0
-            accepted.append(ok)
-            after.append(balance)
-        return pdf.assign(accepted=accepted, balance=after)
+    def run(batches):
+        now, balance = None, opening
+        for batch in batches:
+            accepted, after = [], []
+            for who, x in zip(batch.column(0).to_pylist(), batch.column(len(cols) - 1).to_pylist()):
+                if who != now:
+                    now, balance = who, opening
+                ok = x is not None and (x > 0 or (x < 0 and -x <= balance))
+                balance += x if ok else 0.0
+                accepted.append(ok)
+                after.append(float(balance))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.float64())], names=[*cols, "accepted", "balance"])
 
     schema = ", ".join(f"{c} {moves.schema[c].dataType.simpleString()}" for c in cols)
-    return moves.select(*cols).groupBy(account).applyInPandas(run, f"{schema}, accepted boolean, balance double")
+    rows = moves.select(*cols).where(F.col(account).isNotNull())
+    return rows.repartition(account).sortWithinPartitions(account, *order).mapInArrow(run, f"{schema}, accepted boolean, balance double")
 
 
-def floored_total(moves: DataFrame, key: str, order: list[str], step: str) -> DataFrame:
-    """Adds total: a running sum that never falls below 0, by the closed form S - min(0, least S so far)."""
+def eligible_withdrawal(moves: DataFrame, holders: DataFrame, account: str, amount: str, age: str, least: int = 18, below: int = 25) -> DataFrame:
+    """moves with eligible: a withdrawal (a negative amount) counts only if its holder's age is in
+    [least, below); other moves always do. A withdrawal without a holder is rejected."""
+    out = moves.join(holders.select(account, age), account, "left")
+    return out.withColumn("eligible", (F.col(amount) >= 0) | F.coalesce((F.col(age) >= least) & (F.col(age) < below), F.lit(False)))
+
+
+def pairwise_mean(low: str | Column, high: str | Column) -> Column:
+    """struct<middle, valid>: the mean of both; not valid, and without a mean, where high is below low."""
+    low, high = (F.col(x) if isinstance(x, str) else x for x in (low, high))
+    return F.struct(F.when(high >= low, (high + low) / 2).alias("middle"), (high >= low).alias("valid"))
+
+
+def floored_total(moves: DataFrame, key: str, order: list[str], step: str, most: float | None = None) -> DataFrame:
+    """Adds total: a running sum that never falls below 0, by the closed form S - min(0, least S so far).
+    With `most`, moves whose size is above it are rejected before (0 to 200 for the usual card)."""
+    if most is not None:
+        moves = moves.where(F.abs(F.col(step)) <= most)
     w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = moves.withColumn("__s", F.sum(step).over(w))
     return run.withColumn("total", F.col("__s") - F.least(F.lit(0), F.min("__s").over(w))).drop("__s")

@@ -119,3 +119,13 @@ def mojibake_repair(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN s = '' THEN 'documento' ELSE s END AS name FROM (SELECT doc_id, regexp_replace(substr(replace(replace(regexp_replace(regexp_replace(strip_accents(replace(source, 'src', 'Ñandú é-')), '[^\\x00-\\x7F]', '', 'g'), '[\\x09-\\x0D\\x20-]+', '_', 'g'), '.', ''), ',', ''), 1, 150), '^_+|_+$', '', 'g') AS s FROM documents)""")
 def file_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", slug(F.replace("source", F.lit("src"), F.lit("Ñandú é-"))).alias("name"))
+
+
+@query("""SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS title FROM part""")
+def title_case(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", c.title_case("p_name").alias("title"))
+
+
+@query("""SELECT CASE WHEN s_acctbal > 10 THEN 'mayor' WHEN s_acctbal < 0 THEN 'menor' ELSE '0-10' END AS band, count(*) AS n FROM supplier GROUP BY 1""")
+def range_bands(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").groupBy(c.range_band("s_acctbal").alias("band")).agg(F.count("*").alias("n"))

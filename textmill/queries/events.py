@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from textmill.operators import events as e
 from textmill.queries.register import registry
-from textmill.sources.tables import table
+from textmill.sources.tables import scratch_dir, table
 from textmill.streaming import monitor as m
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -42,40 +42,41 @@ def sessions(spark, sf_dir):
     return s.groupBy("game").agg(F.count_if(F.col("kind") == "shot").alias("shots"), F.count_if(F.col("kind") == "end").alias("ends"))
 
 
-_SCORES = "SELECT event_type AS mode, user_id % 3 + 1 AS rivals, count(*) FILTER (value >= 50) AS player_wins, count(*) FILTER (value < 50) AS ai_wins, sum(CAST(value AS BIGINT)) AS player_score, sum(user_id) AS ai_score FROM events {where} GROUP BY 1, 2"
+_SCORES = "SELECT event_type AS mode, user_id % 3 + 1 AS rivals, count(*) FILTER (value >= 50) AS player_wins, count(*) FILTER (value < 50) AS ai_wins, sum(CAST(value AS BIGINT)) AS player_score, sum(user_id) AS ai_score FROM events GROUP BY 1, 2"
 
 
-def _scores(spark, sf_dir, where="true"):
-    ev = table(spark, sf_dir, "events").where(where).select(F.col("event_type").alias("mode"), (F.col("user_id") % 3 + 1).alias("rivals"), "value", F.rint("value").cast("long").alias("points"), "user_id")
+def _scores(spark, sf_dir):
+    ev = table(spark, sf_dir, "events").select(F.col("event_type").alias("mode"), (F.col("user_id") % 3 + 1).alias("rivals"), "value", F.rint("value").cast("long").alias("points"), "user_id")
     return e.scoreboard(ev, ["mode", "rivals"], F.col("value") >= 50, "points", "user_id")
 
 
-@query(_SCORES.format(where=""))
+@query(_SCORES)
 def scoreboard(spark, sf_dir):
     return _scores(spark, sf_dir)
 
 
-@query(f"""WITH s AS ({_SCORES.format(where="WHERE event_type <> 'click'")}) SELECT m.mode, r.rivals, coalesce(player_wins, 0) AS player_wins, coalesce(ai_wins, 0) AS ai_wins, coalesce(player_score, 0) AS player_score, coalesce(ai_score, 0) AS ai_score
+@query(f"""WITH s AS ({_SCORES}) SELECT m.mode, r.rivals, coalesce(player_wins, 0) AS player_wins, coalesce(ai_wins, 0) AS ai_wins, coalesce(player_score, 0) AS player_score, coalesce(ai_score, 0) AS ai_score
     FROM (SELECT DISTINCT event_type AS mode FROM events) m CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS rivals) r LEFT JOIN s ON s.mode = m.mode AND s.rivals = r.rivals""")
 def scoreboard_full(spark, sf_dir):
     modes = table(spark, sf_dir, "events").select(F.col("event_type").alias("mode"))
     rivals = spark.range(1, 5).select(F.col("id").alias("rivals"))
-    return e.fill_defaults(_scores(spark, sf_dir, "event_type <> 'click'"), {"mode": modes, "rivals": rivals})
+    return e.fill_defaults(_scores(spark, sf_dir), {"mode": modes, "rivals": rivals})
 
 
 _CELLS = """cells AS (SELECT DISTINCT l_orderkey % 50 AS board, l_linenumber AS row, l_partkey % 10 AS col, l_suppkey % 4 AS ship FROM lineitem WHERE l_suppkey % 4 = (l_linenumber + l_partkey) % 4),
-    shots AS (SELECT l_orderkey % 50 AS board, l_linenumber AS row, l_partkey % 10 AS col, l_shipdate AS ts, l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'),
+    shots AS (SELECT l_orderkey % 50 AS board, l_linenumber AS row, l_partkey % 10 AS col, l_shipdate AS ts, l_orderkey AS o, l_partkey AS p, l_suppkey AS s FROM lineitem),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY board, row, col ORDER BY ts, o, p, s) AS n FROM shots),
     len AS (SELECT board, ship, count(*) AS length FROM cells GROUP BY 1, 2),
     hit AS (SELECT r.board, c.ship, l.length, count(*) OVER (PARTITION BY r.board, c.ship ORDER BY ts, o, p, s, r.row, r.col ROWS UNBOUNDED PRECEDING) AS hits FROM ranked r JOIN cells c USING (board, row, col) JOIN len l ON l.board = c.board AND l.ship = c.ship WHERE n = 1)"""
 
 
 def _battle(spark, sf_dir):
+    """Every line item is a shot; cells where supplier and place agree belong to a ship, the others are water."""
     li = table(spark, sf_dir, "lineitem")
     at = [(F.col("l_orderkey") % 50).alias("board"), F.col("l_linenumber").alias("row"), (F.col("l_partkey") % 10).alias("col")]
     ship = F.col("l_suppkey") % 4
     cells = li.where(ship == (F.col("l_linenumber") + F.col("l_partkey")) % 4).select(*at, ship.alias("ship")).distinct()
-    shots = li.where("l_returnflag = 'R'").select(*at, F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
+    shots = li.select(*at, F.col("l_shipdate").alias("ts"), F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
     return shots, cells
 
 
@@ -132,12 +133,32 @@ def quiet_intervals(spark, sf_dir):
 
 @query("SELECT event_type, user_id % 3 AS rivals, count(*) AS n FROM events GROUP BY 1, 2")
 def log_tail(spark, sf_dir):
-    """The running count as a stream over the events, read to their end; the last update of each key."""
-    import tempfile
-
-    schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
-    counts = stream.groupBy("event_type", (F.col("user_id") % 3).alias("rivals")).agg(F.count("*").alias("n"))
-    name = "log_tail_" + next(tempfile._get_candidate_names())
-    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    """The running count over CSV logs as they come, read to their end. Each micro-batch replaces the table of counts."""
+    ev = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("rivals"))
+    path, out = scratch_dir(spark, "logs"), scratch_dir(spark, "counts")
+    for k in (0, 1):  # two files arrive
+        ev.where(F.coalesce(F.pmod(F.xxhash64("event_type", "rivals"), F.lit(2)), F.lit(0)) == k).write.mode("append").option("header", True).csv(path)
+    counts = m.log_tail(spark, path, "event_type string, rivals long", ["event_type", "rivals"])
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(out)
+    stream = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch_dir(spark, "tail"))
+    stream.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counts.schema).parquet(out)
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'Agua' WHEN value >= 50 THEN 'Hundido' ELSE 'Tocado' END AS result FROM events""")
+def shot_results(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    return ev.select("event_id", e.shot_result(F.col("event_type") != "error", F.when(F.col("value") >= 50, 3).otherwise(0)).alias("result"))
+
+
+@query("""WITH s AS (SELECT ['EASY', 'NORMAL', 'HARD', 'VERY HARD'][CAST(1 + user_id % 4 AS INT)] AS difficulty, count(*) FILTER (value >= 50) AS player_wins, count(*) FILTER (value < 50) AS ai_wins, sum(user_id) AS player_score, sum(event_id) AS ai_score
+        FROM events WHERE event_type = 'click' AND user_id % 3 = 1 GROUP BY 1)
+    SELECT upper(substr(difficulty, 1, 1)) || lower(substr(difficulty, 2)) AS label, player_wins, ai_wins, player_score, ai_score FROM s""")
+def scoreboard_view(spark, sf_dir):
+    """One mode and number of rivals of the scoreboard; the view's filter is the operator's own."""
+    u = F.col("user_id")
+    ev = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("mode"), (u % 3).cast("string").alias("rivals"), F.element_at(F.array(*map(F.lit, e.DIFFICULTIES)), (1 + u % 4).cast("int")).alias("difficulty"), "value", "user_id", "event_id"
+    )
+    scores = e.scoreboard(ev, ["mode", "rivals", "difficulty"], F.col("value") >= 50, "user_id", "event_id")
+    return e.scoreboard_view(scores, "click", "1")

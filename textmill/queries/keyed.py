@@ -44,36 +44,49 @@ def key_lookup(spark, sf_dir):
     return k.lookup(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", 42)
 
 
-@query("""SELECT o_orderkey, c_name, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE p_size = 1""")
+_ROSTER = "SELECT o_orderkey, c_name, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey"
+_COUNTS = "SELECT p_partkey AS id_curso, p_name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2"
+
+
+@query(_ROSTER)
 def roster(spark, sf_dir):
     enrolments = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("id_curso"))
     enrolments = enrolments.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id_alumno")), "o_orderkey")
     students = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_alumno"), "c_name")
-    courses = table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("id_curso"), "p_name")
+    courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")
     return k.roster(enrolments, students, courses).select("o_orderkey", "c_name", "p_name")
 
 
-@query("SELECT o_orderkey, c_name, p_name FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey")
+@query(_ROSTER)
 def roster_all(spark, sf_dir):
-    """roster over all courses."""
-    enrolments = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("id_curso"))
-    enrolments = enrolments.join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id_alumno")), "o_orderkey")
-    students = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id_alumno"), "c_name")
-    courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")
-    return k.roster(enrolments, students, courses).select("o_orderkey", "c_name", "p_name")
+    return roster(spark, sf_dir)
 
 
-@query("SELECT p_partkey AS id_curso, p_name, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2")
-def count_per_course_all(spark, sf_dir):
-    """count_per_course over all enrolments."""
+@query(_COUNTS)
+def count_per_course(spark, sf_dir):
     courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")
     return k.count_per_course(courses, table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id_curso")))
 
 
-@query("SELECT p_partkey AS id_curso, p_name, count(l_partkey) AS n FROM part LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) ON l_partkey = p_partkey GROUP BY 1, 2")
-def count_per_course(spark, sf_dir):
-    courses = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id_curso"), "p_name")
-    return k.count_per_course(courses, table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("id_curso")))
+@query(_COUNTS)
+def count_per_course_all(spark, sf_dir):
+    return count_per_course(spark, sf_dir)
+
+
+@query("SELECT l_orderkey, l_partkey AS id_curso, l_quantity FROM lineitem WHERE l_partkey = 7")
+def enrolments_of_course(spark, sf_dir):
+    enrolments = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("id_curso"), "l_quantity")
+    return k.enrolments_of_course(enrolments, 7)
+
+
+@query("""SELECT coalesce(c_custkey, o_custkey + 100) AS c_custkey, CASE WHEN n % 2 = 0 THEN 'orders ' || n ELSE c_name END AS c_name, coalesce(CAST(n AS DOUBLE), c_acctbal) AS c_acctbal, c_mktsegment
+    FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey + 100""")
+def upsert(spark, sf_dir):
+    """Orders of each customer, shifted so that some keys are new; odd counts give a blank name, which leaves the old one."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    n = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") + 100).alias("c_custkey")).agg(F.count("*").alias("n"))
+    name = F.when(F.col("n") % 2 == 0, F.concat(F.lit("orders "), F.col("n").cast("string"))).otherwise("  ")
+    return k.upsert(c, n.select("c_custkey", name.alias("c_name"), F.col("n").cast("double").alias("c_acctbal")), "c_custkey")
 
 
 @query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem")
@@ -94,15 +107,22 @@ def enroll_many(spark, sf_dir):
     return k.enroll_many(c.select(F.col("c_custkey").alias("id_alumno"), list_of.alias("cursos")), 101, "2024-03-01").withColumn("fecha_inscripcion", F.col("fecha_inscripcion").cast("string"))
 
 
-@query("SELECT 'S' || lpad(CAST(max(s_suppkey) + 1 AS VARCHAR), 2, '0') AS next_id FROM supplier WHERE s_suppkey < 9")
+_NEXT = "SELECT 'S' || CASE WHEN max(s_suppkey) + 1 < 10 THEN '0' ELSE '' END || CAST(max(s_suppkey) + 1 AS VARCHAR) AS next_id FROM supplier"
+
+
+@query(_NEXT)
 def next_id(spark, sf_dir):
-    return k.next_id(table(spark, sf_dir, "supplier").where("s_suppkey < 9"), "s_suppkey", "S")
+    return k.next_id(table(spark, sf_dir, "supplier"), "s_suppkey", "S")
 
 
-@query("SELECT 'S' || CASE WHEN max(s_suppkey) + 1 < 10 THEN '0' ELSE '' END || CAST(max(s_suppkey) + 1 AS VARCHAR) AS next_id FROM supplier")
+@query(_NEXT)
 def next_id_all(spark, sf_dir):
-    """next_id over the whole table."""
-    return k.next_id(table(spark, sf_dir, "supplier"), "s_suppkey", "S")
+    return next_id(spark, sf_dir)
+
+
+@query("SELECT CASE WHEN count(*) + 1 < 10 THEN '0' ELSE '' END || CAST(count(*) + 1 AS VARCHAR) AS next_id FROM supplier")
+def next_id_by_count(spark, sf_dir):
+    return k.next_id(table(spark, sf_dir, "supplier"), "s_suppkey", by_count=True)
 
 
 @query("SELECT n_name, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0")

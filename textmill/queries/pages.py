@@ -116,10 +116,17 @@ def page_slugs(spark, sf_dir):
     return documents_of(table(spark, sf_dir, "pages")).select("page_id", "name")
 
 
-@query(f"""WITH {_DOCS}, n AS (SELECT page_id, category, name, row_number() OVER (PARTITION BY category, substr(name, 1, 4) ORDER BY page_id) - 1 AS k FROM docs)
-    SELECT page_id, category, substr(name, 1, 4) AS name, substr(name, 1, 4) || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.txt' AS file FROM n""")
+@query(f"""WITH {_DOCS}, n AS (SELECT page_id, category, name, row_number() OVER (PARTITION BY category, name ORDER BY page_id) - 1 AS k FROM docs)
+    SELECT page_id, category, name, name || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.txt' AS file FROM n""")
 def unique_names(spark, sf_dir):
-    docs = documents_of(table(spark, sf_dir, "pages")).select("page_id", "category", F.substring("name", 1, 4).alias("name"))
+    return h.unique_names(documents_of(table(spark, sf_dir, "pages")).select("page_id", "category", "name"))
+
+
+@query(f"""WITH {_DOCS}, n AS (SELECT page_id, priority, type, row_number() OVER (PARTITION BY priority, type ORDER BY page_id) - 1 AS k FROM docs)
+    SELECT page_id, priority AS category, type AS name, type || CASE WHEN k > 0 THEN '_' || k ELSE '' END || '.txt' AS file FROM n""")
+def repeated_names(spark, sf_dir):
+    """Types as names, so that almost every name is taken already."""
+    docs = documents_of(table(spark, sf_dir, "pages")).select("page_id", F.col("priority").alias("category"), F.col("type").alias("name"))
     return h.unique_names(docs)
 
 
@@ -138,10 +145,29 @@ def page_blocks(spark, sf_dir):
     return h.page_blocks(table(spark, sf_dir, "pages"))
 
 
-@query(r"""SELECT page_id, coalesce(len(regexp_extract_all(html, '(?is)<meta\b[^>]*>')), 0) AS n_meta, 0 AS n_known FROM pages""")
+@query(f"""SELECT page_id, coalesce(len(regexp_extract_all(html, '(?is)<meta\\b[^>]*>')), 0) + 3 AS n_meta, 'page ' || page_id AS description, 'a & b' AS keywords, CAST(NULL AS VARCHAR) AS author, {_TITLE} AS title FROM pages""")
 def page_meta(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.regexp_count("html", F.lit(r"(?is)<meta\b[^>]*>")).alias("n_meta"), F.size(h.page_meta("html")).alias("n_known"))
+    """The given pages have no known meta tags, so each gets some: twice the same name, one with an entity."""
+    tags = F.concat(F.lit("<meta name='description' content='first'><meta content='a &amp; b' name=\"keywords\"><meta name=\"description\" content=\"page "), F.col("page_id").cast("string"), F.lit('">'))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(tags, "html").alias("html"))
+    known = h.page_meta("html")
+    field = lambda name: F.try_element_at(known, F.lit(name)).alias(name)
+    return pages.select("page_id", F.regexp_count("html", F.lit(r"(?is)<meta\b[^>]*>")).alias("n_meta"), field("description"), field("keywords"), field("author"), h.page_title("html").alias("title"))
+
+
+@query(f"""WITH {_LINKS} SELECT page_id, pos, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) || href ELSE href END AS target FROM links""")
+def absolute_links(spark, sf_dir):
+    """The given links all begin with a slash."""
+    return h.absolute_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "target")
+
+
+@query("""SELECT CASE WHEN page_id % 5 = 0 THEN '' ELSE CAST(400 + page_id % 5 AS VARCHAR) END AS cause, count(*) AS n FROM pages WHERE page_id % 7 <> 0 GROUP BY 1""")
+def extraction_errors(spark, sf_dir):
+    """What the extractor would have stored had most pages failed."""
+    i = F.col("page_id")
+    cause = F.when(i % 5 == 0, "timed out").otherwise(F.concat((400 + i % 5).cast("string"), F.lit(" Client Error")))
+    failed = F.concat(F.lit("ERROR: No se pudo extraer "), "url", F.lit("\nError: "), cause)
+    return h.extraction_errors(table(spark, sf_dir, "pages").select(F.when(i % 7 == 0, F.col("html")).otherwise(failed).alias("text")))
 
 
 @query(r"""WITH parts AS (SELECT page_id, html, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS art, regexp_extract(html, '(?is)<div\b[^>]*\bclass\s*=\s*["''][^"'']*(?:content|main|texto)[^>]*>(.*?)</div\s*>', 1) AS div,
@@ -151,23 +177,6 @@ def content_length(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(h.main_content("html", "url")).alias("n"))
 
 
-_FRONTIER = f"""{_CAPS.replace("WITH", "WITH RECURSIVE", 1)},
-    nodes AS (SELECT page_id, page_id % 40 AS u FROM pages),
-    hops AS (SELECT DISTINCT n.u AS url, (length(target) * 7 + n.u * 3 + pos) % 40 AS target, kind FROM capped JOIN nodes n USING (page_id)),
-    walk AS (SELECT 0 AS url, 0 AS depth UNION SELECT h.target, w.depth + CASE h.kind WHEN 'PDF' THEN 0 ELSE 1 END FROM walk w JOIN hops h ON h.url = w.url WHERE w.depth < 2)
-    SELECT CAST(url AS BIGINT) AS url, min(depth) AS depth FROM walk GROUP BY 1"""
-
-
-@query(_FRONTIER)
-def crawl_frontier(spark, sf_dir):
-    """The pages' links lead nowhere, so both ends are folded onto 40 stand-in addresses."""
-    links = h.cap_links(h.split_links(h.page_links(table(spark, sf_dir, "pages")).withColumnRenamed("href", "target"), extra=EXTRA_WORDS))
-    u = F.col("page_id") % 40
-    hops = links.select(u.alias("url"), ((F.length("target") * 7 + u * 3 + F.col("pos")) % 40).alias("target"), "kind")
-    seeds = spark.range(1).select(F.col("id").alias("url"), F.lit(0).alias("depth"))
-    return h.crawl_frontier(seeds, hops)
-
-
 def _canonical(x: str) -> str:
     u = f"regexp_replace({x}, '#.*$', '')"
     host = f"regexp_replace(lower(regexp_extract({u}, '(?i)^https?://([^/?]+)', 1)), '^www[.]|:(?:80|443)$', '', 'g')"
@@ -190,3 +199,8 @@ def crawl_frontier_pages(spark, sf_dir):
     links = h.cap_links(h.split_links(h.page_links(pages).withColumnRenamed("href", "target"), extra=EXTRA_WORDS))
     hops = links.select(h.canonical_address("url").alias("url"), h.canonical_address(h.absolute_url("url", "target")).alias("target"), "kind")
     return h.crawl_frontier(pages.select(h.canonical_address("url").alias("url"), F.lit(0).alias("depth")), hops)
+
+
+@query(_PAGE_FRONTIER)
+def crawl_frontier(spark, sf_dir):
+    return crawl_frontier_pages(spark, sf_dir)

@@ -31,12 +31,14 @@ _TOP = f"""{_Q},
 
 @query(f"WITH {_Q}, s AS (SELECT query_id, chunk_id, round({_COS}, 6) AS score FROM i, q WHERE query_id <> chunk_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s) SELECT query_id, chunk_id, score FROM k WHERE n = 1")
 def cosine_best(spark, sf_dir):
-    index, q = _index(spark, sf_dir), _questions(spark, sf_dir, 50)
-    i = index.withColumn("__ni", r.norm("embedding"))
-    scored = i.crossJoin(q.withColumn("__nq", r.norm("query"))).where("query_id <> chunk_id")
-    scored = scored.select("query_id", "chunk_id", F.round(r.cosine("embedding", "query", "__ni", "__nq"), 6).alias("score"))
-    best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("m"))).alias("b"))
-    return best.select("query_id", (-F.col("b.m")).alias("chunk_id"), "b.score")
+    return r.best_match(_index(spark, sf_dir), _questions(spark, sf_dir, 50), exclude_self=True).drop("answer")
+
+
+@query(f"""WITH {_Q}, s AS (SELECT query_id, chunk_id, round({_COS}, 6) AS score FROM i, q WHERE query_id <> chunk_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS n FROM s WHERE score > 0.9)
+    SELECT q.query_id, chunk_id, score, CASE WHEN chunk_id IS NULL THEN '{r.DEFAULT_ANSWER}' END AS answer FROM q LEFT JOIN k ON k.query_id = q.query_id AND n = 1""")
+def best_match_or_default(spark, sf_dir):
+    """Questions without a chunk above 0.9 get the default answer."""
+    return r.best_match(_index(spark, sf_dir), _questions(spark, sf_dir, 50), exclude_self=True, above=0.9)
 
 
 @query(f"WITH {_TOP} SELECT query_id, chunk_id, distance, rank FROM top")

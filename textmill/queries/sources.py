@@ -74,25 +74,56 @@ def corpus_build(spark, sf_dir):
     return corpus.build(table(spark, sf_dir, "pages"))
 
 
-@query("SELECT event_id AS n, CAST(ts AS VARCHAR) AS stamp FROM events WHERE event_id % 10 = 0")
-def log_append(spark, sf_dir):
-    """Two appends to one log, read back."""
-    rows = table(spark, sf_dir, "events").select(F.date_trunc("second", "ts").alias("Timestamp"), F.col("event_id").cast("string").alias("Message"), "ts")
-    path = io.scratch_dir(spark, "log")
-    for k in (0, 10):
-        io.append_log(rows.where(f"CAST(Message AS INT) % 20 = {k}"), path)
-    log = io.read_csv(spark, path, io.LOG).select(F.col("Message").cast("long").alias("n"))
-    stamps = table(spark, sf_dir, "events").select(F.col("event_id").alias("n"), F.col("ts").cast("string").alias("stamp"))
-    return log.join(stamps, "n").select("n", "stamp")
+_LOG = "SELECT event_id AS n, CAST(date_trunc('second', ts) AS VARCHAR) AS stamp FROM events"
 
 
-@query("SELECT event_id AS n, CAST(ts AS VARCHAR) AS stamp FROM events")
-def log_append_all(spark, sf_dir):
-    """Two appends that together hold all events, read back."""
+@query(_LOG)
+def log_append(spark, sf_dir):
+    """Two appends to one log that together hold all events, read back with the log's own time stamps."""
     events = table(spark, sf_dir, "events")
     path = io.scratch_dir(spark, "log")
     for k in (0, 1):
         part = events.where(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == k)
         io.append_log(part.select(F.date_trunc("second", "ts").alias("Timestamp"), F.col("event_id").cast("string").alias("Message")), path)
-    log = io.read_csv(spark, path, io.LOG).select(F.col("Message").cast("long").alias("n"))
-    return log.join(events.select(F.col("event_id").alias("n"), F.col("ts").cast("string").alias("stamp")), "n").select("n", "stamp")
+    return io.read_csv(spark, path, io.LOG).select(F.col("Message").cast("long").alias("n"), F.col("Timestamp").cast("string").alias("stamp"))
+
+
+@query(_LOG)
+def log_append_all(spark, sf_dir):
+    return log_append(spark, sf_dir)
+
+
+@query("SELECT 'lang=' || lang AS category, CAST(sum(length(text) + 1) AS BIGINT) AS characters, CAST(sum(n_chars) AS BIGINT) AS declared FROM documents GROUP BY 1")
+def corpus_files(spark, sf_dir):
+    """Documents written as text files below a folder for each language and read as a corpus; a hundred
+    texts make a file, and every text ends with a line end."""
+    docs = table(spark, sf_dir, "documents")
+    path = io.scratch_dir(spark, "corpus")
+    docs.select("lang", "text").write.partitionBy("lang").option("maxRecordsPerFile", 100).text(path)
+    corpus_ = io.read_corpus(spark, path).groupBy("category").agg(F.sum(F.length("text")).alias("characters"))
+    declared = docs.groupBy(F.concat(F.lit("lang="), "lang").alias("category")).agg(F.sum("n_chars").alias("declared"))
+    return corpus_.join(declared, "category")
+
+
+@query("SELECT doc_id, lang AS category, text FROM documents")
+def documents_by_category(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), "text")
+    path = io.scratch_dir(spark, "documents")
+    io.write_documents(docs, path)
+    return spark.read.schema(docs.schema).parquet(path)
+
+
+@query("SELECT item_id AS query_id, text AS question, n FROM benchmark CROSS JOIN (SELECT unnest([1, 2]) AS n)")
+def results_append(spark, sf_dir):
+    """Two runs appended to one file of results."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    path = io.scratch_dir(spark, "results")
+    for n in (1, 2):
+        io.append_results(q.withColumn("n", F.lit(n)), path)
+    return spark.read.schema("query_id long, question string, n int").json(path)
+
+
+@query("SELECT doc_id, CAST(s // 3600 AS INT) AS chunk_index, sha256(doc_id || '|' || s // 3600 || '|' || substr(text, CAST(s AS INT) + 1, 4000)) AS chunk_id FROM (SELECT doc_id, text, unnest(range(0, length(text), 3600)) AS s FROM documents)")
+def chunk_ids(spark, sf_dir):
+    chunks = chunk.fixed_chunks(table(spark, sf_dir, "documents"))
+    return chunks.select("doc_id", "chunk_index", chunk.chunk_id("doc_id", "chunk_index", "chunk").alias("chunk_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textmill.operators import stats as s
+from textmill.operators.order import numbered
+from textmill.operators.order import reverse_order as by_reverse
 from textmill.queries.register import registry
 from textmill.sources.tables import table
 
@@ -197,3 +199,38 @@ def role_uplift(spark, sf_dir):
 def adults(spark, sf_dir):
     age = table(spark, sf_dir, "part").select((F.col("p_size") + 10).alias("a"))
     return age.agg(F.count_if(F.col("a").between(18, 24)).alias("young"), F.count_if(F.col("a") >= 18).alias("adults"), F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS number FROM part")
+def sort_rows(spark, sf_dir):
+    """Parts in ascending order of their price, each with its place."""
+    return numbered(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), ["p_retailprice", "p_partkey"]).drop("p_retailprice")
+
+
+@query("SELECT event_id, event_type, row_number() OVER (ORDER BY event_id DESC) AS place FROM events")
+def reverse_order(spark, sf_dir):
+    """The events from the last to the first."""
+    return by_reverse(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+
+
+@query("""SELECT event_id, user_id, amount, age, amount >= 0 OR coalesce(age >= 18 AND age < 25, false) AS eligible FROM
+    (SELECT event_id, user_id, CAST(floor(value * 100) AS BIGINT) * CASE WHEN event_id % 3 = 0 THEN -2 ELSE 1 END AS amount FROM events) LEFT JOIN (SELECT c_custkey AS user_id, c_custkey % 40 AS age FROM customer) USING (user_id)""")
+def eligible_withdrawal(spark, sf_dir):
+    """Customers hold the accounts; their key gives an age below 40."""
+    holders = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % 40).alias("age"))
+    return s.eligible_withdrawal(_moves(spark, sf_dir).drop("ts"), holders, "user_id", "amount", "age")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity >= l_discount * 500 THEN (l_quantity + l_discount * 500) / 2 END AS middle, l_quantity >= l_discount * 500 AS valid FROM lineitem")
+def pairwise_mean_valid(spark, sf_dir):
+    """Quantity as the day's maximum, the scaled discount as its minimum."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", s.pairwise_mean(F.col("l_discount") * 500, F.col("l_quantity")).alias("p")).select("l_orderkey", "l_linenumber", "p.middle", "p.valid")
+
+
+@query(f"""WITH {_MOVES}, r AS (SELECT *, sum(amount) OVER w AS s FROM moves WHERE abs(amount) <= 200 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, user_id, CAST(s - least(0, min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS BIGINT) AS total FROM r""")
+def floored_total_in_range(spark, sf_dir):
+    """Moves above 200 are rejected first."""
+    out = s.floored_total(_moves(spark, sf_dir), "user_id", ["ts", "event_id"], "amount", most=200)
+    return out.select("event_id", "user_id", "total")
