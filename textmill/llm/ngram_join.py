@@ -1,7 +1,7 @@
 """N-gram Jaccard join by grouped prefixes.
 
 Two texts link when their sets of distinct word shingles have a Jaccard similarity of at least
-``percent`` / 100. The join is exact up to equal 64-bit shingle values:
+``percent`` / 100. The join is exact but for chance collisions of 64-bit shingle values (see shingles.py):
 
 1. shingles are counted over the whole corpus in packed form. In the order of every set those that
    occur once come first, then repeated ones (a bit map of fixed size), last the most frequent ones
@@ -182,7 +182,7 @@ def _prefixes(frequent, percent: int):
                 prefix = s[order[: n - (percent * n + 99) // 100 + 1]].tobytes()
                 rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=16).digest(), prefix, _parity(s)))
             cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))))], names=["doc_id", "n", "digest", "pdigest", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))))], names=["doc_id", "hash", "n", "digest", "pdigest", "prefix", "bits"])
 
     return run
 
@@ -265,23 +265,26 @@ def _fits(na: str, nb: str, pa_: str, pb: str, percent: int) -> F.Column:
 
 
 def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, class_size) for every row of docs(doc_id, text).
+    """(doc_id, n_shingles, component_id, class_size, text_hash, keep_hash) for every row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable by links, the row's own included; class_size
     counts the rows with the same shingle set. Null and empty texts have no shingles and link with
     nothing; a row without doc_id keeps its n_shingles, links with nothing and has no component_id.
-    Rows that share a doc_id are told apart by their sets. Columns other than the two are ignored.
+    Rows that share a doc_id are told apart by their sets. text_hash is the 64-bit hash of the row's text,
+    keep_hash the least one among the rows of the component that carry component_id. Columns other than
+    the two are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_keys(docs.select("text")))
-    rows = docs.mapInArrow(_prefixes(frequent, percent), "doc_id long, n long, digest binary, pdigest binary, prefix binary, bits array<long>")
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    rows = hashed.mapInArrow(_prefixes(frequent, percent), "doc_id long, hash long, n long, digest binary, pdigest binary, prefix binary, bits array<long>")
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "prefixes")
     able = rows.where("n > 0 AND doc_id IS NOT NULL")
     groups = able.groupBy("pdigest").agg(F.min(F.struct("rid", "n", "prefix")).alias("m")).select("pdigest", "m.*")
     groups = stage(groups.withColumnRenamed("rid", "gid"), "groups")
-    nodes = able.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "pdigest", "bits")).alias("m"), F.min("doc_id").alias("least_id"), F.count("*").alias("class_size"))
-    nodes = nodes.select("digest", "m.rid", "m.doc_id", "m.pdigest", "m.bits", "least_id", "class_size")
+    nodes = able.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "pdigest", "bits")).alias("m"), F.min(F.struct("doc_id", "hash")).alias("least"), F.count("*").alias("class_size"))
+    nodes = nodes.select("digest", "m.rid", "m.doc_id", "m.pdigest", "m.bits", "least", "class_size")
     nodes = stage(nodes.join(groups.select("pdigest", "gid", "n"), "pdigest").drop("pdigest"), "nodes")
 
     ranges = _ranges(spark)
@@ -367,21 +370,25 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select("a", "b")
     )
     nodes = merged(nodes, stage(verified(pairs), "links"))
-    named = nodes.groupBy("comp").agg(F.min("least_id").alias("component_id"))
-    known = stage(nodes.join(named, "comp").select("digest", "component_id", "class_size"), "classes")
+    named = nodes.groupBy("comp").agg(F.min("least").alias("keep"))
+    known = stage(nodes.join(named, "comp").select("digest", "keep", "class_size"), "classes")
     release(lists, texts)
     sweep(spark)
-    out = rows.select("doc_id", "n", "digest").join(known, "digest", "left")
+    out = rows.select("doc_id", "hash", "n", "digest").join(known, "digest", "left")
+    with_id = F.col("doc_id").isNotNull()
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+        F.when(with_id, F.coalesce("keep.doc_id", "doc_id")).alias("component_id"),
         F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.col("hash").alias("text_hash"),
+        F.when(with_id, F.coalesce("keep.hash", "hash")).alias("keep_hash"),
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without all but the smallest doc_id of every component; rows without doc_id stay."""
+    """One document of every component: the smallest doc_id, and of several texts under that id the one with
+    the least hash. Rows without doc_id or without words stay; equal rows stay or go together."""
     found = ngram_join(docs, percent)
-    lost = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("__lost"), "left_anti")
+    lost = found.where("n_shingles > 0 AND (component_id <> doc_id OR keep_hash <> text_hash)").select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(lost, (docs["doc_id"].cast("long") == F.col("__lost")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__hash")), "left_anti")

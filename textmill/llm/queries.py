@@ -67,7 +67,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textmill.llm.ngram_join import ngram_join
 
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("text_hash", "keep_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,19 +1,24 @@
 """Word shingles of whole Arrow batches with numpy: no Python object per word.
 
 Words are the runs of bytes other than space and 0x09-0x0D of the UTF-8 text, A-Z lower-cased. A
-word's value is a polynomial over its bytes modulo 2**64, taken from one running sum; a shingle's
-value mixes the values of its words. Equal shingles have equal values; two different ones share a
-64-bit value with a probability of about 2**-52 at worst.
+word's value is a polynomial over its bytes modulo 2**64, taken from one running sum; that of a word
+of more than LONG bytes is its BLAKE2b digest, because such polynomials have known collisions between
+long words of a certain build (from some 1,000 bytes on). A shingle's value mixes the values of its words.
+Equal shingles have equal values; two different ones share a 64-bit value by chance only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; bounds the temporary arrays to a few tens of MB.
 CHUNK = 1 << 20
 WIDTH = 5
+#: Words of more bytes have a digest as their value.
+LONG = 32
 _BASE = np.uint64(0x9E3779B97F4A7C0B)  # odd and 3 modulo 4
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -66,6 +71,8 @@ def _chunk_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power_table(_BASE, "up", n), out=total[1:], dtype=np.uint64)
     words = mix((total[ends] - total[starts]) * _power_table(_INVERSE, "down", n)[starts])
+    for k in np.flatnonzero(ends - starts > LONG):
+        words[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes().lower(), digest_size=8).digest(), "little")
     at = np.searchsorted(starts, offsets)  # words before each text
     if len(words) >= WIDTH:
         spans = sum(words[k : len(words) - WIDTH + 1 + k] * _STEP[k] for k in range(WIDTH))
