@@ -1,9 +1,10 @@
 """BPE encoding by per-prefix dynamic programming, and decoding.
 
-For every prefix of a word, BPE's result ends in one certain token. It is the one among the
-vocabulary's tokens that end there (an automaton with suffix links lists them) whose pair with the
-last token of the remaining, shorter prefix is left as it is by the merges. Each prefix keeps that
-token; following the back-pointers from the word's end gives BPE's exact ids.
+For every prefix of a word, BPE's result ends in one certain token. It is the one among the vocabulary's
+tokens that end there whose pair with the last token of the remaining, shorter prefix is left as it is by
+the merges. An automaton over the whole vocabulary lists the tokens that end at a place (Aho-Corasick's,
+whose suffix links do here what a suffix automaton's do). Each prefix keeps its token; following the
+back-pointers from the word's end gives BPE's exact ids.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.common import stage
+from textmill.llm.stream_dedup import placed
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Share of a source's documents, by the first digits of their seeded hash, that are summed together.
@@ -33,15 +34,16 @@ def source_targets(totals: DataFrame, epochs: float = 3.0) -> DataFrame:
     return ranked.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def mix_sources(docs: DataFrame, epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, repeats) for every row of docs(doc_id, text, source).
+def mix_sources(docs: DataFrame, epochs: float = 3.0, seed: int = 17, place: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, repeats, key) for every row of docs(doc_id, text, source).
 
     Each document is taken floor(target / source_size) times, and once more while the running size of
     its source's documents, in the order of a seeded hash, is nearer the rest of the target. So a
     source's taken words miss its target by half a document at most, and a rerun takes the same ones.
     The running sizes come from sums over 4,096 hash buckets of each source; only the one bucket in
     which a source's rest ends is ordered row by row. Null texts and texts without words have size 0;
-    a null source is a source of its own; a source without words has target 0.
+    a null source is a source of its own; a source without words has target 0. Columns named in place tell
+    rows apart that are equal in doc_id and size; they come with the result.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     sized = stage(
@@ -50,6 +52,7 @@ def mix_sources(docs: DataFrame, epochs: float = 3.0, seed: int = 17) -> DataFra
             F.col("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
             key.alias("key"),
+            *place,
         ).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS)),
         "sized",
     )
@@ -64,8 +67,8 @@ def mix_sources(docs: DataFrame, epochs: float = 3.0, seed: int = 17) -> DataFra
     plan = stage(plan.select("t.*", "bucket", "bucket_size", "start"), "mixplan")
     cut = plan.where("start < rest AND start + bucket_size > rest")
     meet = lambda p: F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.bucket") == F.col("p.bucket"))
-    order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    columns = ["d.doc_id", "d.source", "d.bucket", "d.key", "d.size", "source_size", "target", "whole", "rest", "start"]
+    order = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    columns = ["d.doc_id", "d.source", "d.bucket", "d.key", "d.size", "source_size", "target", "whole", "rest", "start", *(f"d.{c}" for c in place)]
     near = sized.alias("d").join(cut.alias("p"), meet("p")).select(*columns)
     near = near.withColumn("run", F.col("start") + F.sum("size").over(order))
     near = near.withColumn("extra", (F.col("run") - F.col("size") / 2 <= F.col("rest")).cast("int"))
@@ -74,18 +77,18 @@ def mix_sources(docs: DataFrame, epochs: float = 3.0, seed: int = 17) -> DataFra
     far = far.select(*columns, "bucket_size").withColumn("extra", ((F.col("start") + F.col("bucket_size") <= F.col("rest")) & (F.col("rest") > 0)).cast("int"))
     out = near.drop("run").unionByName(far.drop("bucket_size"))
     repeats = (F.col("whole") + F.col("extra")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), "key")
+    return out.select("doc_id", "source", "size", "source_size", "target", (repeats * F.col("size")).alias("taken"), repeats.alias("repeats"), "key", *place)
 
 
 def mixed_documents(docs: DataFrame, epochs: float = 3.0, seed: int = 17) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it.
+    """The rows of docs, each as often as the mix takes it; all columns stay.
 
-    Documents without words carry no weight, so they are taken once. Rows with equal doc_id and
-    source take the same number of repetitions.
+    Documents without words carry no weight, so they are taken once. Each row is mixed for itself, rows
+    with equal doc_id or none included; a frame that is no plain file scan is written to the shared folder first.
     """
-    taken = mix_sources(docs, epochs, seed)
-    times = taken.groupBy("doc_id", "source").agg(F.max(F.when(F.col("size") > 0, F.col("repeats")).otherwise(1)).alias("__times"))
-    times = times.toDF("__id", "__source", "__times")
-    on = docs["doc_id"].eqNullSafe(F.col("__id")) & docs["source"].eqNullSafe(F.col("__source"))
-    repeated = docs.join(times, on).where("__times > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __times)")))
-    return repeated.select(*(docs[c] for c in docs.columns))
+    rows = placed(docs, "__file", "__row")
+    taken = mix_sources(rows, epochs, seed, ("__file", "__row"))
+    times = F.when(F.col("size") > 0, F.col("repeats")).otherwise(1)
+    times = taken.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"), times.alias("__times")).where("__times > 0")
+    repeated = rows.join(times, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")))
+    return repeated.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*(rows[c] for c in docs.columns))

@@ -9,6 +9,7 @@ than once, the members' full bytes are compared with those at the kept locator.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,18 +19,23 @@ from textmill.llm.common import settings, stage, sweep, work_dir
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, file, row): where a reader finds each text again. Frames that are no plain
+def placed(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with the columns file and row: where a reader finds each row again. Frames that are no plain
     file scan are written to the shared folder first."""
-    cols = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    def place(df):
+        at = df.metadataColumn("_metadata")
+        return df.withColumns({file: at["file_path"], row: at["row_index"]})
+
     try:
-        return docs.select(*cols, *place)
-    except Exception as e:
-        if "_metadata" not in str(e):
-            raise
-    docs = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "content")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *place)
+        return place(docs)
+    except AnalysisException:  # no such metadata: not a scan
+        return place(stage(docs, "content"))
+
+
+def located(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, file, row) of placed rows; a null text is empty."""
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
+    return rows.select(*cols, F.col("__file").alias("file"), F.col("__row").alias("row"))
 
 
 def keyed_state(spark: SparkSession, path: str, schema, batches: int) -> DataFrame:
@@ -73,8 +79,12 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other. digest maps the text column to the state's key (default: SHA-256); texts that share a
     key but not all bytes are grouped by the full text instead, so a weak key is right too.
     """
-    spark = docs.sparkSession
-    base = located(docs, id_col, text_col)
+    return _dedup(located(placed(docs, "__file", "__row"), id_col, text_col), batches, digest)
+
+
+def _dedup(base: DataFrame, batches: int = 3, digest=None) -> DataFrame:
+    """stream_dedup of located rows."""
+    spark = base.sparkSession
     make = digest or (lambda text: F.sha2(text, 256))
     light = stage(base.select("doc_id", "file", "row", make(F.col("text")).alias("digest"), F.sha2("text", 256).alias("text_sha256")), "digests")
     folder = light.inputFiles()[0].rsplit("/", 1)[0] if light.inputFiles() else None
@@ -111,11 +121,7 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) without the rows that stream_dedup drops; all columns stay."""
-    try:
-        docs.select("_metadata.row_index")
-    except Exception:
-        docs = stage(docs, "content")
-    lost = stream_dedup(docs).where("NOT kept").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
-    placed = docs.withColumn("__f", F.col("_metadata.file_path")).withColumn("__r", F.col("_metadata.row_index"))
-    left = placed.join(lost, (F.col("__f") == F.col("__file")) & (F.col("__r") == F.col("__row")), "left_anti")
-    return left.select(*docs.columns)
+    rows = placed(docs, "__file", "__row")
+    lost = _dedup(located(rows, "doc_id", "text")).where("NOT kept").select(F.col("file").alias("__lost"), F.col("row").alias("__at"))
+    left = rows.join(lost, (F.col("__file") == F.col("__lost")) & (F.col("__row") == F.col("__at")), "left_anti")
+    return left.drop("__file", "__row")
