@@ -107,6 +107,80 @@ def test_ngram_join_finds_chains_that_miss_the_first_leader(spark):
     assert set(got.values()) == {0}
 
 
+def test_ngram_join_tells_rows_of_one_id_apart(spark):
+    from textmill.llm.ngram_join import keep_one, ngram_join
+
+    a, b = prose(100).split(), " ".join(f"other{i}" for i in range(40))
+    near = " ".join([*a[:20], "edit", *a[21:]])
+    rows = [(1, " ".join(a)), (2, near), (2, b), (3, None), (3, ""), (None, near), (4, b + " more"), (1, near), (5, "x " * 40_000), (5, "x " * 40_000)]
+    docs = spark.createDataFrame([(i, t, "c", 1) for i, t in rows], "doc_id long, text string, digest string, n long")
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in keep_one(docs).collect())
+    # 2's other text stays though its near copy goes; of 1's two texts one stays
+    assert (2, b) in kept and (2, near) not in kept and (4, b + " more") not in kept
+    assert len([k for k in kept if k[0] == 1]) == 1 and len([k for k in kept if k[0] == 5]) == 2
+    assert [k for k in kept if k[0] in (-1, 3)] == [(-1, near), (3, ""), (3, "")]
+    assert keep_one(docs).columns == docs.columns and ngram_join(docs).count() == len(rows)
+
+
+def test_ngram_join_tells_long_words_apart_that_a_polynomial_confuses(spark):
+    from textmill.llm.ngram_join import ngram_join
+    from textmill.llm.shingles import text_sets
+
+    thue = "a"
+    for _ in range(12):  # 4,096 letters; polynomials modulo 2**64 take this word and its complement for equal
+        thue += thue.translate(str.maketrans("ab", "ba"))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    texts = [f"{x} one two three four" for x in (thue, other, thue.upper())]
+    a, b, c = (s.tolist() for s in text_sets(__import__("pyarrow").array(texts)))
+    assert a != b and a == c
+    got = {r.doc_id: r.component_id for r in ngram_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_stream_dedup_with_clashing_columns(spark, tmp_path):
+    from textmill.llm.stream_dedup import keep_distinct, stream_dedup
+
+    rows = [(1, "a", "f", 1, "d", "m"), (2, "a", "f", 2, "d", "m"), (2, "a", "f", 3, "d", "m"), (None, None, None, None, None, None), (3, "", "f", 4, "d", "m"), (4, "x" * 3_000_000, "f", 5, "d", "m"), (5, "x" * 3_000_000, "f", 6, "d", "m")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, file string, row long, digest string, _metadata string")
+    frame.write.parquet(f"{tmp_path}/d")
+    for docs in (frame, spark.read.parquet(f"{tmp_path}/d"), frame.withColumn("keep", frame["row"])):
+        kept = sorted((r.doc_id, len(r.text)) for r in keep_distinct(docs).collect())
+        assert kept == [(2, 1), (3, 0), (5, 3_000_000)]
+        assert keep_distinct(docs).columns == docs.columns
+        assert stream_dedup(docs).where("kept").count() == 3
+
+
+def test_mixing_takes_rows_without_id_one_by_one(spark):
+    from textmill.llm.mixing import mix_sources, mixed_documents
+
+    rows = [(None, "w " * 10, s, "k", 1) for s in ("a", "b", None) for _ in range(60)] + [(7, "w " * 10, "b", "k", 1)] * 30 + [(8, None, "a", "k", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, key string, size long")
+    target = {r.source: r.target for r in mix_sources(docs).collect()}
+    taken = {s: 0 for s in target}
+    for r in mixed_documents(docs).collect():
+        taken[r.source] += size(r.text)
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
+    assert mixed_documents(docs).columns == docs.columns and mixed_documents(docs.limit(0)).count() == 0
+
+
+def size(t):
+    return len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+
+
+def test_bpe_of_long_texts_and_clashing_columns(spark):
+    from textmill.llm.bpe import bpe_round_trip
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["q" * 5_000, prose(200_000), "", None, "Ünï <|endoftext|> " * 3]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)] * 2, "doc_id long, text string, ids_sha256 string, n_tokens long")
+    got = bpe_round_trip(docs, path).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        ids = tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_stream_dedup(spark, docs, rows):
     from textmill.llm.stream_dedup import keep_distinct, stream_dedup
 
