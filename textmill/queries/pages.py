@@ -101,6 +101,14 @@ def link_caps(spark, sf_dir):
     return h.cap_links(h.split_links(links, extra=EXTRA_WORDS)).select("page_id", "url", "pos", "target", "text", "kind", "rank")
 
 
+@query(f"""{_CAPS} SELECT page_id, pos, target, kind FROM kinds WHERE kind = 'PDF' OR length(target) % 2 = 1""")
+def unvisited_links(spark, sf_dir):
+    """Relevant links when every address of even length was visited; PDF links are followed again."""
+    links = h.page_links(table(spark, sf_dir, "pages")).withColumnRenamed("href", "target")
+    visited = links.where(F.length("target") % 2 == 0).select(F.col("target").alias("url"))
+    return h.split_links(links, visited, EXTRA_WORDS).select("page_id", "pos", "target", "kind")
+
+
 @query(f"WITH {_DOCS} SELECT page_id, category, directory FROM docs")
 def page_classes(spark, sf_dir):
     return documents_of(table(spark, sf_dir, "pages")).select("page_id", "category", "directory")
@@ -172,9 +180,10 @@ def extraction_errors(spark, sf_dir):
 
 @query(r"""WITH parts AS (SELECT page_id, html, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS art, regexp_extract(html, '(?is)<div\b[^>]*\bclass\s*=\s*["''][^"'']*(?:content|main|texto)[^>]*>(.*?)</div\s*>', 1) AS div,
         regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body\s*>', 1) AS body FROM pages)
-    SELECT page_id, length(coalesce(nullif(art, ''), nullif(div, ''), nullif(body, ''), html)) AS n FROM parts""")
+    SELECT page_id, length(coalesce(nullif(art, ''), nullif(div, ''), nullif(body, ''), html)) AS n, md5(coalesce(nullif(art, ''), nullif(div, ''), nullif(body, ''), html)) AS digest FROM parts""")
 def content_length(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.length(h.main_content("html", "url")).alias("n"))
+    content = h.main_content("html", "url")
+    return table(spark, sf_dir, "pages").select("page_id", F.length(content).alias("n"), F.md5(content).alias("digest"))
 
 
 def _canonical(x: str) -> str:

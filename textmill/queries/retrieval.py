@@ -105,6 +105,21 @@ def qa_records(spark, sf_dir):
     return r.qa_records(answers, top).withColumn("chunks", F.array_join("chunks", "|"))
 
 
+@query(f"SELECT lang, count(*) FILTER (strlen(text) <= {r.LONGEST}) AS kept, count(*) AS n FROM documents GROUP BY 1")
+def oversize_guard(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    kept = r.oversize_guard(docs).groupBy("lang").agg(F.count("*").alias("kept"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(kept, "lang", "left").select("lang", F.coalesce("kept", F.lit(0)).alias("kept"), "n")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 7 <> 0")
+def failed_vectors(spark, sf_dir):
+    """One vector in seven came back empty."""
+    e = table(spark, sf_dir, "embeddings")
+    made = e.withColumn("embedding", F.when(F.col("vec_id") % 7 == 0, F.array().cast("array<float>")).otherwise(F.col("embedding")))
+    return r.drop_failed(made).select("vec_id", "label")
+
+
 @query()
 def hashed_embeddings(spark, sf_dir):
     return r.drop_failed(r.embed(r.oversize_guard(table(spark, sf_dir, "documents").select("doc_id", "text")))).select("doc_id", "embedding")
