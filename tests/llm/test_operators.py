@@ -107,6 +107,27 @@ def test_ngram_join_finds_chains_that_miss_the_first_leader(spark):
     assert set(got.values()) == {0}
 
 
+def test_ngram_join_with_lists_dealt_in_bands_and_cells(spark, monkeypatch):
+    """Texts of many sizes that share passages, in cells of three: each linked pair must meet."""
+    from textmill.llm import ngram_join as n
+
+    monkeypatch.setattr(n, "CELL", 3)
+    random.seed(17)
+    common = [f"c{i}" for i in range(12)]
+    base = [[f"b{k}x{i}" for i in range(60)] for k in range(4)]
+    rows = []
+    for i in range(160):
+        k, size = random.randrange(4), random.choice([20, 24, 30, 37, 46, 58])
+        at = random.randrange(0, 60 - size + 1, 2)
+        words = base[k][at : at + size]
+        if random.random() < 0.5:
+            words = common[: random.randrange(5, 12)] + words
+        rows.append((i, " ".join(words), "c", "s", 0))
+    got = {r.doc_id: r.component_id for r in n.ngram_join(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == brute_components(rows)
+    assert len(set(got.values())) > 10
+
+
 def test_ngram_join_tells_rows_of_one_id_apart(spark):
     from textmill.llm.ngram_join import keep_one, ngram_join
 

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.common import Remembered
+from textmill.llm.common import Remembered, worker_model
 
 #: In texts of these characters only, Python's lower() and split() do what the tokenizer's normalizer does.
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e¡-¬®-įı-ž–-…]*").fullmatch
@@ -182,13 +182,8 @@ class WordBpe:
         return " ".join(parts[::2]), " ".join(parts[1::2])
 
 
-_models: dict[str, WordBpe] = {}
-
-
 def _model(path: str) -> WordBpe:
-    if path not in _models:
-        _models[path] = WordBpe(path)
-    return _models[path]
+    return worker_model(("word_bpe", path), lambda: WordBpe(path))
 
 
 def bpe_round_trip(docs: DataFrame, path: str) -> DataFrame:

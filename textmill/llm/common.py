@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,29 @@ def settings(spark: SparkSession, **conf):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_model: dict = {}
+
+
+def worker_model(key, make):
+    """make(), kept in this Python worker until another key is asked for: workers live on for the tasks of other
+    operators, whose models shouldn't add up."""
+    if key not in _model:
+        _model.clear()
+        give_back()
+        _model[key] = make()
+    return _model[key]
+
+
+def give_back() -> None:
+    """Give the system the memory that this Python worker holds but doesn't use."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class Remembered(dict):
     """A bounded memory of make(key). A key enters it when it comes again soon after its first time."""
 

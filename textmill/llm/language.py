@@ -14,6 +14,8 @@ host say:
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import let
-from textmill.llm.common import stage
+from textmill.llm.common import stage, worker_model
 
 #: Labelled rows of each language that the text model is fitted on.
 PER_LANGUAGE = 2_000
@@ -98,12 +100,12 @@ def fit_text_model(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> tup
 
 def text_evidence(rows: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """rows(key columns ..., text) with the text replaced by ev: log likelihoods, tempered; null without letters."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+    shared, mine = rows.sparkSession.sparkContext.broadcast(model), ("language", uuid.uuid4().hex)
     keys = [f for f in rows.schema.fields if f.name != "text"]
     out = T.StructType([*keys, T.StructField("ev", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        _, table = shared.value
+        _, table = worker_model(mine, lambda: shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             ev = []

@@ -18,12 +18,13 @@ Two texts link when their sets of distinct word shingles have a Jaccard similari
    A parity map has a bit for each of 512 slots of the shingle values, set if the slot holds an odd
    number; two sets differ in at least as many shingles as their maps in bits, so a filter by it
    loses no link. Each entry carries the first EARLIER shared shingles before it, so most pairs meet
-   at their first common shingle only. Lists of frequent shingles are split in cells. No link between components is lost.
+   at their first common shingle only. Lists of frequent shingles are split by size and in cells. No link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, release, stage, sweep
+from textmill.llm.common import components, give_back, release, settings, stage, sweep, worker_model
 from textmill.llm.shingles import text_sets
 
 #: Entries of the table of frequent shingles and bits of the map of repeated ones, which are broadcast:
@@ -85,6 +86,7 @@ def _count_keys(ranges: int):
         return keys[at], np.add.reduceat(counts, at, dtype=np.uint32)
 
     def run(batches):
+        worker_model(("shingles",), lambda: None)
         parts, held, fresh, n = [], 0, [], 0
 
         def fold():
@@ -107,14 +109,16 @@ def _count_keys(ranges: int):
             for s in text_sets(batch.column(0)):
                 fresh.append((s >> np.uint64(32)).astype(np.uint32))
                 n += len(fresh[-1])
-                if n > 2_000_000:
+                if n > 1_000_000:
                     fold()
-            if held > 8_000_000:
+            if held > 4_000_000:
                 yield flush()
                 parts, held = [], 0
         fold()
         if (out := flush()) is not None:
             yield out
+        del parts, fresh
+        give_back()
 
     def most(pdf):
         import pandas as pd
@@ -170,6 +174,7 @@ def _lookup(frequent, s):
 
 def _prefixes(frequent, percent: int):
     def run(batches):
+        worker_model(("shingles",), lambda: None)
         table = frequent.value
         for batch in batches:
             rows = []
@@ -183,6 +188,7 @@ def _prefixes(frequent, percent: int):
                 rows.append((n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), hashlib.blake2b(prefix + n.to_bytes(8, "little"), digest_size=16).digest(), prefix, _parity(s)))
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))))], names=["doc_id", "hash", "n", "digest", "pdigest", "prefix", "bits"])
+        give_back()
 
     return run
 
@@ -254,6 +260,7 @@ def _verify(percent: int):
                 both = int((set_a[at] == set_b).sum())
                 ok.append(100 * both >= percent * (len(set_a) + len(set_b) - both))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+        give_back()
 
     return run
 
@@ -264,6 +271,10 @@ def _fits(na: str, nb: str, pa_: str, pb: str, percent: int) -> F.Column:
     return F.expr(f"100 * least({na}, {nb}) >= {percent} * greatest({na}, {nb}) AND 100 * ({best}) >= {percent} * ({na} + {nb} - ({best}))")
 
 
+#: Rows of an Arrow batch: a row may hold two texts.
+BATCH = 1_000
+
+
 def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_size, text_hash, keep_hash) for every row of docs(doc_id, text).
 
@@ -274,6 +285,11 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     keep_hash the least one among the rows of the component that carry component_id. Columns other than
     the two are ignored.
     """
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=BATCH):
+        return _joined(docs, percent)
+
+
+def _joined(docs: DataFrame, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_keys(docs.select("text")))
@@ -324,9 +340,11 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     def apart(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Range of the members' components of each group; lists whose groups aren't all in one component."""
         span = nodes.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.when(F.count("*") == 1, F.min("bits")).alias("bits"))
-        ranged = lists.join(span, "gid")
-        mixed = ranged.groupBy("tok").agg(F.count("*").alias("c"), F.min("low").alias("l"), F.max("high").alias("h")).where("l < h AND c > 1")
-        return span, ranged.join(mixed.select("tok", "c"), "tok")
+        ranged = lists.join(span, "gid").withColumn("band", F.floor(F.log("n") / math.log(101 / percent)).cast("int"))
+        per = ranged.groupBy("tok", "band").agg(F.count("*").alias("c"), F.min("low").alias("l"), F.max("high").alias("h"))
+        bands = F.map_from_entries(F.collect_list(F.struct("band", "c"))).alias("bands")  # a shingle's sizes have a few dozen bands
+        mixed = per.groupBy("tok").agg(F.sum("c").alias("c"), F.min("l").alias("l"), F.max("h").alias("h"), bands).where("l < h AND c > 1")
+        return span, ranged.join(mixed.select("tok", "c", "bands"), "tok")
 
     # first round: one leader for each shingle, one for each group
     nodes = nodes.withColumn("comp", F.col("rid"))
@@ -338,7 +356,7 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     # second round: another leader, drawn for each shingle
     _, open_lists = apart(nodes)
-    open_lists = open_lists.drop("bits")
+    open_lists = open_lists.drop("bits", "band", "bands")
     lead = open_lists.groupBy("tok").agg(F.min(F.struct(F.xxhash64("tok", "gid").alias("h"), "gid", "n", "pos", "low", "high")).alias("l"))
     stars = open_lists.join(lead, "tok").where("gid <> l.gid AND NOT (low = l.high AND high = l.low)").where(_fits("n", "l.n", "pos", "l.pos", percent))
     stars = stars.select(F.least("gid", "l.gid").alias("a"), F.greatest("gid", "l.gid").alias("b"))
@@ -351,16 +369,28 @@ def ngram_join(docs: DataFrame, percent: int = 80) -> DataFrame:
     firsts = F.filter(F.array(*(F.nth_value("tok", i + 1).over(all_own) for i in range(EARLIER))), lambda x: x.isNotNull())
     open_lists = open_lists.withColumn("place", F.row_number().over(own)).withColumn("firsts", firsts)
     open_lists = open_lists.withColumn("prev", F.slice("firsts", F.lit(1), F.least(F.col("place") - 1, F.lit(EARLIER))))
-    open_lists = open_lists.withColumn("k", F.greatest(F.lit(1), F.ceil(F.col("c") / CELL)).cast("int")).withColumn("own", F.expr("pmod(xxhash64(gid), k)").cast("int"))
-    dealt = open_lists.withColumn("other", F.explode(F.expr("sequence(0, k - 1)")))
-    side = lambda i, j, s: dealt.select("tok", F.col(i).alias("i"), F.col(j).alias("j"), *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "low", "high", "bits", "prev")))
-    met = side("own", "other", "a").join(side("other", "own", "b"), ["tok", "i", "j"])
-    met = met.where("gid_a < gid_b AND NOT (low_a = high_b AND high_a = low_b)")
+    # sizes of linked sets are in one band or in neighbours; the lists of frequent shingles are dealt by bands, and
+    # these in cells, so that each two cells that may hold a link meet once
+    hot = F.col("c") > CELL
+    cells = F.when(hot, F.transform_values("bands", lambda _, c: F.ceil(c / CELL).cast("int"))).otherwise(F.create_map(F.lit(0), F.lit(1)))
+    open_lists = open_lists.withColumn("cells", cells).withColumn("band", F.when(hot, F.col("band")).otherwise(0))
+    open_lists = open_lists.withColumn("k", F.try_element_at("cells", F.col("band"))).withColumn("own", F.expr("pmod(xxhash64(gid), k)").cast("int"))
+    up, down = (F.try_element_at("cells", F.col("band") + d) for d in (1, -1))
+    none = F.array().cast("array<struct<band:int,step:int,i:int,j:int>>")
+    place = lambda band, step, i, j: F.struct(band.cast("int").alias("band"), F.lit(step).alias("step"), i.alias("i"), j.alias("j"))
+    all_of = lambda n, make: F.when(n.isNotNull(), F.transform(F.sequence(F.lit(0), n - 1), make)).otherwise(none)
+    own, band = F.col("own"), F.col("band")
+    first_of = F.concat(F.transform(F.sequence(own, F.col("k") - 1), lambda j: place(band, 0, own, j)), all_of(up, lambda j: place(band, 1, own, j)))
+    second_of = F.concat(F.transform(F.sequence(F.lit(0), own), lambda i: place(band, 0, i, own)), all_of(down, lambda i: place(band - 1, 1, i, own)))
+    side = lambda places, s: open_lists.select("tok", *(F.col(c).alias(f"{c}_{s}") for c in ("gid", "n", "pos", "low", "high", "bits", "prev")), F.explode(places).alias("at"))
+    met = side(first_of, "a").join(side(second_of, "b"), ["tok", "at"])
+    met = met.where("gid_a <> gid_b AND (at.step = 1 OR at.i < at.j OR gid_a < gid_b) AND NOT (low_a = high_b AND high_a = low_b)")
     met = met.where(_fits("n_a", "n_b", "pos_a", "pos_b", percent))
     differ = " + ".join(f"bit_count(bits_a[{i}] ^ bits_b[{i}])" for i in range(WORDS))
     met = met.where("NOT arrays_overlap(prev_a, prev_b)")
     # groups of several sets have no one map
-    met = met.where(f"bits_a IS NULL OR bits_b IS NULL OR ({differ}) * {100 + percent} <= {100 - percent} * (n_a + n_b)").select("gid_a", "gid_b")
+    met = met.where(f"bits_a IS NULL OR bits_b IS NULL OR ({differ}) * {100 + percent} <= {100 - percent} * (n_a + n_b)")
+    met = met.select(F.least("gid_a", "gid_b").alias("gid_a"), F.greatest("gid_a", "gid_b").alias("gid_b"))
     met = met.union(span.where("low < high").select("gid", "gid")).distinct()
     member = nodes.select("gid", "rid", "comp")
     pairs = (

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textmill.llm.bpe import byte_alphabet
-from textmill.llm.common import work_dir
+from textmill.llm.common import work_dir, worker_model
 
 #: Blanks outside ASCII. Fixed values.
 _WIDE_GAP = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
@@ -125,13 +125,8 @@ def public_pattern() -> str:
     return r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-_encoders: dict[str, ByteBpe] = {}
-
-
 def _encoder(path: str) -> ByteBpe:
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path)
-    return _encoders[path]
+    return worker_model(("byte_bpe", path), lambda: ByteBpe(path))
 
 
 def _open(uri: str):
