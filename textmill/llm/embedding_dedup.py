@@ -222,12 +222,15 @@ def projection_dedup(vectors: DataFrame, threshold: float = 0.93, seed: int = 5)
     release(keys)
 
     counted = found.groupBy("rid").agg(F.sum("links").alias("links"))
+    bare = nodes
     nodes = nodes.join(comp.withColumnRenamed("node", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     nodes = stage(nodes.join(counted, "rid", "left").withColumn("links", F.coalesce("links", F.lit(0))), "vectors")
+    release(bare, comp, found)
     again = stage(_full_links(nodes, threshold), "links")
     names = nodes.groupBy("comp").agg(F.min("vec_id").alias("component_id"))
     known = nodes.join(names, "comp").join(again, "rid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("full_links", "links"))
     known = stage(known.select("label", "embedding", "component_id", "n_links"), "known")
+    release(nodes, again)
     lone = rows.where("NOT fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     linked = rows.where("fine").join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     return linked.union(lone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -329,11 +329,12 @@ def _joined(docs: DataFrame, percent: int) -> DataFrame:
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent), "a long, b long")
 
     def merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
-        """nodes with the components that links join made one."""
+        """nodes with the components that links join made one; both tables are given back."""
         at = nodes.select("rid", "comp")
         between = links.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         top = components(between).toDF("comp", "top")
         out = stage(nodes.join(top, "comp", "left").withColumn("comp", F.coalesce("top", "comp")).drop("top"), "nodes")
+        release(nodes, links, top)
         sweep(spark)
         return out
 
@@ -402,7 +403,7 @@ def _joined(docs: DataFrame, percent: int) -> DataFrame:
     nodes = merged(nodes, stage(verified(pairs), "links"))
     named = nodes.groupBy("comp").agg(F.min("least").alias("keep"))
     known = stage(nodes.join(named, "comp").select("digest", "keep", "class_size"), "classes")
-    release(lists, texts)
+    release(lists, texts, nodes)
     sweep(spark)
     out = rows.select("doc_id", "hash", "n", "digest").join(known, "digest", "left")
     with_id = F.col("doc_id").isNotNull()

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textmill.functions.text import let
-from textmill.llm.common import stage
+from textmill.llm.common import release, stage
 
 #: Kinds in their order and the patterns of their base forms. Quantifiers are possessive where no
 #: character could be given back, and runs are entered at their start only, so the time is linear.
@@ -120,7 +120,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     edges = stage(seen.groupBy("pattern", "kind", "value").agg(F.max("seed").alias("seed")), "edges")
     instance = edges.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(ROUNDS):
+    for step in range(ROUNDS):
+        old = [instance, good] if step else []
         scored = edges.join(instance, ["kind", "value"]).groupBy("pattern", "kind")
         good = scored.agg(F.avg("score").alias("quality"), F.count(F.when(F.col("seed"), 1)).alias("support"))
         good = stage(good.where(f"support >= {SUPPORT}"), "patterns")
@@ -128,6 +129,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
         doubt = F.sum(F.log1p(-F.least(F.coalesce("quality", F.lit(0.0)), F.lit(1.0 - 1e-9))))
         reached = edges.join(good, ["pattern", "kind"], "left").groupBy("kind", "value")
         instance = stage(reached.agg(F.when(F.max("seed"), 1.0).otherwise(1.0 - F.exp(doubt)).alias("score")), "instances")
+        release(*old)
+    release(edges)
     trusted = good.where(f"quality >= {SCORE}").select("pattern", "kind", "quality")
     added = seen.where("NOT seed").join(trusted, ["pattern", "kind"]).join(instance.where(f"score >= {SCORE}"), ["kind", "value"])
     best = added.groupBy("rid", "start", "end").agg(F.max_by("kind", F.struct("quality", "kind")).alias("kind"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import settings, stage, sweep, work_dir
+from textmill.llm.common import release, remove, settings, stage, sweep, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,7 +39,8 @@ def located(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def keyed_state(spark: SparkSession, path: str, schema, batches: int) -> DataFrame:
-    """Runs the stream over the digest rows at path; (digest, keep, n) for every digest."""
+    """Runs the stream over the digest rows at path; (digest, keep, n) for every digest, as a table. The
+    stream ends here, so its updates and its checkpoint are given back."""
     files = max(1, -(-len(spark.read.schema(schema).parquet(path).inputFiles()) // batches))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
     keep = F.max(F.struct("doc_id", "file", "row")).alias("keep")
@@ -68,7 +69,10 @@ def keyed_state(spark: SparkSession, path: str, schema, batches: int) -> DataFra
     updates = T.StructType([*state.schema.fields, T.StructField("batch", T.IntegerType())])
     # counts only grow, so a digest's largest count is its last update
     latest = spark.read.schema(updates).parquet(out).groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("last"))
-    return latest.select("digest", F.col("last.keep").alias("keep"), F.col("last.n").alias("n"))
+    latest = stage(latest.select("digest", F.col("last.keep").alias("keep"), F.col("last.n").alias("n")), "latest")
+    remove(spark, out)
+    remove(spark, checkpoint)
+    return latest
 
 
 def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, digest=None) -> DataFrame:
@@ -90,7 +94,7 @@ def _dedup(base: DataFrame, batches: int = 3, digest=None) -> DataFrame:
     folder = light.inputFiles()[0].rsplit("/", 1)[0] if light.inputFiles() else None
     if folder is None or not light.limit(1).count():
         return light.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "file", "row")
-    state = stage(keyed_state(spark, folder, light.schema, batches), "latest")
+    state = keyed_state(spark, folder, light.schema, batches)
 
     # full bytes on hits
     hits = state.where("n > 1").select("digest", "keep")
@@ -108,6 +112,8 @@ def _dedup(base: DataFrame, batches: int = 3, digest=None) -> DataFrame:
         exact = apart.join(exact, ["digest", "text"]).select("file", "row", "keep2", "n2")
         result = result.join(exact, ["file", "row"], "left")
         result = result.withColumn("keep", F.coalesce("keep2", "keep")).withColumn("n", F.coalesce("n2", "n"))
+    else:
+        release(members, differ)
     return result.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),

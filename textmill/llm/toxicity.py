@@ -145,7 +145,9 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     light = light.withColumn("sum", F.sum("n").over(upto)).withColumn("place", F.row_number().over(upto)).where(f"sum <= {SAMPLE_BYTES} OR place = 1")
     light = light.select("rid", F.pmod(F.floor(F.col("h") / 7), F.lit(FOLDS)).cast("int").alias("fold"))
     chosen = rows.join(F.broadcast(light), "rid").select("text", "toxic", "fold")  # at most 2 * SAMPLE rows of two numbers
-    return stage(chosen.repartition(8, F.xxhash64("text")), "sample")
+    chosen = stage(chosen.repartition(8, F.xxhash64("text")), "sample")
+    release(rows)
+    return chosen
 
 
 def training_samples(rows: DataFrame, pieces: dict[int, list[tuple[bytes, bytes]]]) -> list[bytes]:
