@@ -108,6 +108,7 @@ class ByteBpe:
         cut: list[list[str] | None] = []
         for text in texts:
             plain = text and not any(g in text for g in _GAPS) and not text[0].isspace() and not text[-1].isspace()
+            plain = plain and "\0" not in text  # the mark below
             plain = plain and (text.isascii() or not _WIDE_GAP(text)) and not any(x in text for x in self.special)
             cut.append(("\0" + text.replace("\n", " \n")).split(" ") if plain else None)
         new = set().union(*(c for c in cut if c)).difference(self.pieces)
