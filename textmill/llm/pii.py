@@ -36,20 +36,70 @@ SUPPORT, SCORE = 3, 0.8
 BLANKS = 9
 
 
+#: Numbers of an array that are added up in one go; see running.
+CHUNK = 64
+
+
+def running(values: Column, reduce=lambda a, b: a + b, levels: int = 3) -> Column:
+    """The running sums of an array of longs without nulls (or what reduce makes of the first 1, 2, ...).
+
+    A fold that appends to an array copies all of it at each step. So values are taken in chunks of CHUNK: each
+    is folded by itself, and what comes before a chunk is the running sum of the chunks' totals, by the same way.
+    With three levels the longest fold over n values has n / CHUNK ** 2 steps.
+    """
+
+    def fold(xs: Column) -> Column:
+        append = lambda done, x: F.concat(done, F.array(F.when(F.size(done) == 0, x).otherwise(reduce(F.element_at(done, -1), x))))
+        return F.aggregate(xs, F.array().cast("array<long>"), append)
+
+    if levels == 1:
+        return fold(values)
+
+    def whole(xs: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(CHUNK))
+        return let(F.transform(places, lambda at: fold(F.slice(xs, at, F.lit(CHUNK)))), joined)
+
+    def joined(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.element_at(c, -1))
+        before = lambda upto: F.transform(chunks, lambda c, i: F.when(i == 0, c).otherwise(let(F.get(upto, i - 1), lambda b: F.transform(c, lambda x: reduce(b, x)))))
+        return F.flatten(let(running(totals, reduce, levels - 1), before))
+
+    # most arrays are short
+    return let(values, lambda xs: F.when(F.size(xs) <= CHUNK, fold(xs)).otherwise(whole(xs)))
+
+
 def _spans(text: Column, pattern: str, kind: str) -> Column:
     """array<struct<kind, start, end, value, before>> of all leftmost matches; code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     measure = lambda m, g: F.struct(F.length(g).cast("long").alias("gap"), F.length(m).cast("long").alias("n"), m.alias("value"), F.substring_index(g, " ", -BLANKS).alias("before"))
     lengths = F.zip_with(found, F.slice(gaps, F.lit(1), F.greatest(F.size(gaps) - 1, F.lit(0))), measure)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<kind:string,start:long,end:long,value:string,before:string>>").alias("out"))
 
-    def step(acc, m):
-        s = acc["at"] + m["gap"]
-        one = F.struct(F.lit(kind).alias("kind"), s.alias("start"), (s + m["n"]).alias("end"), m["value"].alias("value"), m["before"].alias("before"))
-        return F.struct((s + m["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(matches: Column) -> Column:
+        ends = running(F.transform(matches, lambda m: m["gap"] + m["n"]))
+        span = lambda m, end: F.struct(F.lit(kind).alias("kind"), (end - m["n"]).alias("start"), end.alias("end"), m["value"].alias("value"), m["before"].alias("before"))
+        return F.zip_with(matches, ends, span)
+
+    return let(lengths, placed)
+
+
+def _clear_of(base: Column, other: Column) -> Column:
+    """The spans of other that overlap none of base, in linear work but for the sort.
+
+    Base spans enter at their start and the others at their end; a span is clear if no base span that
+    entered before ends behind its start.
+    """
+    none = F.lit(None)
+    entry = lambda at, first, end, s: F.struct(at.alias("at"), F.lit(first).alias("other"), end.cast("long").alias("reach"), s.alias("span"))
+    enter = F.transform(base, lambda b: entry(b["start"], 1, b["end"], none.cast("struct<kind:string,start:long,end:long,value:string,before:string>")))
+    leave = F.transform(other, lambda s: entry(s["end"], 0, F.lit(-1), s))  # at equal places first: touching is no overlap
+
+    def judged(events: Column) -> Column:
+        reach = running(F.transform(events, lambda e: e["reach"]), F.greatest)
+        kept = F.filter(F.zip_with(events, reach, lambda e, r: F.struct(e["span"].alias("span"), r.alias("reach"))), lambda e: e["span"].isNotNull() & (e["reach"] <= e["span"]["start"]))
+        return F.transform(kept, lambda e: e["span"])
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    return F.when((F.size(base) == 0) | (F.size(other) == 0), other).otherwise(let(F.array_sort(F.concat(enter, leave)), judged))
 
 
 def _digits(value: Column) -> Column:
@@ -104,8 +154,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     number = text.rlike("[0-9]")
     hints = {"email": text.contains("@"), "ip": number & text.contains("."), "card": number, "phone": text.contains("+")}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array(*(_found(text, k, p, hints[k]) for k, p in BASE)).alias("base"), F.concat(_found(text, "number", NUMBER, number), _found(text, "spelled", SPELLED, F.lower(text).rlike(r"[\[(]at[\])]"))).alias("other"))
-    apart = lambda base: lambda s: ~F.exists(base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"]))
-    both = let(F.flatten("base"), lambda b: F.struct(b.alias("base"), F.filter("other", apart(b)).alias("other")))
+    both = let(F.flatten("base"), lambda b: F.struct(b.alias("base"), _clear_of(b, F.col("other")).alias("other")))
     rows = rows.select("doc_id", both.alias("b")).select("doc_id", "b.base", "b.other")
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "entities")
 
