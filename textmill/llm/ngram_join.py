@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import components, give_back, release, settings, stage, sweep, worker_model
+from textmill.llm.common import components, fresh, give_back, release, settings, stage, sweep, worker_model
 from textmill.llm.shingles import text_sets
 
 #: Entries of the table of frequent shingles and bits of the map of repeated ones, which are broadcast:
@@ -87,15 +87,16 @@ def _count_keys(ranges: int):
 
     def run(batches):
         worker_model(("shingles",), lambda: None)
-        parts, held, fresh, n = [], 0, [], 0
+        parts, held, new, n = [], 0, [], 0
 
         def fold():
-            nonlocal fresh, n, held
-            if fresh:
-                k, c = np.unique(np.concatenate(fresh), return_counts=True)
-                parts.append((k, c.astype(np.uint32)))
+            nonlocal new, n, held
+            if new:
+                k, c = np.unique(np.concatenate(new), return_counts=True)
+                if len(k):  # texts without words have no shingles
+                    parts.append((k, c.astype(np.uint32)))
                 held += len(k)
-                fresh, n = [], 0
+                new, n = [], 0
 
         def flush():
             if not parts:
@@ -107,8 +108,8 @@ def _count_keys(ranges: int):
 
         for batch in batches:
             for s in text_sets(batch.column(0)):
-                fresh.append((s >> np.uint64(32)).astype(np.uint32))
-                n += len(fresh[-1])
+                new.append((s >> np.uint64(32)).astype(np.uint32))
+                n += len(new[-1])
                 if n > 1_000_000:
                     fold()
             if held > 4_000_000:
@@ -117,7 +118,7 @@ def _count_keys(ranges: int):
         fold()
         if (out := flush()) is not None:
             yield out
-        del parts, fresh
+        del parts, new
         give_back()
 
     def most(pdf):
@@ -421,5 +422,6 @@ def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of every component: the smallest doc_id, and of several texts under that id the one with
     the least hash. Rows without doc_id or without words stay; equal rows stay or go together."""
     found = ngram_join(docs, percent)
-    lost = found.where("n_shingles > 0 AND (component_id <> doc_id OR keep_hash <> text_hash)").select(F.col("doc_id").alias("__lost"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(lost, (docs["doc_id"].cast("long") == F.col("__lost")) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col("__hash")), "left_anti")
+    row, digest = fresh(docs, "lost_id"), fresh(docs, "lost_hash")
+    lost = found.where("n_shingles > 0 AND (component_id <> doc_id OR keep_hash <> text_hash)").select(F.col("doc_id").alias(row), F.col("text_hash").alias(digest)).distinct()
+    return docs.join(lost, (docs["doc_id"].cast("long") == F.col(row)) & F.xxhash64(docs["text"].cast("string")).eqNullSafe(F.col(digest)), "left_anti")
