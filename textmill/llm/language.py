@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import let
-from textmill.llm.common import stage, worker_model
+from textmill.llm.common import fresh, stage, worker_model
 
 #: Labelled rows of each language that the text model is fitted on.
 PER_LANGUAGE = 2_000
@@ -225,18 +225,17 @@ def identify_documents(docs: DataFrame, least: float = 0.5) -> DataFrame:
     label is no evidence for it, as it would confirm itself. A row goes if its text has no letters or no
     language reaches a posterior of `least`. Null texts go; a null source only says nothing.
     """
-    names = docs.columns
+    row, digest = fresh(docs, "lost_id"), fresh(docs, "lost_hash")
     model = fit_text_model(docs)
     rows = docs.select(
-        F.col("doc_id").alias("__doc_id"),
-        F.xxhash64(F.col("text").cast("string")).alias("__hash_of"),
+        F.col("doc_id").alias(row),
+        F.xxhash64(F.col("text").cast("string")).alias(digest),
         F.col("source").cast("string").alias("host"),
         F.lit(None).cast("string").alias("domain"),
         F.col("text").cast("string").alias("text"),
     )
     evidence = text_evidence(rows, model)
     out = fuse(evidence, model[0])
-    lost = out.where((F.col("ev").isNull()) | (F.col("confidence") < least)).select("__doc_id", "__hash_of").distinct()
-    kept = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    on = kept["doc_id"].eqNullSafe(lost["__doc_id"]) & (kept["__hash"] == lost["__hash_of"])
-    return kept.join(lost, on, "left_anti").select(*names)
+    lost = out.where((F.col("ev").isNull()) | (F.col("confidence") < least)).select(row, digest).distinct()
+    on = docs["doc_id"].eqNullSafe(lost[row]) & (F.xxhash64(docs["text"].cast("string")) == lost[digest])
+    return docs.join(lost, on, "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textmill.llm.common import stage
+from textmill.llm.common import fresh, stage
 from textmill.llm.stream_dedup import placed
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -86,9 +86,10 @@ def mixed_documents(docs: DataFrame, epochs: float = 3.0, seed: int = 17) -> Dat
     Documents without words carry no weight, so they are taken once. Each row is mixed for itself, rows
     with equal doc_id or none included; a frame that is no plain file scan is written to the shared folder first.
     """
-    rows = placed(docs, "__file", "__row")
-    taken = mix_sources(rows, epochs, seed, ("__file", "__row"))
-    times = F.when(F.col("size") > 0, F.col("repeats")).otherwise(1)
-    times = taken.select(F.col("__file").alias("__f"), F.col("__row").alias("__r"), times.alias("__times")).where("__times > 0")
-    repeated = rows.join(times, (F.col("__file") == F.col("__f")) & (F.col("__row") == F.col("__r")))
-    return repeated.withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*(rows[c] for c in docs.columns))
+    file, row, times, copy = (fresh(docs, c) for c in ("own_file", "own_row", "times", "copy"))
+    rows = placed(docs, file, row)
+    taken = mix_sources(rows.select("doc_id", "source", "text", file, row), epochs, seed, (file, row))
+    often = F.when(F.col("size") > 0, F.col("repeats")).otherwise(1)
+    often = taken.select(F.struct(file, row).alias(copy), often.alias(times)).where(F.col(times) > 0)
+    repeated = rows.join(often, (F.col(file) == F.col(copy)[file]) & (F.col(row) == F.col(copy)[row]))
+    return repeated.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long")))).select(*(rows[c] for c in docs.columns))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textmill.llm.common import release, remove, settings, stage, sweep, work_dir
+from textmill.llm.common import fresh, release, remove, settings, stage, sweep, work_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,10 +32,10 @@ def placed(docs: DataFrame, file: str, row: str) -> DataFrame:
         return place(stage(docs, "content"))
 
 
-def located(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def located(rows: DataFrame, id_col: str, text_col: str, file: str, row: str) -> DataFrame:
     """(doc_id, text, file, row) of placed rows; a null text is empty."""
     cols = [F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
-    return rows.select(*cols, F.col("__file").alias("file"), F.col("__row").alias("row"))
+    return rows.select(*cols, F.col(file).alias("file"), F.col(row).alias("row"))
 
 
 def keyed_state(spark: SparkSession, path: str, schema, batches: int) -> DataFrame:
@@ -83,7 +83,8 @@ def stream_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other. digest maps the text column to the state's key (default: SHA-256); texts that share a
     key but not all bytes are grouped by the full text instead, so a weak key is right too.
     """
-    return _dedup(located(placed(docs, "__file", "__row"), id_col, text_col), batches, digest)
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return _dedup(located(placed(own, "file", "row"), "doc_id", "text", "file", "row"), batches, digest)
 
 
 def _dedup(base: DataFrame, batches: int = 3, digest=None) -> DataFrame:
@@ -127,7 +128,8 @@ def _dedup(base: DataFrame, batches: int = 3, digest=None) -> DataFrame:
 
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) without the rows that stream_dedup drops; all columns stay."""
-    rows = placed(docs, "__file", "__row")
-    lost = _dedup(located(rows, "doc_id", "text")).where("NOT kept").select(F.col("file").alias("__lost"), F.col("row").alias("__at"))
-    left = rows.join(lost, (F.col("__file") == F.col("__lost")) & (F.col("__row") == F.col("__at")), "left_anti")
-    return left.drop("__file", "__row")
+    file, row, lost_file, lost_row = (fresh(docs, c) for c in ("file", "row", "lost_file", "lost_row"))
+    rows = placed(docs, file, row)
+    lost = _dedup(located(rows, "doc_id", "text", file, row)).where("NOT kept").select(F.col("file").alias(lost_file), F.col("row").alias(lost_row))
+    left = rows.join(lost, (F.col(file) == F.col(lost_file)) & (F.col(row) == F.col(lost_row)), "left_anti")
+    return left.drop(file, row)

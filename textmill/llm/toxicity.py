@@ -135,8 +135,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = known.where(F.crc32(F.col("__id").cast("string")) % 5 != 0)
     pick = lambda k: known.where(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(SAMPLE)
     sample = F.broadcast(pick(0).union(pick(1)))  # at most 2 * SAMPLE rows of two numbers
-    rows = docs.join(sample, docs["doc_id"].cast("long") == sample["__id"])
-    rows = rows.select(F.xxhash64("__id").alias("h"), "__id", F.col("__toxic").alias("toxic"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(sample, "__id").select(F.xxhash64("__id").alias("h"), "__id", F.col("__toxic").alias("toxic"), "text").distinct()
     rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "labelled")
     light = rows.select("h", "__id", "toxic", "rid", F.octet_length("text").alias("n"))
     # a doc_id may come with any number of texts
