@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textmill.functions.text import col, last_wins, slug, strip
+from textmill.operators.markup import area_of, without_tags
 from textmill.operators.order import numbered
 from textmill.sources.tables import scratch_dir
 
@@ -37,11 +38,8 @@ def any_of(words: tuple[str, ...]) -> str:
 
 
 def strip_boilerplate(html: str | Column, tags: tuple[str, ...] = BOILERPLATE) -> Column:
-    """The page without the subtrees of these tags. One pattern for each tag: no back-references."""
-    out = col(html)
-    for t in tags:
-        out = F.regexp_replace(out, rf"(?is)<{t}\b[^>]*>.*?</{t}\s*>", "")
-    return out
+    """The page without the subtrees of these tags, nested ones whole."""
+    return without_tags(col(html), tags)
 
 
 def unescape(text: str | Column) -> Column:
@@ -65,15 +63,10 @@ def page_meta(html: str | Column) -> Column:
 
 
 def main_content(html: str | Column, url: str | Column) -> Column:
-    """Gazette pages: the body. Others: first main, article or content div; else the body; else the page."""
-    page = col(html)
-
-    def first(tag: str, attrs: str = "") -> Column:
-        return F.nullif(F.regexp_extract(page, rf"(?is)<{tag}\b{attrs}[^>]*>(.*?)</{tag}\s*>", 1), F.lit(""))
-
-    body = F.coalesce(F.nullif(F.regexp_extract(page, r"(?is)<body\b[^>]*>(.*)</body\s*>", 1), F.lit("")), page)
-    area = F.coalesce(first("main"), first("article"), first("div", r"[^>]*\bclass\s*=\s*[\"'][^\"']*(?:content|main|texto)"), body)
-    return F.when(F.lower(col(url)).rlike("boja|boe[.]es"), body).otherwise(area)
+    """Gazette pages: the body. Others: the first main, else article, else content div, else the body, each with all
+    that nests in it; an empty text where there is none."""
+    gazette = F.coalesce(F.lower(col(url)).rlike("boja|boe[.]es"), F.lit(False))
+    return area_of(col(html), gazette, "content|main|texto")
 
 
 class _Blocks(HTMLParser):

@@ -15,6 +15,59 @@ QUERIES, ORACLE_SQL, query = registry()
 EXTRA_WORDS = ("th", "aux")
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{t.BLANK}+|{t.BLANK}+$', '', 'g')"
+
+
+def _unescape(x: str) -> str:
+    for a, b in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#39;", "chr(39)"), ("&nbsp;", "' '"), ("&amp;", "'&'")):
+        x = f"replace({x}, '{a}', {b})"
+    return x
+
+
+_TITLE = _strip(_unescape(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1)"))
+#: Pages as they come, and with nested elements put around and into their article: the same change in SQL.
+_NESTED = (
+    (1, (("<article>", "<article><div class='ad'>x</div><article class=a>first <div>in</div></article>"),)),
+    (2, (("<article>", "<div class='page main'><div>a</div><div id=\"t>\"><div>b</div></div>"), ("</article>", "</div>"))),
+    (3, (("<article>", "<main id=m><nav><div><nav>x</nav></div>y</nav><header><header></header>z</header><article>"), ("</article>", "</article><div>end</div></main>"))),
+)
+
+
+def _nested_sql() -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    out = "CASE page_id % 4"
+    for n, changes in _NESTED:
+        x = "html"
+        for a, b in changes:
+            x = f"replace({x}, {quote(a)}, {quote(b)})"
+        out += f" WHEN {n} THEN {x}"
+    return out + " ELSE html END"
+
+
+def nested_pages(pages):
+    """(page_id, url, html) with one of the nestings on three pages of four."""
+    out = None
+    for n, changes in _NESTED:
+        x = F.col("html")
+        for a, b in changes:
+            x = F.replace(x, F.lit(a), F.lit(b))
+        out = F.when(F.col("page_id") % 4 == n, x) if out is None else out.when(F.col("page_id") % 4 == n, x)
+    return pages.select("page_id", "url", out.otherwise(F.col("html")).alias("html"))
+
+
+#: SQL counts depth by a running sum over the tags, piece by piece.
+_SCRIPTS = r"<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
+_DROPPED = rf"(?is){_SCRIPTS}|</?(?:nav|footer|header)\b[^>]*>"
+_STRIPPED = rf"""
+    nested AS (SELECT page_id, url, {_nested_sql()} AS html FROM pages),
+    cut AS (SELECT page_id, url, string_split_regex(html, '{_DROPPED}') AS pieces, list_prepend('', regexp_extract_all(html, '{_DROPPED}')) AS tags FROM nested),
+    parts AS (SELECT page_id, url, i, pieces[i] AS piece, sum(CASE WHEN regexp_matches(tags[i], '(?i)^</(nav|footer|header)') THEN -1 WHEN regexp_matches(tags[i], '(?i)^<(nav|footer|header)') THEN 1 ELSE 0 END)
+        OVER (PARTITION BY page_id ORDER BY i) AS depth FROM cut, unnest(range(1, len(pieces) + 1)) u(i)),
+    bare AS (SELECT page_id, url, coalesce(string_agg(piece, '' ORDER BY i) FILTER (WHERE depth = 0), '') AS html FROM parts GROUP BY ALL)"""
+_WORDS = ("th", "aux")
+
+
 def _strip(x: str) -> str:
     return f"regexp_replace({x}, '^{t.BLANK}+|{t.BLANK}+$', '', 'g')"
 
@@ -85,9 +138,11 @@ def page_titles(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", h.page_title("html").alias("title"))
 
 
-@query(rf"SELECT page_id, regexp_replace({_BARE}, '<[^>]*>', ' ', 'g') AS text FROM pages")
+@query(f"WITH {_STRIPPED} SELECT page_id, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text FROM bare")
 def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(h.strip_boilerplate("html"), "<[^>]*>", " ").alias("text"))
+    """Most pages get nested elements first."""
+    pages = nested_pages(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", F.regexp_replace(h.strip_boilerplate("html"), "<[^>]*>", " ").alias("text"))
 
 
 @query(f"WITH {_LINKS} SELECT * FROM links")
@@ -178,12 +233,22 @@ def extraction_errors(spark, sf_dir):
     return h.extraction_errors(table(spark, sf_dir, "pages").select(F.when(i % 7 == 0, F.col("html")).otherwise(failed).alias("text")))
 
 
-@query(r"""WITH parts AS (SELECT page_id, html, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS art, regexp_extract(html, '(?is)<div\b[^>]*\bclass\s*=\s*["''][^"'']*(?:content|main|texto)[^>]*>(.*?)</div\s*>', 1) AS div,
-        regexp_extract(html, '(?is)<body\b[^>]*>(.*)</body\s*>', 1) AS body FROM pages)
-    SELECT page_id, length(coalesce(nullif(art, ''), nullif(div, ''), nullif(body, ''), html)) AS n, md5(coalesce(nullif(art, ''), nullif(div, ''), nullif(body, ''), html)) AS digest FROM parts""")
+@query(rf"""WITH {_STRIPPED},
+    named AS (SELECT page_id, html, CASE WHEN regexp_matches(html, '(?i)<main\b') THEN 'main' WHEN regexp_matches(html, '(?i)<article\b') THEN 'article' ELSE 'div' END AS tag FROM bare),
+    split AS (SELECT page_id, tag, CASE tag WHEN 'main' THEN string_split_regex(html, '(?i)</?main\b[^>]*>') WHEN 'article' THEN string_split_regex(html, '(?i)</?article\b[^>]*>') ELSE string_split_regex(html, '(?i)</?div\b(?:[^>"]|"[^"]*")*>') END AS pieces,
+        CASE tag WHEN 'main' THEN regexp_extract_all(html, '(?i)</?main\b[^>]*>') WHEN 'article' THEN regexp_extract_all(html, '(?i)</?article\b[^>]*>') ELSE regexp_extract_all(html, '(?i)</?div\b(?:[^>"]|"[^"]*")*>') END AS tags FROM named),
+    each AS (SELECT page_id, tag, i, tags[i] AS t, pieces[i + 1] AS piece FROM split, unnest(range(1, len(tags) + 1)) u(i)),
+    first AS (SELECT page_id, min(i) AS k FROM each WHERE t NOT LIKE '</%' AND (tag <> 'div' OR regexp_matches(t, 'class=.[^"'']*(content|main|texto)')) GROUP BY 1),
+    deep AS (SELECT e.*, k, sum(CASE WHEN t LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS depth FROM each e JOIN first USING (page_id) WHERE i >= k),
+    ends AS (SELECT page_id, min(i) AS e FROM deep WHERE depth = 0 GROUP BY 1),
+    content AS (SELECT page_id, string_agg(CASE WHEN i = k THEN piece ELSE t || piece END, '' ORDER BY i) AS html FROM deep JOIN ends USING (page_id) WHERE i < e GROUP BY 1)
+    SELECT page_id, length(html) AS n, md5(html) AS digest FROM content""")
 def content_length(spark, sf_dir):
-    content = h.main_content("html", "url")
-    return table(spark, sf_dir, "pages").select("page_id", F.length(content).alias("n"), F.md5(content).alias("digest"))
+    """The main content of pages with nested elements, boilerplate taken out before."""
+    pages = nested_pages(table(spark, sf_dir, "pages"))
+    bare = pages.select("page_id", "url", h.strip_boilerplate("html").alias("html"))
+    content = bare.select("page_id", h.main_content("html", "url").alias("content"))
+    return content.select("page_id", F.length("content").alias("n"), F.md5("content").alias("digest"))
 
 
 def _canonical(x: str) -> str:
