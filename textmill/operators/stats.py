@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.operators.ledger import ledger_guarded as ledger_guarded
+from textmill.operators.order import in_ranges, running_sum
+
 
 def column_profile(table: DataFrame, value: str, threshold, group: list[str] | None = None) -> DataFrame:
     v = F.col(value)
@@ -75,9 +77,19 @@ def extremes(table: DataFrame, value: str, group: list[str] | None = None, large
 
 
 def closest_pair(table: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, low, high, gap): neighbours in sorted order with the least gap, the lowest on ties."""
-    w = Window.partitionBy(group).orderBy(value)
-    pairs = table.select(group, F.lag(value).over(w).alias("low"), F.col(value).alias("high")).where("low IS NOT NULL")
+    """(group, low, high, gap): neighbours in sorted order with the least gap, the lowest on ties. Null values
+    are no neighbours; a group with fewer than two values has no row.
+
+    A group is dealt in ranges of its values. Neighbours meet within a range; where a group goes on in another
+    range, the largest value of the one meets the smallest of the next.
+    """
+    placed = in_ranges(table.where(F.col(value).isNotNull()).select(group, value), [value], (group,))
+    inside = Window.partitionBy("__part", group).orderBy("__id")
+    within = placed.select(group, F.lag(value).over(inside).alias("low"), F.col(value).alias("high"))
+    edges = placed.groupBy("__part", group).agg(F.min(value).alias("first"), F.max(value).alias("last"))
+    across = Window.partitionBy(group).orderBy("__part")  # a row for each range of the group
+    between = edges.select(group, F.lag("last").over(across).alias("low"), F.col("first").alias("high"))
+    pairs = within.union(between).where("low IS NOT NULL")
     best = F.min(F.struct((F.col("high") - F.col("low")).alias("gap"), "low", "high")).alias("b")
     return pairs.groupBy(group).agg(best).select(group, "b.low", "b.high", "b.gap")
 
@@ -105,36 +117,10 @@ def price_lookup(rows: DataFrame, prices: DataFrame, key: str, price: str, defau
 
 
 def ledger_balance(moves: DataFrame, account: str, order: list[str], amount: str, opening: float = 0.0) -> DataFrame:
-    """Adds balance: the running sum of valid moves; moves whose size isn't positive are left out (sign is the kind's)."""
-    w = Window.partitionBy(account).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return moves.where(F.col(amount) != 0).withColumn("balance", F.lit(opening) + F.sum(amount).over(w))
-
-
-def ledger_guarded(moves: DataFrame, account: str, order: list[str], amount: str, opening: float = 0.0) -> DataFrame:
-    """(account, order..., amount, accepted, balance): a withdrawal above the balance is rejected.
-
-    Each step depends on all decisions before, which no window can express. Accounts are dealt over tasks
-    and sorted there (with spill); Arrow batches pass through with one balance carried along, so an
-    account of any length takes the memory of a batch.
-    """
-    cols = [account, *order, amount]
-
-    def run(batches):
-        now, balance = None, opening
-        for batch in batches:
-            accepted, after = [], []
-            for who, x in zip(batch.column(0).to_pylist(), batch.column(len(cols) - 1).to_pylist()):
-                if who != now:
-                    now, balance = who, opening
-                ok = x is not None and (x > 0 or (x < 0 and -x <= balance))
-                balance += x if ok else 0.0
-                accepted.append(ok)
-                after.append(float(balance))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.float64())], names=[*cols, "accepted", "balance"])
-
-    schema = ", ".join(f"{c} {moves.schema[c].dataType.simpleString()}" for c in cols)
-    rows = moves.select(*cols).where(F.col(account).isNotNull())
-    return rows.repartition(account).sortWithinPartitions(account, *order).mapInArrow(run, f"{schema}, accepted boolean, balance double")
+    """Adds balance: the running sum of valid moves; moves whose size isn't positive are left out (sign is the kind's).
+    An account's moves are dealt in ranges, however many there are."""
+    moved = running_sum(moves.where(F.col(amount) != 0), order, F.col(amount), "balance", (account,))
+    return moved.withColumn("balance", F.lit(opening) + F.col("balance"))
 
 
 def eligible_withdrawal(moves: DataFrame, holders: DataFrame, account: str, amount: str, age: str, least: int = 18, below: int = 25) -> DataFrame:
@@ -152,12 +138,12 @@ def pairwise_mean(low: str | Column, high: str | Column) -> Column:
 
 def floored_total(moves: DataFrame, key: str, order: list[str], step: str, most: float | None = None) -> DataFrame:
     """Adds total: a running sum that never falls below 0, by the closed form S - min(0, least S so far).
-    With `most`, moves whose size is above it are rejected before (0 to 200 for the usual card)."""
+    With `most`, moves whose size is above it are rejected before (0 to 200 for the usual card). A null step
+    counts 0. A key's moves are dealt in ranges, however many there are."""
     if most is not None:
         moves = moves.where(F.abs(F.col(step)) <= most)
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = moves.withColumn("__s", F.sum(step).over(w))
-    return run.withColumn("total", F.col("__s") - F.least(F.lit(0), F.min("__s").over(w))).drop("__s")
+    run = running_sum(moves, order, F.col(step), "__s", (key,), least="__least")
+    return run.withColumn("total", F.col("__s") - F.least(F.lit(0), F.col("__least"))).drop("__s", "__least")
 
 
 def role_uplift(staff: DataFrame, rates: DataFrame, role: str, pay: str) -> DataFrame:
