@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textmill.functions.text import col
+from textmill.operators.nearest import BlockedIndex, nearest_pairs
+from textmill.operators.nearest import top_k as top_k
 
 #: Texts of more bytes get no vector.
 LONGEST = 35_000
@@ -66,79 +68,32 @@ def squared_l2(a: str | Column, b: str | Column) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Vectors of the index and questions in one block product.
-INDEX_BLOCK, QUERY_BLOCK = 32_768, 2_048
-
-
-def _nearest(index: DataFrame, queries: DataFrame, k: int, score, exclude_self: bool) -> DataFrame:
-    """(query_id, chunk_id, score) of the k best of each query in each block of the index, ties included.
-
-    score maps two matrices to the scores of all their pairs, less is better. Index and questions are dealt
-    in blocks of bounded size by their ids, and each pair of blocks is one group: neither side is
-    broadcast or held whole, and a group gives back about k rows for each question. Every question meets every
-    vector, so the work is their product; a block of the index is sent once for each block of questions.
-    """
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    n_index, n_query = blocks(index, INDEX_BLOCK), blocks(queries, QUERY_BLOCK)
-    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.select(own("chunk_id", n_index).alias("i"), every(n_query).alias("q"), F.col("chunk_id").alias("id"), F.col("embedding").alias("v"), F.lit(True).alias("is_chunk")).where("size(v) > 0")
-    right = queries.select(every(n_index).alias("i"), own("query_id", n_query).alias("q"), F.col("query_id").alias("id"), F.col("query").alias("v"), F.lit(False).alias("is_chunk")).where("size(v) > 0")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["is_chunk"].to_numpy()
-        chunks, asked = pdf[side], pdf[~side]
-        ids, chunk_ids, found = asked["id"].to_numpy(), chunks["id"].to_numpy(), []
-        if len(ids) and len(chunk_ids):
-            x = np.stack(chunks["v"].to_numpy()).astype(float)
-            for at in range(0, len(ids), 256):
-                rows = score(np.stack(asked["v"].iloc[at : at + 256].to_numpy()).astype(float), x)
-                if exclude_self:
-                    rows[ids[at : at + 256, None] == chunk_ids[None, :]] = np.inf
-                last = np.partition(rows, min(k, rows.shape[1]) - 1, axis=1)[:, min(k, rows.shape[1]) - 1]
-                r, c = np.nonzero((rows <= last[:, None] + 1e-5) & np.isfinite(rows))  # rounding may make ties
-                found.append(pd.DataFrame({"query_id": ids[at + r], "chunk_id": chunk_ids[c], "score": rows[r, c]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": ids[:0], "chunk_id": chunk_ids[:0], "score": np.empty(0)})
-
-    types = index.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    if types[0] != types[1]:  # ids of one type in a block
-        left = left.withColumn("id", F.col("id").cast("string"))
-        right = right.withColumn("id", F.col("id").cast("string"))
-        return left.union(right).groupBy("i", "q").applyInPandas(run, "query_id string, chunk_id string, score double").select(F.col("query_id").cast(types[1]).alias("query_id"), F.col("chunk_id").cast(types[0]).alias("chunk_id"), "score")
-    return left.union(right).groupBy("i", "q").applyInPandas(run, f"query_id {types[1]}, chunk_id {types[0]}, score double")
-
-
-def _minus_cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    nq, nx = np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        out = (q @ x.T) / np.outer(nq, nx)
-    out[(nq == 0)[:, None] | (nx == 0)[None, :]] = 0.0
-    return -out
-
-
-def _squared_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.maximum(0.0, (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T))
-
-
 def best_match(index: DataFrame, queries: DataFrame, digits: int = 6, exclude_self: bool = False, above: float = -1.0, default: str = DEFAULT_ANSWER) -> DataFrame:
     """(query_id, chunk_id, score, answer): the largest cosine of each query, smallest chunk_id on ties.
 
-    A query without a chunk above `above` (any cosine by default) has no chunk and the default answer.
+    A query without a chunk above `above` (any cosine by default) has no chunk and the default answer. The
+    largest cosine is the least distance of the vectors at length 1, so blocks are left out as in top_k. A vector
+    of length 0 has cosine 0 with every other: of these only the two smallest ids can win.
     """
-    near = _nearest(index, queries, 1, _minus_cosine, exclude_self)
-    near = near.withColumn("score", F.round(-F.col("score"), digits)).where(F.col("score") > above)
-    best = near.groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b"))
+    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.col("__n"))
+    sized = lambda df, v: df.where(F.size(v) > 0).withColumn("__n", norm(v))
+    chunks, asked = sized(index.select("chunk_id", "embedding"), "embedding"), sized(queries.select("query_id", "query"), "query")
+    usual = asked.where("__n > 0").withColumn("query", unit("query"))
+    blocked = BlockedIndex(chunks.where("__n > 0").withColumn("embedding", unit("embedding")))
+    kind = index.schema["chunk_id"].dataType.simpleString()
+    first = lambda df: F.array(*(F.lit(r["chunk_id"]) for r in df.select("chunk_id").orderBy("chunk_id").limit(2).collect())).cast(f"array<{kind}>")
+    found = asked.where("__n > 0").select("query_id", F.explode(first(chunks.where("__n = 0"))).alias("chunk_id"), F.lit(0.0).alias("score"))
+    found = found.union(asked.where("__n = 0").select("query_id", F.explode(first(chunks)).alias("chunk_id"), F.lit(0.0).alias("score")))
+    if len(blocked.pivots):
+        near, _ = nearest_pairs(blocked, usual, 2 if exclude_self else 1)
+        found = found.union(near.select("query_id", "chunk_id", F.round(1 - F.col("score") / 2, digits).alias("score")))
+    if exclude_self:
+        found = found.where(F.col("query_id").cast("string") != F.col("chunk_id").cast("string"))
+    best = found.where(F.col("score") > above).groupBy("query_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b"))
     best = best.select("query_id", F.col("b.chunk_id").alias("chunk_id"), (-F.col("b.s")).alias("score"))
     return queries.select("query_id").join(best, "query_id", "left").withColumn("answer", F.when(F.col("chunk_id").isNull(), default))
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
-    """(query_id, chunk_id, distance, rank): the k nearest by squared L2, ties by chunk_id."""
-    near = _nearest(index, queries, k, _squared_distance, False)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return near.select("query_id", "chunk_id", F.round("score", digits).alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def dimensions(index: DataFrame) -> DataFrame:
     """One row: number of vectors, of different lengths, and the length."""
     size = F.size("embedding")
