@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 from textmill.functions.text import col, last_wins, slug, strip
 from textmill.operators.markup import area_of, without_tags
 from textmill.operators.order import numbered
-from textmill.sources.tables import scratch_dir
+from textmill.sources.deltas import read_deltas, touched, write_delta
+from textmill.sources.tables import remove, scratch_dir
 
 #: Keywords that make a link relevant, and those of the document classes.
 PRIORITY_WORDS = ("boja", "boe", "ley", "decreto", "orden", "resolucion", "normativa", "legislacion", "real decreto", "instruccion", "convenio", "disposicion")
@@ -208,25 +209,31 @@ def start_depth(url: str | Column) -> Column:
 def crawl_frontier(seeds: DataFrame, links: DataFrame, max_depth: int = 2) -> DataFrame:
     """(url, depth) reached from seeds(url, depth) over links(url, target, kind): least depth wins; PDF
     targets keep the depth of their page, others are one deeper; pages at max_depth aren't expanded.
-    Each round follows the pages that are new or were reached at less depth, until there are none."""
 
-    def staged(df: DataFrame) -> DataFrame:
-        path = scratch_dir(df.sparkSession, "frontier")
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    visited = staged(seeds.groupBy("url").agg(F.min("depth").alias("depth")))
-    frontier = visited
-    hops = staged(links.select("url", "target", "kind").distinct())
+    Each round follows the pages that are new or were reached at less depth, until there are none. A round adds
+    these as a delta in hash buckets; of what was visited before it reads the buckets of its targets only."""
+    spark = seeds.sparkSession
+    visited, hops_at = scratch_dir(spark, "visited"), scratch_dir(spark, "hops")
+    links.select("url", "target", "kind").distinct().write.parquet(hops_at)
+    hops = spark.read.parquet(hops_at)
+    first = seeds.groupBy("url").agg(F.min("depth").alias("depth"))
+    schema, batch = first.schema, 0
+    write_delta(first, visited, ["url"], batch)
     while True:
+        frontier = read_deltas(spark, visited, schema).where(F.col("d_batch") == batch)
         step = frontier.where(F.col("depth") < max_depth).join(hops, "url")
-        reached = step.select(F.col("target").alias("url"), (F.col("depth") + F.when(F.col("kind") == "PDF", 0).otherwise(1)).alias("depth"))
-        reached = reached.groupBy("url").agg(F.min("depth").alias("depth"))
-        had = visited.withColumnRenamed("depth", "had")
-        frontier = staged(reached.join(had, "url", "left").where("had IS NULL OR depth < had").select("url", "depth"))
-        if frontier.isEmpty():
-            return visited
-        visited = staged(visited.unionByName(frontier).groupBy("url").agg(F.min("depth").alias("depth")))
+        reached = step.select(F.col("target").alias("url"), (F.col("depth") + F.when(F.col("kind") == "PDF", 0).otherwise(1)).cast(schema["depth"].dataType).alias("depth"))
+        path = scratch_dir(spark, "reached")
+        reached.groupBy("url").agg(F.min("depth").alias("depth")).write.parquet(path)
+        reached = spark.read.schema(schema).parquet(path)
+        had = read_deltas(spark, visited, schema, touched(reached, ["url"])).groupBy("url").agg(F.min("depth").alias("had"))
+        new = reached.join(had, "url", "left").where("had IS NULL OR depth < had").select("url", "depth")
+        write_delta(new, visited, ["url"], batch + 1)
+        remove(spark, path)
+        if read_deltas(spark, visited, schema).where(F.col("d_batch") == batch + 1).isEmpty():
+            remove(spark, hops_at)
+            return read_deltas(spark, visited, schema).groupBy("url").agg(F.min("depth").alias("depth"))
+        batch += 1
 
 
 def classify(url: str | Column, title: str | Column) -> Column:

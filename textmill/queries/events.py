@@ -133,16 +133,16 @@ def quiet_intervals(spark, sf_dir):
 
 @query("SELECT event_type, user_id % 3 AS rivals, count(*) AS n FROM events GROUP BY 1, 2")
 def log_tail(spark, sf_dir):
-    """The running count over CSV logs as they come, read to their end. Each micro-batch replaces the table of counts."""
-    ev = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 3).alias("rivals"))
+    """The running count over CSV logs as they come, read to their end. Each micro-batch writes the counts that it
+    changed; half of the events come again in the second file's batch, so counts are updated."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("rivals"))
     path, out = scratch_dir(spark, "logs"), scratch_dir(spark, "counts")
     for k in (0, 1):  # two files arrive
-        ev.where(F.coalesce(F.pmod(F.xxhash64("event_type", "rivals"), F.lit(2)), F.lit(0)) == k).write.mode("append").option("header", True).csv(path)
+        ev.where(F.coalesce(F.pmod("event_id", F.lit(2)), F.lit(0)) == k).drop("event_id").coalesce(1).write.mode("append").option("header", True).csv(path)
     counts = m.log_tail(spark, path, "event_type string, rivals long", ["event_type", "rivals"])
-    write = lambda batch, number: batch.write.mode("overwrite").parquet(out)
-    stream = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch_dir(spark, "tail"))
-    stream.trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counts.schema).parquet(out)
+    keys = ["event_type", "rivals"]
+    m.tail_counts(counts, keys, out, scratch_dir(spark, "tail"), {"availableNow": True}).awaitTermination()
+    return m.read_counts(spark, out, counts.schema, keys)
 
 
 @query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'Agua' WHEN value >= 50 THEN 'Hundido' ELSE 'Tocado' END AS result FROM events""")

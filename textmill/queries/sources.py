@@ -54,6 +54,18 @@ def index_increment(spark, sf_dir):
     return io.missing_from_index(chunks, io.load_index(spark, path)).select(F.col("chunk_id").cast("long").alias("chunk_id"))
 
 
+@query("SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 't' || CASE WHEN vec_id % 3 <> 0 THEN 0 WHEN vec_id % 2 = 0 THEN 1 ELSE 2 END AS text FROM embeddings")
+def index_builds(spark, sf_dir):
+    """Three builds of one index: two thirds of the chunks, then the even ones, then all; each makes vectors for what
+    is new only, and the text tells the build that made it."""
+    e = table(spark, sf_dir, "embeddings").withColumn("chunk_id", F.col("vec_id").cast("string"))
+    path, out = io.scratch_dir(spark, "index"), None
+    for n, which in enumerate(("vec_id % 3 <> 0", "vec_id % 2 = 0", "true")):
+        vectors = e.select("chunk_id", "embedding")
+        out = io.cached_index(e.where(which).select("chunk_id", F.lit(f"t{n}").alias("text")), path, lambda new, v=vectors: new.join(v, "chunk_id"), n)
+    return out.select("chunk_id", "text")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE 'café ' || doc_id END AS text FROM documents")
 def decode_fallback(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.sources.deltas import add_rows, missing_keys, read_deltas
+
 STUDENT = "id_alumno string, nombre string, apellido string, email string"
 COURSE = "id_curso string, nombre_curso string, creditos int"
 ENROLMENT = "id_inscripcion int, id_alumno string, id_curso string, fecha_inscripcion date"
@@ -116,10 +118,24 @@ def load_index(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def missing_from_index(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Chunks that the index lacks: only these need vectors before an append."""
+    """Chunks that an index read whole lacks: only these need vectors before an append."""
     return chunks.join(index.select("chunk_id"), "chunk_id", "left_anti")
 
 
+def cached_index(chunks: DataFrame, path: str, make, batch: int) -> DataFrame:
+    """The index at path after the chunks(chunk_id, text) that it lacked got vectors; make(chunks) adds embedding.
+
+    The index lies in hash buckets with Bloom filters, so a build reads of it only the keys that may be known, writes
+    the new rows only, and may run again under its batch number."""
+    new = make(missing_keys(chunks.dropDuplicates(["chunk_id"]), path, INDEX, "chunk_id"))
+    new = new.select("chunk_id", "text", F.col("embedding").cast("array<float>").alias("embedding"))
+    held = scratch_dir(chunks.sparkSession, "vectors")  # the model runs once for filters and rows
+    new.write.parquet(held)
+    add_rows(chunks.sparkSession.read.schema(new.schema).parquet(held), path, "chunk_id", batch)
+    remove(chunks.sparkSession, held)
+    return read_deltas(chunks.sparkSession, f"{path}/rows", INDEX).select("chunk_id", "text", "embedding")
+
+
 def append_results(results: DataFrame, path: str) -> None:
     results.write.mode("append").json(path)
 
@@ -131,8 +147,20 @@ def framed_pages(exported: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or the warehouse where that is unset."""
+    """A new folder that driver and executors share, below spark.checkpoint.dir; in local mode without one, below the
+    warehouse."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/textmill/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch_dir that nothing reads any more."""
+    if "/textmill/" in folder:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

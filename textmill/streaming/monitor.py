@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textmill.sources.deltas import latest, read_deltas, write_delta
+
 NO_NEWS = "SIN_NOVEDADES"
 
 
@@ -53,3 +55,15 @@ def log_tail(spark: SparkSession, path: str, schema: str, keys: list[str], files
     """A streaming count and sum by key over files that are appended to a folder of CSV logs."""
     log = spark.readStream.schema(schema).option("header", True).option("maxFilesPerTrigger", files_per_batch).csv(path)
     return log.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def tail_counts(counts: DataFrame, keys: list[str], folder: str, checkpoint: str, trigger: dict | None = None):
+    """Starts a query that keeps a streaming count (log_tail) as a table below folder: each micro-batch adds the
+    counts that it changed, in the hash buckets of their keys. A batch that runs again replaces itself."""
+    writer = counts.writeStream.outputMode("update").foreachBatch(lambda batch, number: write_delta(batch, folder, keys, number))
+    return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+
+
+def read_counts(spark: SparkSession, folder: str, schema, keys: list[str]) -> DataFrame:
+    """The table of tail_counts: the newest count of each key."""
+    return latest(read_deltas(spark, folder, schema), keys)
