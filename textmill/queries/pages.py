@@ -224,6 +224,14 @@ def absolute_links(spark, sf_dir):
     return h.absolute_links(table(spark, sf_dir, "pages")).select("page_id", "pos", "target")
 
 
+@query(f"""WITH {_LINKS}, parts AS (SELECT page_id, pos, href, regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1) AS site, regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*/)', 1) AS folder FROM links)
+    SELECT page_id, pos, CASE WHEN href NOT LIKE '/%' THEN href ELSE site || CASE WHEN folder = '' THEN '/' ELSE folder END || substr(href, 2) END AS target FROM parts""")
+def relative_links(spark, sf_dir):
+    """The given links without their first slash: they mean an address beside their page's."""
+    links = h.page_links(table(spark, sf_dir, "pages")).withColumn("href", F.regexp_replace("href", "^/", ""))
+    return links.select("page_id", "pos", h.absolute_url("url", "href").alias("target"))
+
+
 @query("""SELECT CASE WHEN page_id % 5 = 0 THEN '' ELSE CAST(400 + page_id % 5 AS VARCHAR) END AS cause, count(*) AS n FROM pages WHERE page_id % 7 <> 0 GROUP BY 1""")
 def extraction_errors(spark, sf_dir):
     """What the extractor would have stored had most pages failed."""
