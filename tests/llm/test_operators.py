@@ -324,11 +324,14 @@ PII = {
 }
 
 
-def planted(n, pairs, low, high, seed):
-    """n random unit vectors and a partner for the first `pairs` of them, at cosines from low to high."""
+def planted(n, pairs, low, high, seed, common=0.0):
+    """n random unit vectors and a partner for the first `pairs` of them, at cosines from low to high; `common` is
+    the mean cosine of two vectors."""
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((n, 64))
     base /= np.linalg.norm(base, axis=1, keepdims=True)
+    base[:, 0] += np.sqrt(common / (1 - common))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
     w = rng.standard_normal((pairs, 64))
     w -= (w * base[:pairs]).sum(axis=1, keepdims=True) * base[:pairs]
     w /= np.linalg.norm(w, axis=1, keepdims=True)
@@ -349,6 +352,25 @@ def test_embedding_dedup_recall_in_a_large_label(spark):
         assert got[k].n_links <= int((cosine >= 0.93).sum()) - 1
 
 
+@pytest.mark.parametrize("many", [24, 1_000])
+def test_embedding_dedup_of_vectors_with_a_common_direction(spark, monkeypatch, many):
+    """Crowded vectors are compared with their whole label, or get more passes."""
+    from textmill.llm import embedding_dedup as e
+
+    monkeypatch.setattr(e, "WINDOW", 256)
+    monkeypatch.setattr(e, "MANY", many)
+    monkeypatch.setattr(e, "CELL", 3_000)
+    x = planted(9_000, 1_000, 0.9301, 0.935, 3, 0.8)
+    rows = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in e.projection_dedup(rows).collect()}
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    want, links = near.sum(axis=1), np.array([got[i].n_links for i in range(len(x))])
+    assert want.sum() >= 2_000 and (links <= want).all()
+    assert links.sum() >= 0.99 * want.sum()
+    assert sum(got[k].component_id == got[9_000 + k].component_id for k in range(1_000)) >= 990
+
+
 def test_embedding_dedup_groups_larger_than_the_window(spark, monkeypatch):
     """Small windows and cells: passes count each pair once, and full vectors are counted again exactly."""
     from textmill.llm import embedding_dedup as e
