@@ -23,6 +23,15 @@ def fixed_chunks(docs: DataFrame, size: int = 4000, overlap: int = 400, key: str
     return docs.select(key, F.posexplode(F.transform(starts, lambda s: F.substring(F.col(text), s + 1, F.lit(size)))).alias("chunk_index", "chunk"))
 
 
+def numbered_chunks(docs: DataFrame, size: int = 4000, overlap: int = 400, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, chunk_index, total_chunks, chunk_id, chunk) of fixed windows, without Python; chunks under `least`
+    go after the numbering, so the total counts them. A null or empty text has no chunks."""
+    total = F.ceil(F.length(text) / F.lit(size - overlap)).cast("int")
+    rows = docs.select(F.col(key), F.col(text).alias("__text"), total.alias("total_chunks"), F.posexplode(F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap)))).alias("chunk_index", "__at"))
+    rows = rows.select(key, "chunk_index", "total_chunks", F.substring("__text", F.col("__at") + 1, F.lit(size)).alias("chunk"))
+    return rows.where(F.length("chunk") >= least).select(key, "chunk_index", "total_chunks", chunk_id(key, "chunk_index", "chunk").alias("chunk_id"), "chunk")
+
+
 def chunk_id(key: str | Column, index: str | Column, text: str | Column) -> Column:
     """The same id in every run."""
     return F.sha2(F.concat_ws("|", col(key).cast("string"), col(index).cast("string"), col(text)), 256)

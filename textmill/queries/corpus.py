@@ -111,6 +111,15 @@ def limited_chunks(spark, sf_dir):
     return chunk.fixed_chunks(chunk.limit_documents(table(spark, sf_dir, "documents")))
 
 
+@query("""WITH c AS (SELECT doc_id, s, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INT) AS total_chunks
+        FROM (SELECT doc_id, text, unnest(range(0, length(text), 450)) AS s FROM documents)),
+    t AS (SELECT doc_id, chunk_index, total_chunks, substr(text, CAST(s AS INT) + 1, 500) AS chunk FROM c)
+    SELECT doc_id, chunk_index, total_chunks, sha256(doc_id || '|' || chunk_index || '|' || chunk) AS chunk_id FROM t WHERE length(chunk) >= 50""")
+def chunk_numbers(spark, sf_dir):
+    """The total counts the chunks that are too short to stay."""
+    return chunk.numbered_chunks(table(spark, sf_dir, "documents"), 500, 50).drop("chunk")
+
+
 @query()
 def semantic_chunks(spark, sf_dir):
     return chunk.semantic_chunks(table(spark, sf_dir, "documents"))

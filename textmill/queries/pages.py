@@ -203,6 +203,23 @@ def document_index(spark, sf_dir):
     return h.document_index(documents_of(table(spark, sf_dir, "pages")).select("page_id", "category", "title"))
 
 
+_PIECES = f"""pieces AS (SELECT doc_id, 1 AS pos, 'h1' AS tag, coalesce(source, '') AS text FROM documents WHERE text IS NOT NULL
+    UNION ALL SELECT doc_id, 1 + generate_subscripts(l, 1), 'li', {_strip('unnest(l)')} FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"""
+
+
+@query(f"""WITH {_PIECES}, blocks AS (SELECT * FROM pieces
+        UNION ALL SELECT doc_id, 0, 'article', string_agg(text, ' ' ORDER BY pos) FROM pieces WHERE text <> '' GROUP BY 1),
+    marked AS (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM blocks WHERE length(text) > 3)
+    SELECT doc_id AS page_id, CAST(pos AS INT) AS pos, tag, sha256(text) AS text FROM marked WHERE before IS NULL OR before <> text""")
+def nested_blocks(spark, sf_dir):
+    """Documents as pages: a menu, which isn't read, then an article of a heading and a list of the lines."""
+    escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    items = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<li>"), escape(x), F.lit("</li>"))), "")
+    page = F.concat(F.lit("<nav><ul><li>read no menu</li></ul></nav><article><h1>"), escape(F.coalesce("source", F.lit(""))), F.lit("</h1><ul>"), items, F.lit("</ul></article>"))
+    made = h.page_blocks(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html")))
+    return made.withColumn("text", F.sha2("text", 256))
+
+
 @query()
 def page_blocks(spark, sf_dir):
     return h.page_blocks(table(spark, sf_dir, "pages"))

@@ -120,6 +120,19 @@ def failed_vectors(spark, sf_dir):
     return r.drop_failed(made).select("vec_id", "label")
 
 
+def _letters(texts):
+    return [[(t or "").count(chr(97 + i)) for i in range(26)] for t in texts]
+
+
+@query(f"""SELECT doc_id, CAST(i AS INT) AS letter, length(text) - length(replace(text, chr(CAST(97 + i AS INT)), '')) AS n
+    FROM documents, range(26) r(i) WHERE strlen(text) <= {r.LONGEST}""")
+def letter_embeddings(spark, sf_dir):
+    """The encoder with a model of the caller's own, which counts letters."""
+    docs = r.oversize_guard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = r.drop_failed(r.embed(docs, model=_letters))
+    return made.select("doc_id", F.posexplode("embedding").alias("letter", "n")).withColumn("n", F.col("n").cast("long"))
+
+
 @query()
 def hashed_embeddings(spark, sf_dir):
     return r.drop_failed(r.embed(r.oversize_guard(table(spark, sf_dir, "documents").select("doc_id", "text")))).select("doc_id", "embedding")
