@@ -38,7 +38,7 @@ def jsonl_round_trip(spark, sf_dir):
 def scoreboard_round_trip(spark, sf_dir):
     u = F.col("user_id")
     keys = [F.col("event_type").alias("mode"), (u % 3).cast("string").alias("rivals"), (u % 4).cast("string").alias("difficulty")]
-    scores = table(spark, sf_dir, "events").groupBy(*keys).agg(F.count("*").cast("int").alias("player_wins"), F.lit(0).alias("ai_wins"), F.sum(u).cast("int").alias("player_score"), F.lit(0).alias("ai_score"))
+    scores = table(spark, sf_dir, "events").groupBy(*keys).agg(F.count("*").alias("player_wins"), F.lit(0).alias("ai_wins"), F.sum(u).alias("player_score"), F.lit(0).alias("ai_score"))
     path = io.scratch_dir(spark, "scores")
     io.write_scoreboard(scores, path)
     return io.read_scoreboard(spark, path)

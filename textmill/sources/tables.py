@@ -13,7 +13,7 @@ COURSE = "id_curso string, nombre_curso string, creditos int"
 ENROLMENT = "id_inscripcion int, id_alumno string, id_curso string, fecha_inscripcion date"
 LOG = "Timestamp timestamp, Message string"
 CHUNK = "id string, text string, metadata struct<source_file:string,category:string,chunk_index:int,total_chunks_in_doc:int,title:string,original_url:string,type:string>"
-SCORES = "map<string,map<string,map<string,struct<player_wins:int,ai_wins:int,player_score:int,ai_score:int>>>>"
+SCORES = "map<string,map<string,map<string,struct<player_wins:bigint,ai_wins:bigint,player_score:bigint,ai_score:bigint>>>>"
 INDEX = "chunk_id string, text string, embedding array<float>"
 
 
