@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+
+from textmill.functions import batches
+from textmill.operators import chunk, html, markup
+from textmill.operators import retrieve as rt
+from textmill.plans import corpus
 from textmill.queries import QUERIES
 
 
@@ -10,3 +17,38 @@ def test_scoreboard_holds_sums_beyond_an_int(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     got = QUERIES["scoreboard_round_trip"](spark, str(tmp_path)).collect()
     assert [tuple(r) for r in got] == [("click", "2", "0", 3, 0, 6_000_000_036, 0)]
+
+
+class Frame:
+    """Stands in for a table and keeps the function that is mapped over its batches."""
+
+    schema = {"doc_id": type("", (), {"dataType": type("", (), {"simpleString": staticmethod(lambda: "bigint")})})}
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def parts_of(frame, **columns):
+    """What a task hands back for one batch, each piece of it small."""
+    batch = pa.RecordBatch.from_pydict(columns)
+    out = list(frame.run(iter([batch])))
+    assert len(out) > 3 and all(b.num_rows <= batches.ROWS and b.nbytes <= 2 * batches.PIECE for b in out)
+    return [tuple(r.values()) for b in out for r in b.to_pylist()]
+
+
+PAGE = "<article>" + "<li>some words</li>" * 200 + "</article>"
+
+
+def test_contents_come_in_pieces(spark):
+    got = parts_of(corpus.page_contents(Frame()), page_id=list(range(5_000)), url=["u"] * 5_000, title=[None] * 5_000, html=[PAGE] * 4_999 + [None])
+    assert len(got) == 5_000 and got[0][1:3] == ("u", None) and got[0][3].endswith("some words\n\nsome words") and got[-1] == (4_999, "u", None, "")
+
+
+def test_chunks_come_in_pieces():
+    got = parts_of(chunk.semantic_chunks(Frame()), doc_id=pa.array([*range(2_999), None], pa.int64()), text=["a word. " * 1_000] * 2_998 + [None, ""])
+    want = [(i, len(parts)) for parts in [chunk.semantic_split("a word. " * 1_000)] for i in range(len(parts))]
+    assert [r[1:3] for r in got if r[0] == 2_997] == want and {r[0] for r in got} == set(range(2_998))

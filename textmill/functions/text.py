@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from textmill.functions.batches import udf
 
 #: White space as Python's strip() sees it, spelled out because \s differs between regex engines.
 BLANK = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -90,15 +91,14 @@ def squeeze(text: str | Column) -> Column:
     return F.array_join(F.transform(F.split(one, "\n"), strip), "\n")
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _nfc(texts: list[str | None]) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts], pa.string())
 
 
 def nfc(text: str | Column) -> Column:
     """Unicode NFC; only texts with other than ASCII characters go to Python."""
     t = col(text)
-    return F.coalesce(_nfc(F.when(F.octet_length(t) > F.length(t), t)), t)
+    return F.coalesce(udf(_nfc)(F.when(F.octet_length(t) > F.length(t), t)), t)
 
 
 def fix_mojibake(text: str | Column) -> Column:

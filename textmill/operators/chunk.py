@@ -6,10 +6,10 @@ import hashlib
 import re
 from bisect import bisect_left, bisect_right
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import flat_map
 from textmill.functions.text import col, strip
 
 #: Characters over the size that a semantic chunk may have before the next separator is tried.
@@ -125,15 +125,13 @@ def recursive_split(text: str, size: int = 1000, overlap: int = 200, separators:
 
 
 def _split_with(docs: DataFrame, split, key: str, text: str, least: int) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for k, t in zip(pdf[key], pdf[text]):
-                chunks = split(t) if t else []
-                rows += [(k, i, len(chunks), hashlib.sha256(f"{k}|{i}|{c}".encode()).hexdigest(), c) for i, c in enumerate(chunks) if len(c) >= least]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "total_chunks", "chunk_id", "chunk"])
-
-    return docs.select(key, text).mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_index int, total_chunks int, chunk_id string, chunk string")
+    def chunks(k, t):
+        parts = split(t) if t else []
+        for i, c in enumerate(parts):
+            if len(c) >= least:
+                yield k, i, len(parts), hashlib.sha256(f"{k}|{i}|{c}".encode()).hexdigest(), c
+
+    return flat_map(docs.select(key, text), chunks, f"{key} {docs.schema[key].dataType.simpleString()}, chunk_index int, total_chunks int, chunk_id string, chunk string")
 
 
 def semantic_chunks(docs: DataFrame, size: int = 1500, overlap: int = 200, least: int = 50, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,23 +5,21 @@ Every step is row-local, so the plan has no shuffle but for the file names' numb
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import flat_map
 from textmill.operators import chunk, clean, html, retrieve
 
 
 def page_contents(pages: DataFrame) -> DataFrame:
     """(page_id, url, title, content): the block texts of each page joined by blank lines."""
 
-    def run(batches):
-        for pdf in batches:
-            content = ["\n\n".join(text for _, _, text in html._blocks_of(h)) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "title": pdf["title"], "content": content})
+    def content(page_id, url, title, page):
+        yield page_id, url, title, "\n\n".join(text for _, _, text in html._blocks_of(page))
 
     titled = pages.select("page_id", "url", html.page_title("html").alias("title"), "html")
-    return titled.mapInPandas(run, "page_id long, url string, title string, content string")
+    return flat_map(titled, content, "page_id long, url string, title string, content string")
 
 
 def documents(pages: DataFrame) -> DataFrame:
