@@ -52,3 +52,16 @@ def test_chunks_come_in_pieces():
     got = parts_of(chunk.semantic_chunks(Frame()), doc_id=pa.array([*range(2_999), None], pa.int64()), text=["a word. " * 1_000] * 2_998 + [None, ""])
     want = [(i, len(parts)) for parts in [chunk.semantic_split("a word. " * 1_000)] for i in range(len(parts))]
     assert [r[1:3] for r in got if r[0] == 2_997] == want and {r[0] for r in got} == set(range(2_998))
+
+
+def test_column_functions_work_in_pieces(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(markup, "udf", lambda make, kind="string": lambda *columns: made.append(batches.udf(make, kind).func))
+    markup.without_tags(None, ("nav",))
+    markup.area_of(None, None, "main")
+    page = "<nav>x</nav><article>" + "y" * 3_000 + "</article>"
+    pages = pa.array([page] * 4_000 + [None], pa.string())
+    for run, batch, want in ((made[0], pages, page[12:]), (made[1], (pages, pa.array([False] * 4_001)), "y" * 3_000)):
+        out = list(run(iter([batch])))
+        assert all(len(x) <= batches.ROWS and x.nbytes <= 2 * batches.PIECE for x in out)
+        assert [v for x in out for v in x.to_pylist()] == [want] * 4_000 + [None]
