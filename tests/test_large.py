@@ -43,6 +43,12 @@ def parts_of(frame, **columns):
 PAGE = "<article>" + "<li>some words</li>" * 200 + "</article>"
 
 
+def test_blocks_come_in_pieces():
+    got = parts_of(html.page_blocks(Frame()), page_id=list(range(2_000)), html=[PAGE] * 1_999 + [None])
+    text = " ".join(["some words"] * 200)
+    assert got == [x for i in range(1_999) for x in ((i, 0, "article", text), (i, 1, "li", "some words"))]
+
+
 def test_contents_come_in_pieces(spark):
     got = parts_of(corpus.page_contents(Frame()), page_id=list(range(5_000)), url=["u"] * 5_000, title=[None] * 5_000, html=[PAGE] * 4_999 + [None])
     assert len(got) == 5_000 and got[0][1:3] == ("u", None) and got[0][3].endswith("some words\n\nsome words") and got[-1] == (4_999, "u", None, "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textmill.functions.batches import flat_map
 from textmill.functions.text import col, last_wins, slug, strip
 from textmill.operators.markup import area_of, without_tags
 from textmill.operators.order import numbered
@@ -110,30 +112,25 @@ class _Blocks(HTMLParser):
                 self.found[at][1].append(data)
 
 
-def _blocks_of(html: str | None) -> list[tuple[int, str, str]]:
+def _blocks_of(html: str | None) -> Iterator[tuple[int, str, str]]:
     parser = _Blocks()
     parser.feed(html or "")
     parser.close()
-    out: list[tuple[int, str, str]] = []
+    last = None
     for pos, (tag, parts) in enumerate(parser.found):
         text = " ".join(parts)
-        if len(text) > 3 and (not out or out[-1][2] != text):
-            out.append((pos, tag, text))
-    return out
+        if len(text) > 3 and text != last:
+            last = text
+            yield pos, tag, text
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tag, text): block texts over 3 characters, nested tags again, none equal to the one kept before.
 
-    Only the parsing is Python (Arrow batches, row-local); boilerplate subtrees are skipped.
+    Only the parsing is Python (pieces of Arrow batches, row-local); boilerplate subtrees are skipped.
     """
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(i, *b) for i, h in zip(pdf["page_id"], pdf["html"]) for b in _blocks_of(h)]
-            yield pd.DataFrame(rows, columns=["page_id", "pos", "tag", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, pos int, tag string, text string")
+    blocks = lambda page_id, html: ((page_id, *b) for b in _blocks_of(html))
+    return flat_map(pages.select("page_id", "html"), blocks, "page_id long, pos int, tag string, text string")
 
 
 @F.pandas_udf(T.StringType())
