@@ -71,3 +71,12 @@ def test_column_functions_work_in_pieces(spark, monkeypatch):
         out = list(run(iter([batch])))
         assert all(len(x) <= batches.ROWS and x.nbytes <= 2 * batches.PIECE for x in out)
         assert [v for x in out for v in x.to_pylist()] == [want] * 4_000 + [None]
+
+
+def test_models_get_pieces_once(spark):
+    docs = spark.range(0, 5_000, 1, 1).selectExpr("id", "if(id = 7, NULL, repeat('x', 1000)) AS text")
+    made = rt.drop_failed(rt.embed(docs, model=lambda texts: [np.array([len(texts), t is None]) if i % 2 else np.empty(0) for i, t in enumerate(texts)]))
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    rows = made.collect()
+    assert len(rows) == 2_500 and max(r.embedding[0] for r in rows) <= batches.ROWS
+    assert [r.embedding[1] for r in rows if r.id == 7] == [1.0]

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textmill.functions.batches import udf
 from textmill.functions.text import col
 from textmill.operators.nearest import BlockedIndex, nearest_pairs
 from textmill.operators.nearest import top_k as top_k
@@ -21,14 +22,12 @@ def oversize_guard(chunks: DataFrame, text: str = "text", most: int = LONGEST) -
 
 
 def _hashed(texts, dim: int) -> list[np.ndarray]:
-    import xxhash
+    from xxhash import xxh64_intdigest
 
     out = []
     for t in texts:
-        v = np.zeros(dim)
-        for w in (t or "").lower().split():
-            h = xxhash.xxh64_intdigest(w, 7)
-            v[h % dim] += 1.0 if h >> 63 else -1.0
+        h = np.array([xxh64_intdigest(w, 7) for w in (t or "").lower().split()], np.uint64)
+        v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dim)
         n = np.linalg.norm(v)
         out.append(v / n if n else np.empty(0))
     return out
@@ -36,14 +35,11 @@ def _hashed(texts, dim: int) -> list[np.ndarray]:
 
 def embed(chunks: DataFrame, dim: int = 64, text: str = "text", model=None) -> DataFrame:
     """Adds embedding array<float>. model maps a list of texts to vectors and is called once for each
-    Arrow batch on the executors; the default hashes words. Texts without a vector get an empty array."""
+    piece of an Arrow batch on the executors; the default hashes words. Texts without a vector get an empty array."""
     make = model or (lambda texts: _hashed(texts, dim))
-
-    @F.pandas_udf("array<float>")
-    def run(batches: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, dtype=np.float32) for v in make(list(batches))])
-
-    return chunks.withColumn("embedding", run(text))
+    run = udf(lambda texts: pa.array([np.asarray(v, dtype=np.float32) for v in make(texts)], pa.list_(pa.float32())), "array<float>")
+    # a filter on the vectors would otherwise be pushed below them, and the model run twice
+    return chunks.withColumn("embedding", run.asNondeterministic()(text))
 
 
 def drop_failed(index: DataFrame) -> DataFrame:
