@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 
@@ -80,3 +82,15 @@ def test_models_get_pieces_once(spark):
     rows = made.collect()
     assert len(rows) == 2_500 and max(r.embedding[0] for r in rows) <= batches.ROWS
     assert [r.embedding[1] for r in rows if r.id == 7] == [1.0]
+
+
+def test_search_makes_vectors_once(spark, tmp_path):
+    def model(texts):
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(texts)))
+        return [np.array([float(t), 1.0]) for t in texts]
+
+    index = rt.drop_failed(rt.embed(spark.range(0, 600, 1, 3).selectExpr("id AS chunk_id", "string(id) AS text"), model=model))
+    questions = spark.createDataFrame([(1, [300.25, 1.0]), (2, [0.0, 1.0])], "query_id int, query array<double>")
+    got = {(r.query_id, r.rank): (r.chunk_id, r.distance) for r in rt.top_k(index.select("chunk_id", "embedding"), questions, 2).collect()}
+    assert got == {(1, 1): (300, 0.0625), (1, 2): (301, 0.5625), (2, 1): (0, 0.0), (2, 2): (1, 1.0)}
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 600

@@ -9,7 +9,6 @@ distance then bounds the answer, and a second round searches only blocks that ma
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,7 +43,10 @@ class BlockedIndex:
     """An index of (chunk_id, embedding) in blocks around pivots; only the pivots' table is on the driver."""
 
     def __init__(self, index: DataFrame, pivots: int = PIVOTS):
-        rows = index.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).where("size(v) > 0")
+        #: Floats stay floats on disk and between tasks; they are compared as doubles.
+        self.number = "float" if index.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+        rows = index.select("chunk_id", F.col("embedding").cast(f"array<{self.number}>").alias("v")).where("size(v) > 0")
+        rows = _kept(rows, "index")  # pivots, ranges and blocks read it: the vectors are made once
         first = rows.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(pivots).collect()
         self.dims = len(first[0]["v"]) if first else 0
         self.pivots = np.array([r["v"] for r in first]).reshape(len(first), self.dims)
@@ -59,7 +61,7 @@ class BlockedIndex:
                 at = d.argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array(d[np.arange(len(at)), at])], names=["chunk_id", "v", "cluster", "dist"])
 
-        placed = in_ranges(rows.mapInArrow(nearest, f"chunk_id {self.kind}, v array<double>, cluster int, dist double"), ["dist"], ("cluster",))
+        placed = in_ranges(rows.mapInArrow(nearest, f"chunk_id {self.kind}, v array<{self.number}>, cluster int, dist double"), ["dist"], ("cluster",))
         self.vectors = placed.withColumn("cell", F.shiftright("__id", BLOCK_BITS)).drop("__id", "__part")
         blocks = self.vectors.groupBy("cluster", "cell").agg(F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"))
         self.blocks = _kept(blocks, "blocks")
@@ -97,25 +99,25 @@ class BlockedIndex:
         load = pairs.groupBy("cluster", "cell").agg(F.ceil(F.count("*") / QUESTIONS).cast("int").alias("parts"))
         asked = pairs.join(load, ["cluster", "cell"]).withColumn("part", F.expr("pmod(xxhash64(query_id), parts)").cast("int"))
         asked = asked.join(queries.select("query_id", F.col("query").cast("array<double>").alias("v")), "query_id")
-        left = asked.select("cluster", "cell", "part", "query_id", F.lit(None).cast(self.kind).alias("chunk_id"), "v", F.lit(True).alias("asks"))
+        none = lambda kind: F.lit(None).cast(kind)
+        left = asked.select("cluster", "cell", "part", "query_id", none(self.kind).alias("chunk_id"), F.col("v").alias("q"), none(f"array<{self.number}>").alias("v"))
         held = self.vectors.join(load, ["cluster", "cell"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)")))
-        right = held.select("cluster", "cell", "part", F.lit(None).cast(kind).alias("query_id"), "chunk_id", "v", F.lit(False).alias("asks"))
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            side = pdf["asks"].to_numpy()
-            ids, chunks, found = pdf["query_id"].to_numpy()[side], pdf["chunk_id"].to_numpy()[~side], []
-            q, x = (np.stack(pdf["v"].to_numpy()[s]).reshape(-1, dims) for s in (side, ~side))
-            if not len(ids):  # no question fell into this part
-                return pd.DataFrame({"query_id": ids, "chunk_id": chunks[:0], "score": [], "kth": []})
-            for at in range(0, len(ids), 256):
+        right = held.select("cluster", "cell", "part", none(kind).alias("query_id"), "chunk_id", none("array<double>").alias("q"), "v")
+
+        def run(group: pa.Table) -> pa.Table:
+            asks, own = group.filter(group.column("q").is_valid()), group.filter(group.column("v").is_valid())
+            q, x = (_vectors(c.combine_chunks(), dims) for c in (asks.column("q"), own.column("v")))
+            found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]  # a part may have no question
+            for at in range(0, len(q), 256):
                 rows = distances(q[at : at + 256], x) ** 2
                 last = np.sort(np.partition(rows, min(k, rows.shape[1]) - 1, axis=1)[:, :k], axis=1)[:, -1]
                 r, c = np.nonzero(rows <= last[:, None] + SLACK)
                 kth = last[r] if rows.shape[1] >= k else np.full(len(r), np.inf)
-                found.append(pd.DataFrame({"query_id": ids[at + r], "chunk_id": chunks[c], "score": rows[r, c], "kth": kth}))
-            return pd.concat(found)
+                found.append((at + r, c, rows[r, c], kth))
+            r, c, score, kth = (np.concatenate(part) for part in zip(*found))
+            return pa.table([asks.column("query_id").take(pa.array(r)), own.column("chunk_id").take(pa.array(c)), pa.array(score), pa.array(kth)], names=["query_id", "chunk_id", "score", "kth"])
 
-        return left.union(right).groupBy("cluster", "cell", "part").applyInPandas(run, f"query_id {kind}, chunk_id {self.kind}, score double, kth double")
+        return left.union(right).groupBy("cluster", "cell", "part").applyInArrow(run, f"query_id {kind}, chunk_id {self.kind}, score double, kth double")
 
 
 def nearest_pairs(index: BlockedIndex, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
