@@ -221,6 +221,14 @@ def test_log_and_scores(spark, tmp_path):
     assert sorted(io.read_scoreboard(spark, f"{tmp_path}/s").collect()) == sorted(scores.collect())
 
 
+def test_scoreboard_keeps_rows_with_null_keys(spark, tmp_path):
+    rows = [(None, "2", "HARD", 1, 0, 31, 11), (None, None, None, 2, 0, None, 0), ("RUSO", None, "EASY", 1, 1, 5, 7), ("null", "1", "EASY", 3, 0, 6_000_000_036, 0)]
+    rows += [(k, k, k, 4, 0, 1, 1) for k in ("", r"\N", r"\\N", r"\x", "\\", 'a\n\\N"')]
+    schema = "mode string, rivals string, difficulty string, player_wins long, ai_wins long, player_score long, ai_score long"
+    io.write_scoreboard(spark.createDataFrame(rows, schema), f"{tmp_path}/s")
+    assert sorted(map(tuple, io.read_scoreboard(spark, f"{tmp_path}/s").collect()), key=str) == sorted(rows, key=str)
+
+
 def test_corpus_files(spark, tmp_path):
     (tmp_path / "c" / "leyes").mkdir(parents=True)
     (tmp_path / "c" / "a.txt").write_bytes("é".encode("latin-1"))

@@ -14,6 +14,7 @@ ENROLMENT = "id_inscripcion int, id_alumno string, id_curso string, fecha_inscri
 LOG = "Timestamp timestamp, Message string"
 CHUNK = "id string, text string, metadata struct<source_file:string,category:string,chunk_index:int,total_chunks_in_doc:int,title:string,original_url:string,type:string>"
 SCORES = "map<string,map<string,map<string,struct<player_wins:bigint,ai_wins:bigint,player_score:bigint,ai_score:bigint>>>>"
+SCORE_KEYS = ("mode", "rivals", "difficulty")
 INDEX = "chunk_id string, text string, embedding array<float>"
 
 
@@ -82,13 +83,16 @@ def read_scoreboard(spark: SparkSession, path: str) -> DataFrame:
     """(mode, rivals, difficulty, 4 counts) from the nested scoreboard; corrupt text gives no rows."""
     raw = spark.read.text(path, wholetext=True).select(F.from_json("value", SCORES).alias("m"))
     flat = raw.select(F.explode("m").alias("mode", "m")).select("mode", F.explode("m").alias("rivals", "m"))
-    return flat.select("mode", "rivals", F.explode("m").alias("difficulty", "s")).select("mode", "rivals", "difficulty", "s.*")
+    flat = flat.select("mode", "rivals", F.explode("m").alias("difficulty", "s"))
+    return flat.select(*(F.when(F.col(k) != r"\N", F.regexp_replace(k, r"^\\\\", r"\\")).alias(k) for k in SCORE_KEYS), "s.*")
 
 
 def nested_scoreboard(scores: DataFrame) -> DataFrame:
-    """One row with the scoreboard as nested JSON (at most a few dozen combinations)."""
+    """One row with the scoreboard as nested JSON (at most a few dozen combinations). JSON has no null keys: null is
+    \\N, and a key's own leading backslash is doubled."""
     counts = F.struct("player_wins", "ai_wins", "player_score", "ai_score").alias("s")
-    a = scores.select("mode", "rivals", "difficulty", counts).groupBy("mode", "rivals").agg(F.map_from_entries(F.collect_list(F.struct("difficulty", "s"))).alias("d"))
+    keys = (F.coalesce(F.regexp_replace(k, r"^\\", r"\\\\"), F.lit(r"\N")).alias(k) for k in SCORE_KEYS)
+    a = scores.select(*keys, counts).groupBy("mode", "rivals").agg(F.map_from_entries(F.collect_list(F.struct("difficulty", "s"))).alias("d"))
     b = a.groupBy("mode").agg(F.map_from_entries(F.collect_list(F.struct("rivals", "d"))).alias("r"))
     return b.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", "r")))).alias("value"))
 
