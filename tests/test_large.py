@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +14,7 @@ from textmill.operators import chunk, html, markup
 from textmill.operators import retrieve as rt
 from textmill.plans import corpus
 from textmill.queries import QUERIES
+from textmill.sources import tables as io
 
 
 def test_scoreboard_holds_sums_beyond_an_int(spark, tmp_path):
@@ -21,6 +24,40 @@ def test_scoreboard_holds_sums_beyond_an_int(spark, tmp_path):
     assert [tuple(r) for r in got] == [("click", "2", "0", 3, 0, 6_000_000_036, 0)]
 
 
+SCORES = "mode string, rivals string, difficulty string, player_wins long, ai_wins long, player_score long, ai_score long"
+
+
+def written(path):
+    """The JSON documents of a scoreboard on disk."""
+    texts = "\x1e".join(f.read_text() for f in sorted(Path(path).glob("part-*"))).split("\x1e")
+    return [json.loads(x) for x in texts if x]
+
+
+def test_scoreboard_of_many_modes_is_written_in_parts(spark, tmp_path):
+    rows = [(f"m\x1e{i % 4_001}", str(i % 3), str(i % 5), i, 0, i * 10**12, 1) for i in range(4_001)]
+    rows += [("hot", str(i), None, i, 0, -i, 1) for i in range(2_000)]
+    io.write_scoreboard(spark.createDataFrame(rows, SCORES), f"{tmp_path}/s")
+    sizes = [sum(len(d) for r in doc.values() for d in r.values()) for doc in written(f"{tmp_path}/s")]
+    assert sum(sizes) == len(rows) and len(sizes) == 7 and max(sizes) < 1_300
+    assert sorted(map(tuple, io.read_scoreboard(spark, f"{tmp_path}/s").collect()), key=str) == sorted(rows, key=str)
+
+
+def test_few_scores_are_one_json_document(spark, tmp_path):
+    io.write_scoreboard(spark.createDataFrame([(f"m{i}", "1", "EASY", i, 0, 1, 1) for i in range(1_000)], SCORES).repartition(4), f"{tmp_path}/s")
+    io.write_scoreboard(spark.createDataFrame([], SCORES), f"{tmp_path}/none")
+    assert [len(d) for d in written(f"{tmp_path}/s")] == [1_000] and written(f"{tmp_path}/none") == [{}]
+    assert io.read_scoreboard(spark, f"{tmp_path}/none").collect() == []
+    (tmp_path / "own").write_text(json.dumps({"A": {"1": {"EASY": {"player_wins": 1, "ai_wins": 2, "player_score": 3, "ai_score": 4}}}}, indent=4))
+    assert [tuple(r) for r in io.read_scoreboard(spark, f"{tmp_path}/own").collect()] == [("A", "1", "EASY", 1, 2, 3, 4)]
+
+
+def test_scoreboard_keeps_keys_too_long_for_a_name(spark, tmp_path):
+    long = ["k" * 60_000, "\\L" + "é\n" * 40_000, "\\L" + "0" * 64, "x" * 10_001, "\U0001f600" * 10_000]
+    rows = [(a, b, c, 1, 0, 5, 0) for a, b, c in zip(long, [None, *long], ["d", None, *long])] + [(None, "1", "EASY", 1, 0, 5, 0)]
+    io.write_scoreboard(spark.createDataFrame(rows, SCORES), f"{tmp_path}/s")
+    assert sorted(map(tuple, io.read_scoreboard(spark, f"{tmp_path}/s").collect()), key=str) == sorted(rows, key=str)
+
+
 class Frame:
     """Stands in for a table and keeps the function that is mapped over its batches."""
 

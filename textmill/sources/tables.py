@@ -13,8 +13,11 @@ COURSE = "id_curso string, nombre_curso string, creditos int"
 ENROLMENT = "id_inscripcion int, id_alumno string, id_curso string, fecha_inscripcion date"
 LOG = "Timestamp timestamp, Message string"
 CHUNK = "id string, text string, metadata struct<source_file:string,category:string,chunk_index:int,total_chunks_in_doc:int,title:string,original_url:string,type:string>"
-SCORES = "map<string,map<string,map<string,struct<player_wins:bigint,ai_wins:bigint,player_score:bigint,ai_score:bigint>>>>"
+SCORES = "map<string,map<string,map<string,struct<player_wins:bigint,ai_wins:bigint,player_score:bigint,ai_score:bigint,long:struct<mode:string,rivals:string,difficulty:string>>>>>"
 SCORE_KEYS = ("mode", "rivals", "difficulty")
+#: Combinations in one JSON document of a scoreboard, about; characters of a key that stands as a name; the mark before
+#: each text of a JSON text sequence.
+DOCUMENT, NAME, JSON_APART = 1_000, 10_000, "\x1e"
 INDEX = "chunk_id string, text string, embedding array<float>"
 
 
@@ -81,24 +84,46 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def read_scoreboard(spark: SparkSession, path: str) -> DataFrame:
     """(mode, rivals, difficulty, 4 counts) from the nested scoreboard; corrupt text gives no rows."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", SCORES).alias("m"))
+    raw = spark.read.text(path, lineSep=JSON_APART).select(F.from_json("value", SCORES, {"maxStringLen": str(2**31 - 1)}).alias("m"))
     flat = raw.select(F.explode("m").alias("mode", "m")).select("mode", F.explode("m").alias("rivals", "m"))
     flat = flat.select("mode", "rivals", F.explode("m").alias("difficulty", "s"))
-    return flat.select(*(F.when(F.col(k) != r"\N", F.regexp_replace(k, r"^\\\\", r"\\")).alias(k) for k in SCORE_KEYS), "s.*")
-
-
-def nested_scoreboard(scores: DataFrame) -> DataFrame:
-    """One row with the scoreboard as nested JSON (at most a few dozen combinations). JSON has no null keys: null is
-    \\N, and a key's own leading backslash is doubled."""
-    counts = F.struct("player_wins", "ai_wins", "player_score", "ai_score").alias("s")
-    keys = (F.coalesce(F.regexp_replace(k, r"^\\", r"\\\\"), F.lit(r"\N")).alias(k) for k in SCORE_KEYS)
-    a = scores.select(*keys, counts).groupBy("mode", "rivals").agg(F.map_from_entries(F.collect_list(F.struct("difficulty", "s"))).alias("d"))
-    b = a.groupBy("mode").agg(F.map_from_entries(F.collect_list(F.struct("rivals", "d"))).alias("r"))
-    return b.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", "r")))).alias("value"))
+    keys = (F.coalesce(F.col("s.long")[k], F.when(F.col(k) != r"\N", F.regexp_replace(k, r"^\\\\", r"\\"))).alias(k) for k in SCORE_KEYS)
+    return flat.select(*keys, "s.player_wins", "s.ai_wins", "s.player_score", "s.ai_score")
+
+
+def nested_scoreboard(scores: DataFrame, documents: int = 1) -> DataFrame:
+    """The scoreboard as nested JSON in one row, or dealt by its keys to so many rows, each with a nested scoreboard.
+
+    JSON has no null keys: null is \\N, and a key's own leading backslash is doubled. Readers of JSON take no names over
+    50,000 characters: a key over NAME is \\L and its hash, and the counts hold its text."""
+    names, long = [], []
+    for k in SCORE_KEYS:
+        is_long = F.length(k) > NAME
+        own = F.when(is_long, F.concat(F.lit(r"\L"), F.sha2(k, 256))).otherwise(F.regexp_replace(k, r"^\\", r"\\\\"))
+        names.append(F.coalesce(own, F.lit(r"\N")).alias(k))
+        long.append(F.when(is_long, F.col(k)).alias(k))
+    held = F.when(F.coalesce(*long).isNotNull(), F.struct(*long)).alias("long")
+    a = scores.select(*names, F.struct("player_wins", "ai_wins", "player_score", "ai_score", held).alias("s"))
+    part = ["part"] if documents > 1 else []
+    if part:
+        a = a.withColumn("part", F.pmod(F.xxhash64(*SCORE_KEYS), F.lit(documents))).repartition("part")
+    a = a.groupBy(*part, "mode", "rivals").agg(F.map_from_entries(F.collect_list(F.struct("difficulty", "s"))).alias("d"))
+    b = a.groupBy(*part, "mode").agg(F.map_from_entries(F.collect_list(F.struct("rivals", "d"))).alias("r"))
+    return b.groupBy(*part).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("mode", "r")))).alias("value")).select("value")
 
 
 def write_scoreboard(scores: DataFrame, path: str) -> None:
-    nested_scoreboard(scores).write.mode("overwrite").text(path)
+    """One JSON document; beyond DOCUMENT combinations a sequence of JSON texts (RFC 7464) of about so many each, so that
+    no task holds the whole scoreboard."""
+    held = scratch_dir(scores.sparkSession, "scores")  # the scores are made once for their number and the rows
+    scores.write.parquet(held)
+    rows = scores.sparkSession.read.schema(scores.schema).parquet(held)
+    documents = -(-rows.count() // DOCUMENT)
+    nested = nested_scoreboard(rows, documents)
+    if documents > 1:
+        nested = nested.select(F.concat(F.lit(JSON_APART), "value").alias("value"))
+    nested.write.mode("overwrite").text(path)
+    remove(scores.sparkSession, held)
 
 
 def append_log(messages: DataFrame, path: str) -> None:
