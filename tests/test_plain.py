@@ -7,7 +7,7 @@ import numpy as np
 import xxhash
 
 from __spark_entry__ import queries
-from textmill.operators import chunk
+from textmill.operators import chunk, retrieve
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,6 +29,25 @@ def test_hashed_embeddings(spark):
     assert all(np.allclose(got[i], want[i], atol=1e-6) for i in want)
 
 
+def test_long_texts_get_vectors_too(spark, tmp_path):
+    long = "".join(f"Wort{i} ÁΣ{i}Σ{blank}" for i in range(12_000) for blank in " \n\u2003")
+    texts = {1: "a b c", 2: "ab " * 11_666 + "cd", 3: "ab " * 11_667, 4: long, 5: "x" * 600_000 + " y z z", 6: None, 7: " \n", 8: " " * 600_000 + "end"}
+    assert [len(texts[i].encode()) for i in (2, 3)] == [35_000, 35_001] and len(long) > 600_000
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.embedding for r in queries()["hashed_embeddings"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 8]
+    assert all(np.allclose(got[i], plain_vector(texts[i]), atol=1e-6) for i in got)
+
+
+def test_words_of_slices_are_the_text_s(monkeypatch):
+    random.seed(4)
+    blanks = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    for _ in range(2_000):
+        monkeypatch.setattr(retrieve, "SLICE", random.randint(1, 9))
+        text = "".join(random.choice([random.choice(blanks), *"aΣİßA.\u0301"]) for _ in range(random.randint(0, 40)))
+        assert [w for words in retrieve._words(text) for w in words] == text.lower().split()
+
+
 def test_doc_search(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet").collect()
     chunks = [c for r in texts for s in range(0, len(r.text), 800) if len(c := r.text[s : s + 1000]) >= 50]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +15,10 @@ from textmill.functions.text import col
 from textmill.operators.nearest import BlockedIndex, nearest_pairs
 from textmill.operators.nearest import top_k as top_k
 
-#: Texts of more bytes get no vector.
-LONGEST = 35_000
+#: Bytes of the longest text that oversize_guard keeps, for models with such a limit; characters of a text whose words
+#: are hashed at a time.
+LONGEST, SLICE = 35_000, 1 << 18
+_BLANK = re.compile(r"\s")
 DEFAULT_ANSWER = "No se encontró información relevante."
 
 
@@ -21,13 +26,25 @@ def oversize_guard(chunks: DataFrame, text: str = "text", most: int = LONGEST) -
     return chunks.where(F.octet_length(text) <= most)
 
 
+def _words(text: str) -> Iterator[list[str]]:
+    """The lower-case words, of a long text in lists of about SLICE characters."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + SLICE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
 def _hashed(texts, dim: int) -> list[np.ndarray]:
     from xxhash import xxh64_intdigest
 
     out = []
     for t in texts:
-        h = np.array([xxh64_intdigest(w, 7) for w in (t or "").lower().split()], np.uint64)
-        v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dim)
+        v = np.zeros(dim)
+        for words in _words(t or ""):
+            h = np.array([xxh64_intdigest(w, 7) for w in words], np.uint64)
+            v += np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), 1.0, -1.0), dim)
         n = np.linalg.norm(v)
         out.append(v / n if n else np.empty(0))
     return out

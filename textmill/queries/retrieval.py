@@ -135,7 +135,8 @@ def letter_embeddings(spark, sf_dir):
 
 @query()
 def hashed_embeddings(spark, sf_dir):
-    return r.drop_failed(r.embed(r.oversize_guard(table(spark, sf_dir, "documents").select("doc_id", "text")))).select("doc_id", "embedding")
+    """Texts of any length; only those whose hashed words give no vector, as without words, are left out."""
+    return r.drop_failed(r.embed(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "embedding")
 
 
 @query()
